@@ -149,3 +149,60 @@ def word_bounds(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     ends = np.flatnonzero(last & ~gap) + 1
     at = np.searchsorted(starts, bounds)
     return starts, ends, np.diff(at)
+
+
+def small_batches(spark: SparkSession, rows: int = 4000, size: str = "32m") -> None:
+    """Bound the Arrow batches that Python workers get, so that long texts do not pile up in one."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def slices(sizes, limit: int):
+    """Ranges of rows whose sizes add up to about ``limit``, each with one row at least."""
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if total and total + n > limit:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def texts_of(column) -> list[bytes]:
+    """UTF-8 bytes of an Arrow string column; null: empty."""
+    import pyarrow as pa
+
+    return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+class Lexicon:
+    """Pieces of text numbered as they come, with the ids of each in one flat array. ``encode`` gives ids of new pieces."""
+
+    def __init__(self, encode, most: int = 600_000):
+        self.encode, self.most = encode, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict = {}
+        self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, pieces) -> None:
+        """Make sure that all pieces are known."""
+        if len(self.number) > self.most:
+            self.clear()
+        new = [p for p in pieces if p not in self.number]
+        if not new:
+            return
+        flat, sizes = self.encode(new)
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered pieces one after the other, and the number of ids of each."""
+        first, n = self.start[numbers], self.start[numbers + 1] - self.start[numbers]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.arange(total, dtype=np.int64) + np.repeat(first - ends + n, n)
+        return self.flat[at], n
