@@ -206,3 +206,30 @@ class Lexicon:
         total = int(ends[-1]) if len(ends) else 0
         at = np.arange(total, dtype=np.int64) + np.repeat(first - ends + n, n)
         return self.flat[at], n
+
+
+def groups(batches, keys: list[str]):
+    """Groups of rows with equal keys, from batches sorted by them; a group may span batches."""
+    import pandas as pd
+
+    held: list = []
+    for b in batches:
+        if not len(b):
+            continue
+        b = pd.concat([*held, b], ignore_index=True) if held else b
+        change = np.zeros(len(b), dtype=bool)
+        for k in keys:
+            v = b[k].to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        at = [0, *np.flatnonzero(change).tolist(), len(b)]
+        at = sorted(set(at))
+        for lo, hi in zip(at[:-2], at[1:-1], strict=True):
+            yield b.iloc[lo:hi]
+        held = [b.iloc[at[-2] :]]
+    if held:
+        yield held[0]
+
+
+def gather(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows dealt by keys and sorted by them, for ``groups``."""
+    return df.repartition(*keys).sortWithinPartitions(*keys)
