@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-import weakref
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +31,24 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written below the shared folder, to cut lineage and to be read more than once."""
+    """Tables written below the shared folder, to cut lineage and to be read more than once.
+
+    A lazy result may read them at any later time, so they stay until the program ends or ``Scratch.clear`` is called by
+    one who knows that the results made so far have been written.
+    """
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession):
         self.spark, self.path = spark, f"{scratch_root(spark)}/t-{uuid.uuid4().hex}"
+        if not Scratch.made:
+            atexit.register(Scratch.clear)
+        Scratch.made.append(self)
+
+    @staticmethod
+    def clear() -> None:
+        while Scratch.made:
+            Scratch.made.pop().drop()
 
     def put(self, df: DataFrame, name: str, **options) -> DataFrame:
         at = f"{self.path}/{name}"
@@ -45,11 +59,6 @@ class Scratch:
     def drop(self, name: str = "") -> None:
         delete(self.spark, f"{self.path}/{name}")
 
-    def tie(self, df: DataFrame) -> DataFrame:
-        """Delete these tables when ``df`` is no longer referenced."""
-        weakref.finalize(df, delete, self.spark, self.path)
-        return df
-
 
 def delete(spark: SparkSession, path: str) -> None:
     try:
@@ -233,3 +242,13 @@ def groups(batches, keys: list[str]):
 def gather(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows dealt by keys and sorted by them, for ``groups``."""
     return df.repartition(*keys).sortWithinPartitions(*keys)
+
+
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """An object of this Python worker, made once and used by its later tasks."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]

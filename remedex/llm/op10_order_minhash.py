@@ -268,4 +268,4 @@ def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     out = classes(table(spark, sf_dir, "documents"), scratch)
-    return scratch.tie(out.withColumn("kept", F.col("doc_id") == F.col("class_id")))
+    return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))

@@ -215,4 +215,4 @@ def _pick(text: str, spans) -> str:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     placed, slots = mix(table(spark, sf_dir, "documents"), scratch)
-    return scratch.tie(taken(placed, slots))
+    return taken(placed, slots)

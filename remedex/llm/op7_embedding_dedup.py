@@ -197,4 +197,4 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
-    return scratch.tie(near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scratch))
+    return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scratch)

@@ -188,4 +188,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
     shared = Scratch(spark)
-    return shared.tie(digests(shared.put(windows(turns.unionByName(extra)), "windows")))
+    return digests(shared.put(windows(turns.unionByName(extra)), "windows"))
