@@ -252,3 +252,11 @@ def kept(key, make):
     if key not in _KEPT:
         _KEPT[key] = make()
     return _KEPT[key]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are no longer referenced."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
