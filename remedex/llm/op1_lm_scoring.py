@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remedex.llm.common import _LOWER, ByteHash, Scratch, concat, gather, groups, mix, small_batches, table, word_bounds
+from remedex.llm.common import _LOWER, ByteHash, Scratch, concat, gather, groups, mix, slices, small_batches, table, word_bounds
 
 NAME = "op1_lm_scoring"
 CLASSES, CONTEXTS = 256, 65536
@@ -44,6 +44,11 @@ END = mix(np.array([0x5EED], dtype=np.uint64))[0]
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and context of every token (words, then the end), and the number of tokens of each text."""
+    parts = [_tokens(texts[lo:hi]) for lo, hi in slices([len(t) for t in texts], 1 << 20)]
+    return tuple(np.concatenate([x[i] for x in parts]) for i in range(3)) if parts else _tokens([])
+
+
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     buf, bounds = concat(texts)
     buf = _LOWER[buf]
     starts, ends, n = word_bounds(buf, bounds)

@@ -3,7 +3,9 @@
 Documents are dealt to ranges of doc_id and sorted within them, so the files are in ascending order, row groups have
 narrow doc_id bounds, and a lookup reads only the stripes that bounds and Bloom filters leave.  Encoding runs per
 partition: the tokenizer drops white space before its merges, so each distinct word is encoded once and the ids of a
-text are those of its words in order.
+text are those of its words in order.  As it also lowers letters and parts them from punctuation, words are lowered and
+punctuation at their end is a word of its own, which leaves fewer distinct ones.  Words stay known to a Python worker,
+in a bounded table.
 
 Reading back needs no order between tasks: stripes are read in parallel, and the first id of each document is a prefix
 sum within its file plus one over the totals of the files.
@@ -25,12 +27,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from remedex.llm.common import Lexicon, Scratch, slices, small_batches, table, texts_of
+from remedex.llm.common import _GAP, _LOWER, Lexicon, Scratch, concat, kept, slices, small_batches, table, texts_of
 
 NAME = "op6_token_orc"
 END = 2
 STRIPE, STRIDE, FPP = 16 << 20, 1000, 0.01
-GROUP = 1000  # words in one call of the tokenizer
+GROUP = 10_000  # words in one call of the tokenizer
+KNOWN = 800_000  # words that a Python worker keeps
+_MARKS = np.zeros(256, dtype=bool)
+_MARKS[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'"]] = True
+
+
+def loosen(texts: list[bytes]) -> list[list[bytes]]:
+    """The words of the texts, lowered, with runs of ASCII marks between an ASCII letter and the word's end apart.
+
+    Texts that may hold a special token are only split.
+    """
+    if any(b"<|" in t for t in texts):
+        return [t.split() for t in texts]
+    buf, bounds = concat(texts)
+    if not len(buf):
+        return [[] for _ in texts]
+    low = _LOWER[buf]
+    marks = _MARKS[low]
+    at = np.flatnonzero((low[:-1] >= 97) & (low[:-1] <= 122) & marks[1:]) + 1
+    which = np.searchsorted(bounds, at, side="right")
+    stops = np.append(np.flatnonzero(~marks), len(buf))
+    end = np.minimum(stops[np.searchsorted(stops, at)], bounds[which])
+    at = at[((end == bounds[which]) | _GAP[low[np.minimum(end, len(buf) - 1)]]) & (at > bounds[which - 1])]
+    data = np.insert(low, at, 32).tobytes()
+    bounds = (bounds + np.searchsorted(at, bounds, side="left")).tolist()
+    return [data[a:b].split() for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def word_encoder(path: str):
@@ -66,11 +93,11 @@ def encode(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """doc_id and ids (array of int) of every row; ``end`` follows the ids of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Lexicon(word_encoder(path))
+        known = kept(("words", path), lambda: Lexicon(word_encoder(path), KNOWN))
         for b in batches:
             texts = texts_of(b.column(1))
             for lo, hi in slices([len(t) for t in texts], 4 << 20):
-                split = [t.split() for t in texts[lo:hi]]
+                split = loosen(texts[lo:hi])
                 known.add({w for x in split for w in x})
                 sizes = np.array([len(x) for x in split])
                 number = known.number
@@ -134,4 +161,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     write(table(spark, sf_dir, "documents"), f"{scratch.path}/ids", public_tokenizers.path("word_bpe_49k.json"))
     found = scratch.put(digests(read(spark, f"{scratch.path}/ids")), "found")
     scratch.drop("ids")
-    return scratch.tie(starts(found))
+    return starts(found)

@@ -6,7 +6,7 @@ pair of tokens whose bytes together are a token, with that token's rank), and co
 of every piece, until no piece has a pair left.  Decoding joins ids with the vocabulary and aggregates the bytes of
 each document in order.
 
-The pieces known to a partition are kept in a bounded table, so repeated words are merged once.  A piece of more than
+The pieces known to a Python worker are kept in a bounded table, so repeated words are merged once.  A piece of more than
 ``LONG`` bytes would need as many rounds as it has merges; such a piece is merged by a heap with the same rule instead.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded one by one; other
@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remedex.llm.common import Lexicon, slices, small_batches, table, texts_of
+from remedex.llm.common import Lexicon, kept, slices, small_batches, table, texts_of
 
 NAME = "op9_byte_bpe"
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -124,7 +124,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: Sequence[str] = ("doc
     """The columns in ``keep`` and ids (array of int) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, known = regex.compile(pattern), Lexicon(Merger(load_ranks(path)))
+        cut, known = regex.compile(pattern), kept(("pieces", path), lambda: Lexicon(Merger(load_ranks(path))))
         for b in batches:
             texts = b.column(len(keep)).to_pylist()
             for lo, hi in slices([len(t or "") for t in texts], 4 << 20):

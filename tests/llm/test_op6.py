@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -17,6 +18,15 @@ def plain():
     return lambda x: [*t.encode(x or "", add_special_tokens=False).ids, 2]
 
 
+def test_marks_apart_give_the_same_ids(plain):
+    r = random.Random(3)
+    bits = ["a", "B", "don't", "'s", "***", ".", ",", "!!", "é", "…", "5", " ", " ", "\n", "_", "&", "\x01", "ß", "I\u0307", "'", "\x85"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(12))) for _ in range(400)]
+    encode = op.word_encoder(PATH)
+    for t, words in zip(texts, op.loosen([t.encode() for t in texts]), strict=True):
+        assert [*(encode(words)[0].tolist() if words else []), 2] == plain(t), t
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
