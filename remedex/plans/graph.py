@@ -104,7 +104,7 @@ cand AS (SELECT id FROM p{STEPS} WHERE id LIKE 'P%' ORDER BY round(p, 10) DESC,
 o AS (SELECT c.id, count(e.dst) AS degree, count(r.id) AS observed FROM cand c JOIN e ON e.src = c.id LEFT JOIN region r ON r.id = e.dst GROUP BY c.id),
 h AS (SELECT o.*, least(degree, n - 1) AS nd, n - 1 AS m, 200 - (SELECT count(*) FROM region r WHERE r.id = o.id) AS k FROM o, nn),
 x AS (SELECT id, degree, observed, nd, m, k, unnest(CASE WHEN observed <= least(k, nd) THEN range(greatest(observed, nd + k - m), least(k, nd) + 1) ELSE [NULL] END) AS i FROM h),
-s AS (SELECT id, degree, observed, nd, m, k, CASE WHEN observed <= 0 THEN 1.0 ELSE coalesce(sum(exp(lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) + lgamma(m - k + 1) - lgamma(nd - i + 1) - lgamma(m - k - nd + i + 1) - lgamma(m + 1) + lgamma(nd + 1) + lgamma(m - nd + 1))), 0) END AS p FROM x GROUP BY ALL)"""
+s AS (SELECT id, degree, observed, nd, m, k, CASE WHEN observed <= 0 THEN 1.0 ELSE coalesce(sum(exp(lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) + lgamma(m - k + 1) - lgamma(nd - i + 1) - lgamma(m - k - nd + i + 1) - lgamma(m + 1) + lgamma(nd + 1) + lgamma(m - nd + 1))), 0) END AS p FROM x GROUP BY id, degree, observed, nd, m, k)"""
 
 
 def corrected(spark, d) -> DataFrame:
