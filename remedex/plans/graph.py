@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from remedex.operators import graph as g
 from remedex.plans import query
+from remedex.sources.settle import settled
 from remedex.sources.tables import table
 
 KIND = lambda c: F.substring(c, 1, 1)
@@ -88,7 +89,8 @@ STEPS = 6
 
 def scores(spark, d, e=None) -> DataFrame:
     seeds = spark.createDataFrame([(SEED, 1.0)], "id string, p double")
-    return g.walk(g.layered_weights(edges(spark, d) if e is None else e, KIND), seeds, STEPS, normalise=False)
+    weights = settled(g.layered_weights(edges(spark, d) if e is None else e, KIND))  # each step reads them
+    return g.walk(weights, seeds, STEPS, normalise=False)
 
 
 @query("kg_random_walk_topk", f"WITH {EDGES}, {WEIGHTS}, {_steps(STEPS)} SELECT id, round(p, 10) AS p FROM p{STEPS} WHERE id LIKE 'P%' ORDER BY p DESC, id LIMIT 50")
@@ -108,8 +110,8 @@ s AS (SELECT id, degree, observed, nd, m, k, CASE WHEN observed <= 0 THEN 1.0 EL
 
 
 def corrected(spark, d) -> DataFrame:
-    e = edges(spark, d)
-    p = scores(spark, d, e).withColumn("p", F.round("p", 10))
+    e = settled(edges(spark, d))
+    p = settled(scores(spark, d, e).withColumn("p", F.round("p", 10)))
     top = lambda kinds, n: p.where(KIND(F.col("id")).isin(*kinds)).orderBy(F.col("p").desc(), "id").limit(n).select("id")
     nodes = e.select(F.count_distinct("src")).first()[0]
     return g.degree_corrected(e, top("SP", 200), top("P", 500), F.lit(nodes))
@@ -236,7 +238,7 @@ def kg_two_hop_metapaths(spark, d):
 def kg_null_model_zscore(spark, d):
     """Mean and deviation of the scores over degree-matched seeds, walked together, and z of the seed's own scores."""
     e = edges(spark, d)
-    w = g.layered_weights(e, KIND)
+    w = settled(g.layered_weights(e, KIND))
     own = g.degree(e).where(KIND(F.col("id")) == "N")
     bucket = own.withColumn("q", F.expr("ntile(4) over (order by log1p(degree), id)"))
     picked = bucket.withColumn("n", F.expr("row_number() over (partition by q order by xxhash64(id), id)")).where("n <= 2")
