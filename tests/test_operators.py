@@ -58,7 +58,7 @@ def test_patent_texts(spark):
 def test_queries(spark):
     assert one(spark, text.gene_symbol(F.lit("THE role of JAK2 in x")))[0] == "JAK2"
     assert tuple(one(spark, text.target_and_disease(F.lit("JAK2 in myelofibrosis for x")))[0]) == ("JAK2", "myelofibrosis for x")
-    assert one(spark, text.without_noise(F.lit("@txkg find targets for asthma."), ["find targets", "for"]))[0] == "asthma"
+    assert one(spark, text.without_noise(F.lit("@graph find targets for asthma."), ["find targets", "for"]))[0] == "asthma"
     assert one(spark, text.numbered_reply(F.lit("1. a\n2) b\n9. c\n2. d"), 3))[0] == {1: "a", 2: "d"}
     assert one(spark, text.trimmed_to_sentence(F.lit("A full one. Another. And a bro")))[0] == "A full one. Another."
 
