@@ -58,7 +58,7 @@ def section_weight(section: Column, weights: dict = SECTION_WEIGHTS, other: floa
 
 def sentences(text: Column) -> Column:
     """Sentences: cut after . ! or ? where a capital, a bracket or a parenthesis follows."""
-    return F.filter(F.transform(F.split(F.trim(text), r"(?<=[.!?])\s+(?=[A-Z(\[])"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.trim(text), r"(?<=[.!?])\s+(?=[A-Z(\[])"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def terms_in(text: Column, terms) -> Column:
