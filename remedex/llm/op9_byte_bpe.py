@@ -30,7 +30,10 @@ from remedex.llm.common import Lexicon, kept, slices, small_batches, table, text
 
 NAME = "op9_byte_bpe"
 RANKS = "byte_bpe_multi_50k.tiktoken"
-LONG, MEMORY = 400, "300MB"
+LONG, MEMORY = 400, "160MB"
+KNOWN = 250_000  # pieces that a Python worker keeps
+#: Bytes of an Arrow batch, characters cut into pieces at once, and ids decoded at once.
+BATCH, CUT, DECODED = "8m", 2 << 20, 1 << 18
 
 _MERGE = """
 WITH RECURSIVE state(round, piece, pos, token) AS (
@@ -66,10 +69,12 @@ class Merger:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.db = ranks, _database()
         rows = [(ranks[t[:i]] << 24 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.pairs = dict(rows)
-        made = pa.table({"pair": pa.array([a for a, _ in rows], pa.int64()), "merged": pa.array([b for _, b in rows], pa.int32())})
-        self.db.register("made", made)
+        pairs = np.array(rows, dtype=np.int64)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        self.pair, self.merged = pairs[:, 0].copy(), pairs[:, 1].astype(np.int32)
+        self.db.register("made", pa.table({"pair": self.pair, "merged": self.merged}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM made")
+        self.db.unregister("made")
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
 
     def __call__(self, new: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,10 +93,15 @@ class Merger:
             pos = (np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
             self.db.register("bytes", pa.table({"piece": piece, "pos": pos, "token": self.byte[data]}))
             got = self.db.sql(_MERGE).fetchnumpy()
+            self.db.unregister("bytes")
             for i, ids in zip(rest, np.split(got["token"], np.flatnonzero(np.diff(got["piece"])) + 1), strict=True):
                 out[i] = ids
         return np.concatenate([np.zeros(0, np.int32), *out]).astype(np.int32), np.array([len(x) for x in out], dtype=np.int64)
 
+    def rank(self, pair: int) -> int | None:
+        at = int(np.searchsorted(self.pair, pair))
+        return int(self.merged[at]) if at < len(self.pair) and self.pair[at] == pair else None
+
     def long(self, piece: bytes) -> list[int]:
         """The same contraction of a long piece, with a heap of its pairs by rank and place."""
         token = self.byte[np.frombuffer(piece, np.uint8)].tolist()
@@ -100,7 +110,7 @@ class Merger:
 
         def push(i: int) -> None:
             j = after[i]
-            if j < len(token) and (r := self.pairs.get(token[i] << 24 | token[j])) is not None:
+            if j < len(token) and (r := self.rank(token[i] << 24 | token[j])) is not None:
                 heapq.heappush(heap, (r, i, token[i] << 24 | token[j]))
 
         for i in range(len(token)):
@@ -124,10 +134,10 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: Sequence[str] = ("doc
     """The columns in ``keep`` and ids (array of int) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, known = regex.compile(pattern), kept(("pieces", path), lambda: Lexicon(Merger(load_ranks(path))))
+        cut, known = regex.compile(pattern), kept(("pieces", path), lambda: Lexicon(Merger(load_ranks(path)), KNOWN))
         for b in batches:
             texts = b.column(len(keep)).to_pylist()
-            for lo, hi in slices([len(t or "") for t in texts], 4 << 20):
+            for lo, hi in slices([len(t or "") for t in texts], CUT):
                 split = [cut.findall(t) if t else [] for t in texts[lo:hi]]
                 pieces = {p: p.encode(errors="surrogatepass") for p in {p for x in split for p in x}}
                 known.add(set(pieces.values()))
@@ -137,7 +147,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: Sequence[str] = ("doc
                 at = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])]
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(len(keep))), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], [*keep, "ids"])
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=BATCH)
     rows = docs.select(*keep, docs[text].alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{schema}, ids array<int>")
@@ -157,7 +167,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for b in batches:
             lists = b.column(at_ids)
             at, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            for lo, hi in slices(np.diff(at).tolist(), 1 << 20):
+            for lo, hi in slices(np.diff(at).tolist(), DECODED):
                 n = np.diff(at[lo : hi + 1])
                 part = ids[at[lo] : at[hi]]
                 doc = np.repeat(np.arange(hi - lo, dtype=np.int32), n)
