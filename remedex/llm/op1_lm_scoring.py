@@ -38,7 +38,8 @@ CLASSES, CONTEXTS = 256, 65536
 SWEEPS, BURN = 4, 1
 #: Discounts and strengths of the root, the classes and the contexts.
 DISCOUNT, STRENGTH = (0.75, 0.8, 0.9), (20.0, 20.0, 20.0)
-BYTES_PER_BUCKET, TOKENS_PER_CHUNK, HOT_SHARE, HOT_TOKENS = 24 << 20, 2_500_000, 1000, 6_000_000
+BYTES_PER_BUCKET, TOKENS_PER_CHUNK, HOT_SHARE, HOT_TOKENS = 16 << 20, 1_200_000, 1000, 6_000_000
+BATCH = "8m"  # bytes of an Arrow batch: with the tokens of a chunk, what a Python worker holds of long texts
 END = mix(np.array([0x5EED], dtype=np.uint64))[0]
 
 
@@ -371,7 +372,7 @@ def score(found: DataFrame, model: DataFrame, states: list[dict], hot: np.ndarra
 def lm_scores(docs: DataFrame, scratch: Scratch, seed: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
-    small_batches(spark, rows=2000)
+    small_batches(spark, rows=2000, size=BATCH)
     held = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 7 == 2
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -396,9 +397,9 @@ def lm_scores(docs: DataFrame, scratch: Scratch, seed: int = 1) -> DataFrame:
     states = [totals(model, hot, [], seed)]
     for _ in range(SWEEPS):
         states.append(totals(model, hot, states[: len(states)], seed))
-    small_batches(spark, rows=2000)
+    small_batches(spark, rows=2000, size=BATCH)
     found = occurrences(rows, buckets, hot, salts)
-    small_batches(spark, rows=2000)
+    small_batches(spark, rows=2000, size=BATCH)
     sums = score(found, model, states, hot, buckets, salts, train, seed)
     out = sums.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
     return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(train).cast("bigint").alias("train_tokens"), "base_score", "score")
