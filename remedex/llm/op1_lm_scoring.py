@@ -1,22 +1,23 @@
 """LM scoring by a hierarchical Pitman-Yor model.
 
-Restaurants form a fixed tree: the root, 256 classes of the previous word by its last two bytes, and below each class
-256 groups of previous words by hash.  The 65,536 contexts of the lowest level share the 256 parents, and these the
-root; all counts of contexts are therefore of bounded size whatever the corpus, and go to every task.  The dishes are
-words; the root draws new ones from an open base, so the mass of an unseen word is that of a new table at the root.
+There is one restaurant for every previous word, by its full 64-bit hash, and they share the empty context, the root.
+The dishes are words; the root draws new ones from an open base, so the mass of an unseen word is that of a new table at
+the root.  Contexts and words grow with the corpus; nothing but the root's totals and the hot words goes to every task.
 
 Seating is sampled by Gibbs sweeps.  A dish's customers in a restaurant are seated anew, one after the other, given the
 tables of all other dishes in the last sweep: a customer opens a table with weight (strength + discount * tables) *
 parent probability, and joins one with weight (customers - discount * tables).  Long runs of customers are skipped to
-the next possible new table and thinned, which samples the same seating.  Dishes are dealt to buckets by hash, so a
-dish's tables at all levels lie together; sweeps exchange only the table counts of the restaurants.  After the first
-sweep, the predictive probabilities of all sweeps are averaged.  Buckets are sampled from a seed of their own, so tasks
-can be run again.
+the next possible new table and thinned, which samples the same seating.  After the first sweep, the predictive
+probabilities of all sweeps are averaged.  Buckets are sampled from a seed of their own, so tasks can be run again.
 
-Counts of (word, context) are summed within a chunk of documents before they are dealt.  For scoring, a chunk sends its
-distinct (word, context) pairs and the documents that they occur in to the bucket of the word, which answers with sums
-for each document.  Words with at least a thousandth of all training tokens (a thousand words at most) go to salted
-buckets that all know these words.
+A cell is a (word, previous word) of any document, with its training customers (none, if only held-out documents have
+it) and tables.  Cells are dealt to buckets by the word's hash, so a word's tables lie together; those of hot words (a
+thousandth of the tokens of a sample of the documents, a thousand words at most) are dealt to further buckets by both
+words, and only their totals go to all tasks.  For a sweep, each bucket sends what it holds of a context to the context's
+home and gets the context's customers and tables back; a context of any share is one entry for each bucket there.
+
+Counts of cells are summed within a chunk of documents before they are dealt.  For scoring, a chunk sends its cells and
+the documents that they occur in to the cell's bucket, which answers with sums for each document.
 
 Defined cases: a null text is empty and has the end token alone; rows of one doc_id are one document whose figures add
 up; with no training documents all words are unknown; an empty table gives no rows; other columns are ignored.
@@ -31,46 +32,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remedex.llm.common import _LOWER, ByteHash, Scratch, concat, gather, groups, mix, slices, small_batches, table, word_bounds
+from remedex.llm.common import _LOWER, ByteHash, Scratch, concat, gather, groups, mix, release, slices, small_batches, table, word_bounds
 
 NAME = "op1_lm_scoring"
 CLASSES, CONTEXTS = 256, 65536
 SWEEPS, BURN = 4, 1
-#: Discounts and strengths of the root, the classes and the contexts.
+#: Discounts and strengths of the root, the classes (of the fixed tree below only) and the contexts.
 DISCOUNT, STRENGTH = (0.75, 0.8, 0.9), (20.0, 20.0, 20.0)
 BYTES_PER_BUCKET, TOKENS_PER_CHUNK, HOT_SHARE, HOT_TOKENS = 16 << 20, 1_200_000, 1000, 6_000_000
 BATCH = "8m"  # bytes of an Arrow batch: with the tokens of a chunk, what a Python worker holds of long texts
+SAMPLE = 16 << 20  # characters of the documents that hot words are found in; they decide where cells lie, not what they hold
 END = mix(np.array([0x5EED], dtype=np.uint64))[0]
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and context of every token (words, then the end), and the number of tokens of each text."""
-    parts = [_tokens(texts[lo:hi]) for lo, hi in slices([len(t) for t in texts], 1 << 20)]
-    return tuple(np.concatenate([x[i] for x in parts]) for i in range(3)) if parts else _tokens([])
-
-
-def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    buf, bounds = concat(texts)
-    buf = _LOWER[buf]
-    starts, ends, n = word_bounds(buf, bounds)
-    at = np.cumsum(n)
-    word = ByteHash(buf).of(starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    tail = np.where(ends - starts > 1, buf[np.maximum(ends - 2, 0)] if len(ends) else 0, 0).astype(np.uint64) << np.uint64(8) | (buf[ends - 1].astype(np.uint64) if len(ends) else np.zeros(0, np.uint64))
-    group = (mix(tail + np.uint64(1)) & np.uint64(0xFF)) << np.uint64(8) | (word >> np.uint64(56))
-    word = np.insert(word, at, END)
-    group = np.insert(group, at, END & np.uint64(0xFFFF))
-    context = np.empty(len(group), dtype=np.uint16)
-    context[1:] = group[:-1]
-    first = at + np.arange(len(at)) - n
-    context[first] = END & np.uint64(0xFFFF)
-    return word, context, n + 1
-
-
-def _pairs(word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct words, sorted distinct keys (word number << 16 | context), and the key of each token."""
-    words, number = np.unique(word, return_inverse=True)
-    key = number.astype(np.uint64) << np.uint64(16) | context
-    return words, key, number
+COUNTS = "bucket int, words binary, runs binary, contexts binary, counts binary"
 
 
 def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,54 +65,6 @@ def _blob(x: np.ndarray, kind) -> bytes:
     return x.astype(kind).tobytes()
 
 
-COUNTS = "bucket int, words binary, runs binary, contexts binary, counts binary"
-
-
-def counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """Training counts of (word, context) by bucket of the word, merged: one row for each bucket."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in chunks(batches):
-            b = b[~b["held"]]
-            if not len(b):
-                continue
-            word, context, _ = tokens([t.encode(errors="surrogatepass") for t in b["text"]])
-            words, key, _ = _pairs(word, context)
-            yield pack(words, *np.unique(key, return_counts=True))
-
-    def pack(words: np.ndarray, keys: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-        at = (words % np.uint64(buckets)).astype(np.int32)
-        number = (keys >> np.uint64(16)).astype(np.int64)
-        runs = np.bincount(number, minlength=len(words))
-        order = np.argsort(at[number], kind="stable")
-        worder = np.argsort(at, kind="stable")
-        size, wsize = np.bincount(at[number], minlength=buckets), np.bincount(at, minlength=buckets)
-        e, w = np.cumsum(size), np.cumsum(wsize)
-        rows = []
-        for k in np.flatnonzero(wsize):
-            part, own = order[e[k] - size[k] : e[k]], worder[w[k] - wsize[k] : w[k]]
-            rows.append((int(k), _blob(words[own], "<u8"), _blob(runs[own], "<u4"), _blob(keys[part] & np.uint64(0xFFFF), "<u2"), _blob(n[part], "<u4")))
-        return pd.DataFrame(rows, columns=["bucket", "words", "runs", "contexts", "counts"])
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in groups(batches, ["bucket"]):
-            words, contexts, n = unpack(g)
-            kinds, key, _ = _pairs(words, contexts)
-            order = np.argsort(key)
-            key = key[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            total = np.add.reduceat(n[order], first)
-            key = key[first]
-            runs = np.bincount((key >> np.uint64(16)).astype(np.int64), minlength=len(kinds))
-            yield pd.DataFrame([(int(g["bucket"].iloc[0]), _blob(kinds, "<u8"), _blob(runs, "<u4"), _blob(key & np.uint64(0xFFFF), "<u2"), _blob(total, "<u8"))], columns=["bucket", "words", "runs", "contexts", "counts"])
-
-    def unpack(g: pd.DataFrame):
-        words = np.frombuffer(b"".join(g["words"]), "<u8")
-        return np.repeat(words, np.frombuffer(b"".join(g["runs"]), "<u4")), np.frombuffer(b"".join(g["contexts"]), "<u2"), np.frombuffer(b"".join(g["counts"]), "<u4").astype(np.int64)
-
-    return gather(docs.mapInPandas(count, COUNTS), ["bucket"]).mapInPandas(merge, COUNTS)
-
-
 def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.ndarray:
     """Tables of each dish after its customers are seated one by one. ``weight`` is that of a new table."""
     t = np.minimum(customers, 1).astype(np.int64)
@@ -155,6 +82,372 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.
     return t
 
 
+def pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct words, the cell (word number << 32 | number of the previous word) of every token, and the number
+    of tokens of each text. The words of a text are followed by the end, which also stands before the first."""
+    parts = [_hashes(texts[lo:hi]) for lo, hi in slices([len(t) for t in texts], 1 << 20)]
+    word, n = (np.concatenate([x[i] for x in parts]) for i in range(2)) if parts else _hashes(texts)
+    words, number = np.unique(word, return_inverse=True)
+    number = number.astype(np.uint64)
+    before = np.empty_like(number)
+    before[1:] = number[:-1]
+    before[np.cumsum(n) - n] = np.searchsorted(words, END)
+    return words, number << np.uint64(32) | before, n
+
+
+def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    buf, bounds = concat(texts)
+    buf = _LOWER[buf]
+    starts, ends, n = word_bounds(buf, bounds)
+    word = ByteHash(buf).of(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    return np.insert(word, np.cumsum(n), END), n + 1
+
+
+def encoded(texts) -> list[bytes]:
+    return [t.encode(errors="surrogatepass") for t in texts]
+
+
+def split_cells(cell: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the word, and hash of the previous word, of each cell."""
+    return (cell >> np.uint64(32)).astype(np.int64), words[(cell & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+
+
+def narrow(x: np.ndarray) -> bytes:
+    """Numbers in as few bytes as the largest takes; ``wide`` reads n of them."""
+    most = int(x.max()) if len(x) else 0
+    return _blob(x, "<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8")
+
+
+def wide(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(b, f"<u{len(b) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+class Deal:
+    """The bucket of each cell: by its word, or for hot words by both words."""
+
+    def __init__(self, buckets: int, hot: np.ndarray, salts: int):
+        self.buckets, self.hot, self.salts = buckets, hot, salts
+
+    def __call__(self, words: np.ndarray, number: np.ndarray, context: np.ndarray) -> np.ndarray:
+        at = (words % np.uint64(self.buckets)).astype(np.int64)[number]
+        own = np.isin(words, self.hot)[number]
+        at[own] = self.buckets + (mix(words[number[own]] ^ mix(context[own])) % np.uint64(self.salts)).astype(np.int64)
+        return at
+
+
+def runs_of(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a sorted array and how often each stands there."""
+    first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    return number[first], np.diff(np.append(first, len(number)))
+
+
+def frequent(docs: DataFrame, size: int) -> pd.DataFrame:
+    """word, n, share: the words with at least a thousandth of the tokens of a sample of the documents."""
+    if size > SAMPLE:
+        docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(size // SAMPLE + 1)) == 0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in filter(len, chunks(batches)):
+            words, cell, _ = pairs(encoded(b["text"]))
+            n = np.bincount((cell >> np.uint64(32)).astype(np.int64), minlength=len(words))
+            yield pd.DataFrame({"word": words.view(np.int64), "n": n})
+
+    n = docs.select("doc_id", "text").mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = n.agg(F.sum("n").alias("total"))  # one row
+    top = n.crossJoin(total).where(F.col("n") * HOT_SHARE >= F.col("total")).orderBy("word").toPandas()  # HOT_SHARE rows at most
+    return top.assign(share=top["n"] / top["total"])
+
+
+def counts(docs: DataFrame, deal: Deal) -> DataFrame:
+    """The cells of each bucket with their training customers, one row for each bucket: the first state of the model."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in filter(len, chunks(batches)):
+            words, cell, n = pairs(encoded(b["text"]))
+            cells, which = np.unique(cell, return_inverse=True)
+            c = np.bincount(which, np.repeat(~b["held"].to_numpy(bool), n), len(cells)).astype(np.int64)
+            number, context = split_cells(cells, words)
+            at = deal(words, number, context)
+            order = np.argsort(at, kind="stable")
+            rows, lo = [], 0
+            for k, size in zip(*runs_of(at[order]), strict=True):
+                part = order[lo : lo + size]
+                lo += size
+                kinds, runs = runs_of(number[part])
+                rows.append((int(k), _blob(words[kinds], "<u8"), _blob(runs, "<u4"), _blob(context[part], "<u8"), narrow(c[part])))
+            yield pd.DataFrame(rows, columns=["bucket", "words", "runs", "contexts", "counts"])
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches, ["bucket"]):
+            word = np.repeat(np.frombuffer(b"".join(g["words"]), "<u8"), np.frombuffer(b"".join(g["runs"]), "<u4"))
+            context = np.frombuffer(b"".join(g["contexts"]), "<u8")
+            c = np.concatenate([wide(x, len(y) // 8) for x, y in zip(g["counts"], g["contexts"], strict=True)])
+            order = np.lexsort((context, word))
+            word, context = word[order], context[order]
+            first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (context[1:] != context[:-1])]))
+            names, local = np.unique(context[first], return_inverse=True)
+            words, runs = runs_of(word[first])
+            yield Cells(int(g["bucket"].iloc[0]), words, runs, local, np.add.reduceat(c[order], first), names).row(deal)
+
+    return gather(docs.mapInPandas(count, COUNTS), ["bucket"]).mapInPandas(merge, STATE)
+
+
+STATE = "bucket int, words binary, runs binary, contexts binary, counts binary, names binary, tables binary, sums binary, n long, v long, train long, hot binary"
+
+
+class Cells:
+    """The cells of a bucket, sorted by word and previous word: customers, tables and summed probabilities.
+
+    ``names`` are the sorted hashes of the previous words, ``context`` the place of each cell's one among them.
+    """
+
+    def __init__(self, bucket: int, words, runs, context, c, names, t=None, sums=None):
+        self.bucket, self.words, self.runs, self.context, self.c, self.names = bucket, words, runs, context, c, names
+        self.word = np.repeat(np.arange(len(words)), runs)
+        self.t = np.minimum(c, 1) if t is None else t
+        self.sums = np.zeros(0) if sums is None else sums
+
+    @staticmethod
+    def read(row) -> Cells:
+        words, runs, context = (np.frombuffer(getattr(row, k), kind) for k, kind in (("words", "<u8"), ("runs", "<u4"), ("contexts", "<u4")))
+        c, t = wide(row.counts, len(context)), wide(row.tables, len(context))
+        return Cells(int(row.bucket), words, runs, context.astype(np.int64), c, np.frombuffer(row.names, "<u8"), t, np.frombuffer(row.sums, "<f8"))
+
+    def row(self, deal: Deal) -> pd.DataFrame:
+        """The state as a row. Tables and customers of hot words lie in many buckets and are added up by the driver."""
+        n, c, hot = np.bincount(self.word, self.t, len(self.words)), np.bincount(self.word, self.c, len(self.words)), None
+        if self.bucket >= deal.buckets:
+            hot = np.zeros((2, len(deal.hot)), np.int64)
+            hot[:, np.searchsorted(deal.hot, self.words)] = n, c
+            hot = _blob(hot, "<i8")
+        own = (self.bucket, _blob(self.words, "<u8"), _blob(self.runs, "<u4"), _blob(self.context, "<u4"), narrow(self.c), _blob(self.names, "<u8"), narrow(self.t), _blob(self.sums, "<f8"))
+        return pd.DataFrame([(*own, int(n.sum()), int((n > 0).sum()) if hot is None else 0, int(c.sum()), hot)], columns=[x.split()[0] for x in STATE.split(", ")])
+
+    def root(self, g: dict, deal: Deal) -> np.ndarray:
+        """Probability of each word at the root."""
+        n = np.bincount(self.word, self.t, len(self.words)) if self.bucket < deal.buckets else g["hot"][0][np.searchsorted(deal.hot, self.words)]
+        return np.where(n > 0, n - DISCOUNT[0], STRENGTH[0] + DISCOUNT[0] * g["v"]) / (STRENGTH[0] + g["n"])
+
+    def known(self, g: dict, deal: Deal) -> np.ndarray:
+        """Training customers of each word."""
+        return np.bincount(self.word, self.c, len(self.words)) if self.bucket < deal.buckets else g["hot"][1][np.searchsorted(deal.hot, self.words)]
+
+    def sweep(self, k: int, g: dict, customers: np.ndarray, tables: np.ndarray, deal: Deal, seed: int) -> None:
+        """Add up the probabilities of sweep k, given the contexts' customers and tables after it, and seat the next."""
+        new = (STRENGTH[2] + DISCOUNT[2] * tables[self.context]) * self.root(g, deal)[self.word]
+        if k > BURN:
+            p = (self.c - DISCOUNT[2] * self.t + new) / (STRENGTH[2] + customers[self.context])
+            self.sums = self.sums + p if len(self.sums) else p
+        if k < SWEEPS:
+            self.t = seat(self.c, new, DISCOUNT[2], np.random.default_rng((seed, self.bucket, k)))
+
+
+def homes_of(names: np.ndarray, homes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts of a bucket in the order of their homes, these homes, and the number of contexts of each."""
+    at = (mix(names) % np.uint64(homes)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    return order, *runs_of(at[order])
+
+
+def answers(state: DataFrame, homes: int) -> DataFrame:
+    """Customers and tables, over all buckets, of the contexts of each (bucket, home)."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples(index=False):
+                names, context = np.frombuffer(row.names, "<u8"), np.frombuffer(row.contexts, "<u4")
+                c, t = (np.bincount(context, wide(v, len(context)), len(names)).astype(np.int64) for v in (row.counts, row.tables))
+                order, at, size = homes_of(names, homes)
+                ends = np.cumsum(size)
+                parts = [order[lo:hi] for lo, hi in zip(ends - size, ends, strict=True)]
+                yield pd.DataFrame({"home": at, "bucket": row.bucket, "names": [_blob(names[p], "<u8") for p in parts], "customers": [narrow(c[p]) for p in parts], "tables": [narrow(t[p]) for p in parts]})
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches, ["home"]):
+            sizes = np.array([len(x) // 8 for x in g["names"]])
+            _, which = np.unique(np.frombuffer(b"".join(g["names"]), "<u8"), return_inverse=True)
+            ends = np.cumsum(sizes)
+            out = {"bucket": g["bucket"].to_numpy(), "home": g["home"].to_numpy()}
+            for k in ("customers", "tables"):
+                v = np.concatenate([wide(x, n) for x, n in zip(g[k], sizes, strict=True)])
+                total = np.bincount(which, v).astype(np.int64)[which]
+                out[k] = [narrow(total[lo:hi]) for lo, hi in zip(ends - sizes, ends, strict=True)]
+            yield pd.DataFrame(out)
+
+    asked = state.select("bucket", "contexts", "counts", "names", "tables").mapInPandas(ask, "home int, bucket int, names binary, customers binary, tables binary")
+    return gather(asked, ["home"]).mapInPandas(answer, "bucket int, home int, customers binary, tables binary")
+
+
+def root_totals(state: DataFrame, deal: Deal) -> dict:
+    """Tables and kinds of words at the root, training tokens, and tables and customers of the hot words."""
+    rows = state.select("n", "v", "train", "hot").collect()  # one small row for each bucket
+    hot = sum((np.frombuffer(r.hot, "<i8").reshape(2, -1) for r in rows if r.hot is not None), np.zeros((2, len(deal.hot)), np.int64))
+    return {"n": sum(r.n for r in rows), "v": sum(r.v for r in rows) + int((hot[0] > 0).sum()), "train": sum(r.train for r in rows), "hot": hot}
+
+
+def swept(state: DataFrame, k: int, g: dict, deal: Deal, seed: int) -> DataFrame:
+    """The state after sweep k + 1."""
+    nothing = F.lit(None).cast("binary")
+    back = answers(state, deal.buckets)
+    own = state.drop("n", "v", "train", "hot").withColumns({"home": F.lit(-1), "customers": nothing})
+    rows = own.unionByName(back, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", "home")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x = None
+        for b in batches:
+            for row in b.itertuples(index=False):
+                if row.home < 0:
+                    if x is not None:
+                        x.sweep(k, g, c, t, deal, seed)
+                        yield x.row(deal)
+                    x = Cells.read(row)
+                    c, t = np.zeros(len(x.names)), np.zeros(len(x.names))
+                    order, at, size = homes_of(x.names, deal.buckets)
+                    ends = np.cumsum(size)
+                    place = {int(h): order[e - n : e] for h, e, n in zip(at, ends, size, strict=True)}
+                else:
+                    p = place[int(row.home)]
+                    c[p], t[p] = wide(row.customers, len(p)), wide(row.tables, len(p))
+        if x is not None:
+            x.sweep(k, g, c, t, deal, seed)
+            yield x.row(deal)
+
+    return rows.mapInPandas(run, STATE)
+
+
+OCCURS = "bucket int, words binary, runs binary, contexts binary, counts binary, docs binary, times binary, ids binary"
+
+
+def occurrences(docs: DataFrame, deal: Deal) -> DataFrame:
+    """The cells of a chunk by bucket, and the documents that they occur in with the times."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in filter(len, chunks(batches)):
+            words, cell, n = pairs(encoded(b["text"]))
+            ids = b["doc_id"].to_numpy()
+            order = np.argsort(cell, kind="stable")
+            cell, doc = cell[order], np.repeat(np.arange(len(b)), n)[order]
+            new = np.concatenate([[True], cell[1:] != cell[:-1]])
+            first = np.flatnonzero(new | np.concatenate([[True], doc[1:] != doc[:-1]]))  # of each (cell, document)
+            times, doc = np.diff(np.append(first, len(cell))), doc[first]
+            which = np.cumsum(new)[first] - 1
+            number, context = split_cells(cell[new], words)
+            del order, cell, new, first
+            at = deal(words, number, context)
+            order, eorder = np.argsort(at, kind="stable"), np.argsort(at[which], kind="stable")
+            each = np.bincount(which, minlength=len(at))
+            rows, lo, elo = [], 0, 0
+            for k, size in zip(*runs_of(at[order]), strict=True):
+                part = order[lo : lo + size]
+                lo += size
+                kinds, runs = runs_of(number[part])
+                epart = eorder[elo : elo + int(each[part].sum())]
+                elo += len(epart)
+                used, own = np.unique(doc[epart], return_inverse=True)
+                rows.append((int(k), _blob(words[kinds], "<u8"), _blob(runs, "<u4"), _blob(context[part], "<u8"), narrow(each[part]), narrow(own), narrow(times[epart]), _blob(ids[used], "<i8")))
+            yield pd.DataFrame(rows, columns=["bucket", "words", "runs", "contexts", "counts", "docs", "times", "ids"])
+
+    return docs.mapInPandas(run, OCCURS)
+
+
+def score(found: DataFrame, state: DataFrame, g: dict, deal: Deal) -> DataFrame:
+    """doc_id and sums of score, base_score, tokens and known tokens, for each chunk and bucket."""
+    own = state.drop("n", "v", "train", "hot").withColumn("side", F.lit(0))
+    rows = own.unionByName(found.withColumn("side", F.lit(1)), allowMissingColumns=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                if not r.side:
+                    x = Cells.read(r)
+                    cell, log_p, known = x.word * len(x.names) + x.context, np.log10(x.sums / (SWEEPS - BURN)), x.known(g, deal)
+                    continue
+                words, runs, contexts, ids = (np.frombuffer(getattr(r, k), kind) for k, kind in (("words", "<u8"), ("runs", "<u4"), ("contexts", "<u8"), ("ids", "<i8")))
+                each = wide(r.counts, len(contexts))
+                doc, times = (wide(v, int(each.sum())) for v in (r.docs, r.times))
+                w = np.repeat(np.searchsorted(x.words, words), runs)
+                at = np.searchsorted(cell, w * len(x.names) + np.searchsorted(x.names, contexts))  # every cell is there
+                c = known[w]
+                base = np.log10((c + 1) / (g["train"] + g["v"] + 1))
+                sums = [np.bincount(doc, np.repeat(v, each) * times, len(ids)) for v in (log_p[at], base, c > 0)]
+                yield pd.DataFrame({"doc_id": ids, "score": sums[0], "base_score": sums[1], "n_known": sums[2].astype(np.int64), "n_tokens": np.bincount(doc, times, len(ids)).astype(np.int64)})
+
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "side")
+    return dealt.mapInPandas(run, "doc_id long, score double, base_score double, n_known long, n_tokens long")
+
+
+def trained(rows: DataFrame, scratch: Scratch, deal: Deal, seed: int) -> tuple[DataFrame, dict]:
+    """The cells after all sweeps with their summed probabilities, and the totals of the root."""
+    spark = rows.sparkSession
+    state = scratch.put(counts(rows, deal), "s0")
+    for k in range(SWEEPS + 1):
+        g = root_totals(state, deal)
+        state = scratch.put(swept(state, k, g, deal, seed), f"s{k + 1}")
+        scratch.drop(f"s{k}")
+        release(spark)
+    return state, g
+
+
+def lm_scores(docs: DataFrame, scratch: Scratch, seed: int = 1) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    spark = docs.sparkSession
+    small_batches(spark, rows=2000, size=BATCH)
+    held = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 7 == 2
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    top = frequent(rows, size)
+    salts = int(top["share"].sum() * size / 6 // HOT_TOKENS) + 1
+    deal = Deal(int(size // BYTES_PER_BUCKET) + 1, np.sort(top["word"].to_numpy(np.int64).view(np.uint64)), salts)
+    state, g = trained(rows, scratch, deal, seed)
+    sums = score(occurrences(rows, deal), state, g, deal)
+    out = sums.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(g["train"]).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    return lm_scores(table(spark, sf_dir, "documents"), scratch)
+
+
+def perplexity(scores: DataFrame) -> DataFrame:
+    """Perplexity of the model and of the base on held-out documents."""
+    per = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))
+    return scores.where("held_out").agg(per("score").alias("model"), per("base_score").alias("base"))
+
+
+# ---------------------------------------------------------------- a tree of 65,536 hashed contexts; no query uses it
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and context of every token (words, then the end), and the number of tokens of each text."""
+    parts = [_tokens(texts[lo:hi]) for lo, hi in slices([len(t) for t in texts], 1 << 20)]
+    return tuple(np.concatenate([x[i] for x in parts]) for i in range(3)) if parts else _tokens([])
+
+
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    buf, bounds = concat(texts)
+    buf = _LOWER[buf]
+    starts, ends, n = word_bounds(buf, bounds)
+    at = np.cumsum(n)
+    word = ByteHash(buf).of(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    tail = np.where(ends - starts > 1, buf[np.maximum(ends - 2, 0)] if len(ends) else 0, 0).astype(np.uint64) << np.uint64(8) | (buf[ends - 1].astype(np.uint64) if len(ends) else np.zeros(0, np.uint64))
+    group = (mix(tail + np.uint64(1)) & np.uint64(0xFF)) << np.uint64(8) | (word >> np.uint64(56))
+    word = np.insert(word, at, END)
+    group = np.insert(group, at, END & np.uint64(0xFFFF))
+    context = np.empty(len(group), dtype=np.uint16)
+    context[1:] = group[:-1]
+    first = at + np.arange(len(at)) - n
+    context[first] = END & np.uint64(0xFFFF)
+    return word, context, n + 1
+
+
+def _pairs(word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct words, sorted distinct keys (word number << 16 | context), and the key of each token."""
+    words, number = np.unique(word, return_inverse=True)
+    key = number.astype(np.uint64) << np.uint64(16) | context
+    return words, key, number
+
+
 class Dishes:
     """The words of a bucket with their customers and tables at all levels."""
 
@@ -239,46 +532,6 @@ def totals(model: DataFrame, hot: np.ndarray, states: list[dict], seed: int) ->
     return out | {"n": float(root["c"].sum()), "v": int(root["t"].sum())}
 
 
-OCCURS = "bucket int, words binary, runs binary, contexts binary, counts binary, docs binary, ids binary"
-
-
-def occurrences(docs: DataFrame, buckets: int, hot: np.ndarray, salts: int) -> DataFrame:
-    """The (word, context) pairs of a chunk by bucket, and the documents of their occurrences."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in chunks(batches):
-            word, context, n = tokens([t.encode(errors="surrogatepass") for t in b["text"]])
-            ids = b["doc_id"].to_numpy()
-            doc = np.repeat(np.arange(len(b), dtype=np.uint32), n)
-            words, key, number = _pairs(word, context)
-            salt = int(mix(np.array([ids[0]], dtype=np.int64).view(np.uint64))[0] % np.uint64(salts))
-            at = np.where(np.isin(words, hot), buckets + salt, (words % np.uint64(buckets)).astype(np.int64))
-            rank = np.empty(len(words), dtype=np.uint64)
-            worder = np.lexsort((words, at))
-            rank[worder] = np.arange(len(words), dtype=np.uint64)
-            key = rank[number] << np.uint64(16) | key & np.uint64(0xFFFF)
-            order = np.argsort(key)
-            key, doc = key[order], doc[order]
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            times = np.diff(np.append(start, len(key)))
-            of = (key[start] >> np.uint64(16)).astype(np.int64)
-            runs = np.bincount(of, minlength=len(words))
-            wat, context = at[worder], key[start] & np.uint64(0xFFFF)
-            ends = np.append(np.flatnonzero(np.diff(wat)) + 1, len(wat))
-            type_end, occ_end = np.cumsum(runs), np.cumsum(times)
-            lo = 0
-            rows = []
-            for hi in ends:
-                a, z = (type_end[lo - 1] if lo else 0), type_end[hi - 1]
-                p, q = (occ_end[a - 1] if a else 0), occ_end[z - 1]
-                used, own = np.unique(doc[p:q], return_inverse=True)
-                rows.append((int(wat[lo]), _blob(words[worder[lo:hi]], "<u8"), _blob(runs[lo:hi], "<u4"), _blob(context[a:z], "<u2"), _blob(times[a:z], "<u4"), _blob(own, "<u4" if len(b) > 65535 else "<u2"), _blob(ids[used], "<i8")))
-                lo = hi
-            yield pd.DataFrame(rows, columns=["bucket", "words", "runs", "contexts", "counts", "docs", "ids"])
-
-    return docs.mapInPandas(run, OCCURS)
-
-
 class Predictor:
     """Averaged predictive probabilities of the words of a bucket, or of all hot words."""
 
@@ -336,81 +589,3 @@ class Predictor:
             own = np.where(leaf >= 0, self.pu[s][leaf] if len(self.leaf) else 0.0, 0.0)
             total += (own + new * pk) / (STRENGTH[2] + g["c"][context])
         return np.log10(total / (SWEEPS - BURN)), np.where(some, self.known[w] if len(self.words) else 0.0, 0.0)
-
-
-def score(found: DataFrame, model: DataFrame, states: list[dict], hot: np.ndarray, buckets: int, salts: int, train: int, seed: int) -> DataFrame:
-    """doc_id and sums of score, base_score, tokens and known tokens, for each chunk and bucket."""
-    nothing = F.lit(None).cast("binary")
-    own = model.select("bucket", "words", "runs", "contexts", "counts", nothing.alias("docs"), nothing.alias("ids"), F.lit(0).alias("side"), F.lit(False).alias("hot"))
-    shared = own.withColumns({"hot": F.lit(True), "home": F.col("bucket"), "bucket": F.explode(F.sequence(F.lit(buckets), F.lit(buckets + salts - 1)))}) if len(hot) else own.limit(0).withColumn("home", F.col("bucket"))
-    rows = own.withColumn("home", F.col("bucket")).unionByName(shared).unionByName(found.withColumns({"side": F.lit(1), "hot": F.lit(False), "home": F.lit(0)}))
-    v = states[0]["v"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, parts, model_of = None, [], None
-        for b in batches:
-            for r in b.itertuples(index=False):
-                if r.bucket != bucket:
-                    bucket, parts, model_of = r.bucket, [], None
-                if not r.side:
-                    row = {"bucket": r.home, "words": r.words, "runs": r.runs, "contexts": r.contexts, "counts": r.counts}
-                    parts += [d for is_hot, d in dishes(row, hot) if is_hot == r.hot]
-                    continue
-                if model_of is None:
-                    model_of = Predictor(parts, states, seed)
-                words, runs, contexts, times, ids = (np.frombuffer(getattr(r, k), kind) for k, kind in (("words", "<u8"), ("runs", "<u4"), ("contexts", "<u2"), ("counts", "<u4"), ("ids", "<i8")))
-                doc = np.frombuffer(r.docs, "<u2" if len(r.docs) == 2 * int(times.sum()) else "<u4")
-                log_p, c = model_of(words, runs, contexts)
-                base = np.log10((c + 1) / (train + v + 1))
-                sums = [np.bincount(doc, np.repeat(x, times), len(ids)) for x in (log_p, base, c > 0)]
-                yield pd.DataFrame({"doc_id": ids, "score": sums[0], "base_score": sums[1], "n_known": sums[2].astype(np.int64), "n_tokens": np.bincount(doc, minlength=len(ids))})
-
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "side", "home")
-    return dealt.mapInPandas(run, "doc_id long, score double, base_score double, n_known long, n_tokens long")
-
-
-def lm_scores(docs: DataFrame, scratch: Scratch, seed: int = 1) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    spark = docs.sparkSession
-    small_batches(spark, rows=2000, size=BATCH)
-    held = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 7 == 2
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = int(size // BYTES_PER_BUCKET) + 1
-    model = scratch.put(counts(rows, buckets), "counts")
-    small_batches(spark, rows=4)  # a row of the model is a whole bucket
-
-    def heavy(least: float):
-        def run(batches):
-            for b in batches:
-                for _, row in b.iterrows():
-                    for _, d in dishes(row, np.zeros(0, np.uint64)):
-                        n = np.bincount(d.word, d.c, len(d.words)).astype(np.int64)
-                        yield pd.DataFrame({"word": d.words.view(np.int64)[n >= least], "n": n[n >= least]}) if least else pd.DataFrame({"word": [0], "n": [n.sum()]})
-
-        return model.mapInPandas(run, "word long, n long")
-
-    train = int(heavy(0).agg(F.sum("n")).first()[0] or 0)
-    top = heavy(max(1, train / HOT_SHARE)).toPandas()  # HOT_SHARE rows at most
-    hot = np.sort(top["word"].to_numpy(np.int64).view(np.uint64)) if train else np.zeros(0, np.uint64)
-    salts = int(top["n"].sum() // HOT_TOKENS) + 1 if train else 1
-    states = [totals(model, hot, [], seed)]
-    for _ in range(SWEEPS):
-        states.append(totals(model, hot, states[: len(states)], seed))
-    small_batches(spark, rows=2000, size=BATCH)
-    found = occurrences(rows, buckets, hot, salts)
-    small_batches(spark, rows=2000, size=BATCH)
-    sums = score(found, model, states, hot, buckets, salts, train, seed)
-    out = sums.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(train).cast("bigint").alias("train_tokens"), "base_score", "score")
-
-
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
-    return lm_scores(table(spark, sf_dir, "documents"), scratch)
-
-
-def perplexity(scores: DataFrame) -> DataFrame:
-    """Perplexity of the model and of the base on held-out documents."""
-    per = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))
-    return scores.where("held_out").agg(per("score").alias("model"), per("base_score").alias("base"))
