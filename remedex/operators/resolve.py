@@ -68,19 +68,22 @@ def contained(texts: DataFrame, names: DataFrame, least: int = 5) -> DataFrame:
 def fuzzy(queries: DataFrame, names: DataFrame, least: float = 0.75, top: int = 5) -> DataFrame:
     """query, id, name, ratio: names like each query by the ratio of matching blocks.
 
-    Candidates share a run of three letters with the query; a ratio of 0.75 leaves some run of three unchanged in names
-    of a usual length.
+    Every name is compared whose length allows the ratio, 2 * shorter / (sum of both); then the same bound on the letters
+    that both have, whatever their order, comes before the ratio itself.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(F.lower(c), i, F.lit(3))))
-    q = queries.select("query", F.explode(grams(F.col("query"))).alias("g"))
-    n = names.select("id", "name", F.explode(grams(F.col("name"))).alias("g"))
-    pairs = q.join(n, "g").select("query", "id", "name").distinct()
+    size = lambda c: F.length(F.lower(c))
+    low, high = F.floor(size("query") * (least / (2 - least))) - 1, F.ceil(size("query") * ((2 - least) / least)) + 1  # one to spare on either side
+    q = queries.select("query").distinct().select("query", F.explode(F.sequence(low, high)).alias("size"))
+    pairs = names.select("id", "name", size("name").cast("bigint").alias("size")).distinct().join(q, "size").select("query", "id", "name")
 
     def ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from difflib import SequenceMatcher
 
         for b in batches:
-            r = [SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(b["query"], b["name"], strict=True)]
+            r = []
+            for x, y in zip(b["query"], b["name"], strict=True):
+                m = SequenceMatcher(None, x.lower(), y.lower())
+                r.append(m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else -1.0)
             yield b.assign(ratio=pd.Series(r, index=b.index, dtype="float64"))
 
     found = pairs.mapInPandas(ratio, "query string, id long, name string, ratio double").where(F.col("ratio") >= least)
