@@ -54,13 +54,16 @@ def by_tokens(queries: DataFrame, names: DataFrame, stop: Sequence[str] = ()) ->
 def contained(texts: DataFrame, names: DataFrame, least: int = 5) -> DataFrame:
     """doc, id, name: the longest name of ``least`` characters or more that stands as whole words in each text.
 
-    Names are looked up by their words: runs of as many words as names have are joined on equality.
+    The words of a text meet the first words of names, with the lengths in words that these names have; the runs of those
+    lengths from there are joined with the names on equality.
     """
-    n = names.where(F.length("name") >= least).select("id", "name", F.array_join(plain_tokens(F.col("name")), " ").alias("key"), F.size(plain_tokens(F.col("name"))).alias("k"))
-    sizes = [r[0] for r in n.select("k").distinct().limit(16).collect()]  # lengths of names in words
+    w = plain_tokens(F.col("name"))
+    n = names.where((F.length("name") >= least) & (F.size(w) > 0)).select("id", "name", F.array_join(w, " ").alias("key"), F.size(w).alias("k"), F.element_at(w, 1).alias("first"))
+    sizes = n.groupBy("first").agg(F.collect_set("k").alias("ks"))
     toks = texts.select("doc", plain_tokens(F.col("text")).alias("w"))
-    grams = [F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.array_join(F.slice("w", i, k), " "))) for k in sizes if k]
-    runs = toks.select("doc", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*grams))))).alias("key"))
+    starts = toks.select("doc", F.posexplode("w").alias("at", "first")).join(sizes, "first").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("at", "ks")).alias("starts"))
+    grams = F.flatten(F.transform("starts", lambda s: F.transform(s["ks"], lambda k: F.array_join(F.slice("w", s["at"] + 1, k), " "))))
+    runs = toks.join(starts, F.col("doc").eqNullSafe(F.col("_doc"))).select("doc", F.explode(F.array_distinct(grams)).alias("key"))
     hit = runs.join(n, "key").groupBy("doc").agg(F.min(F.struct((-F.length("name")).alias("l"), "name", "id")).alias("m"))
     return hit.select("doc", "m.id", "m.name")
 

@@ -13,3 +13,10 @@ def test_fuzzy_finds_every_name_of_the_ratio(spark):
     all_ = ((q, w, SequenceMatcher(None, q.lower(), w.lower()).ratio()) for q in asked for w in words)
     assert got == {x for x in all_ if x[2] >= 0.75}
     assert {"ashtma", "mypoia", "corup", "abcd", "ance", "goat"} <= {q for q, _, _ in got}
+
+
+def test_contained_names_of_any_number_of_words(spark):
+    names = [(k, " ".join(f"n{k}x{i}" for i in range(k))) for k in range(2, 42)]
+    texts = [(k, f"seen {name} here") for k, name in names] + [(99, "nothing here"), (100, f"{names[0][1]}, {names[30][1]}")]
+    got = resolve.contained(spark.createDataFrame(texts, "doc long, text string"), spark.createDataFrame(names, "id long, name string")).collect()
+    assert {r.doc: (r.id, r.name) for r in got} == {k: (k, name) for k, name in names} | {100: names[30]}
