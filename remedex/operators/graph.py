@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from remedex.sources.settle import settled
+
 
 def symmetric(triples: DataFrame) -> DataFrame:
     """Both directions of every edge without self loops; parallel edges collapse to the largest relation name."""
@@ -52,6 +54,48 @@ def walk(weights: DataFrame, seeds: DataFrame, steps: int, restart: float = 0.3,
     return p
 
 
+def converged(weights: DataFrame, seeds: DataFrame, restart: float = 0.3, tolerance: float = 1e-10, most: int = 100, every: int = 8) -> DataFrame:
+    """id, p of the walk from the seeds (as for ``walk``) when the L1 change of a step is below the tolerance for every
+    seed, or after ``most`` steps. The frame is written, and the change tested, every few steps."""
+    by = [c for c in seeds.columns if c not in ("id", "p")]
+    start = seeds.select(*by, "id", (F.col("p") * restart).alias("p"))
+    p, done, change = seeds, 0, math.inf
+    while done < most and change >= tolerance:
+        n = min(every, most - done)
+        for i in range(n):
+            last = p
+            moved = p.withColumnRenamed("id", "src").join(weights, "src").select(*by, F.col("dst").alias("id"), (F.col("p") * F.col("w") * (1 - restart)).alias("p"))
+            p = moved.unionByName(start).groupBy(*by, "id").agg(F.sum("p").alias("p"))
+            if i == n - 2:
+                p = settled(p)  # both sides of the change read it
+        p, done = settled(p), done + n
+        moves = p.unionByName(last.withColumn("p", -F.col("p"))).groupBy(*by, "id").agg(F.abs(F.sum("p")).alias("d"))
+        change = moves.groupBy(*by).agg(F.sum("d").alias("d")).agg(F.max("d")).first()[0] or 0.0
+    return p
+
+
+def degree_matched(degrees: DataFrame, n_samples: int = 100) -> DataFrame:
+    """Nodes (id) drawn by hash, a fourth of the number from each quartile of the degree, or all that it has."""
+    x = F.log1p(F.col("degree"))
+    cuts = degrees.agg(F.percentile(x, F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])).alias("cuts"))  # one row
+    bucket = degrees.crossJoin(cuts).select("id", F.size(F.filter("cuts", lambda c: c <= x)).alias("q"))
+    n = F.row_number().over(W.partitionBy("q").orderBy(F.xxhash64("id"), "id"))
+    return bucket.withColumn("n", n).where(F.col("n") <= max(1, n_samples // 4)).select("id")
+
+
+def null_zscore(weights: DataFrame, seed: str, drawn: DataFrame, **walk_options) -> DataFrame:
+    """id, p, z: the converged scores of a seed against their mean and deviation over walks from the drawn nodes (id).
+
+    A node that no drawn walk reaches has the mean and deviation 0.
+    """
+    seeds = settled(drawn.select(F.col("id").alias("seed"), "id", F.lit(1.0).alias("p")))
+    k = seeds.count()
+    null = converged(weights, seeds, **walk_options).groupBy("id").agg((F.sum("p") / k).alias("mean"), (F.sum(F.col("p") * F.col("p")) / k).alias("sq"))
+    raw = converged(weights, weights.sparkSession.createDataFrame([(seed, 1.0)], "id string, p double"), **walk_options)
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("sq") - F.col("mean") * F.col("mean")))
+    return raw.join(null, "id", "left").na.fill(0.0, ["mean", "sq"]).select("id", "p", ((F.col("p") - F.col("mean")) / F.greatest(sd, F.lit(1e-15))).alias("z"))
+
+
 def log_factorial(n: Column) -> Column:
     """ln n!: a table below 16, Stirling's series from there."""
     small = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])

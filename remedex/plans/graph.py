@@ -239,11 +239,4 @@ def kg_null_model_zscore(spark, d):
     """Mean and deviation of the scores over degree-matched seeds, walked together, and z of the seed's own scores."""
     e = edges(spark, d)
     w = settled(g.layered_weights(e, KIND))
-    own = g.degree(e).where(KIND(F.col("id")) == "N")
-    bucket = own.withColumn("q", F.expr("ntile(4) over (order by log1p(degree), id)"))
-    picked = bucket.withColumn("n", F.expr("row_number() over (partition by q order by xxhash64(id), id)")).where("n <= 2")
-    seeds = picked.select(F.col("id").alias("seed"), "id", F.lit(1.0).alias("p"))
-    null = g.walk(w, seeds, 3).groupBy("id").agg((F.sum("p") / 8).alias("mean"), (F.sum(F.col("p") * F.col("p")) / 8).alias("sq"))
-    raw = g.walk(w, spark.createDataFrame([(SEED, 1.0)], "id string, p double"), 3)
-    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("sq") - F.col("mean") * F.col("mean")))
-    return raw.join(null, "id").select("id", "p", ((F.col("p") - F.col("mean")) / F.greatest(sd, F.lit(1e-15))).alias("z"))
+    return g.null_zscore(w, SEED, g.degree_matched(g.degree(e).where(KIND(F.col("id")) == "N")))
