@@ -10,6 +10,7 @@ by one; other columns stay as they are (the figures are added, an older column o
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,44 +57,66 @@ def _let(value: Column, body) -> Column:
 
 def _covered(positions: Column) -> Column:
     """Words covered by 3-word windows that start at ascending positions."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-3).alias("last"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-3).cast("bigint").alias("last"))
     step = lambda acc, p: F.struct((acc["n"] + F.least(F.lit(3), p - acc["last"])).cast("bigint").alias("n"), p.alias("last"))
     return F.aggregate(positions, zero, step, lambda acc: acc["n"])
 
 
-def figures(docs: DataFrame, text: str = "text", more: dict[str, Column] | None = None) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_stop_words, n_lines, n_dup_lines, n_repeat_words."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def _repeated(words: Column) -> Column:
+    """Words in 3-word windows that are found twice or more.
+
+    Each window is one number: the high bits of its hash over its place.  One sort brings windows of equal high bits
+    together; those few are compared by their whole hashes.
+    """
+    window = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    starts = F.when(F.size(words) >= 3, F.sequence(F.lit(0), F.size(words) - 3)).otherwise(F.array().cast("array<int>"))
+
+    def near(low: Column) -> Column:
+        """Hash and place of the windows that share their high bits; places are below ``low``, a power of two."""
+        packed = F.sort_array(F.transform(starts, lambda i: window(i).bitwiseAND(-low) + i))
+        close = lambda x, y: F.coalesce(x.bitwiseXOR(y).between(F.lit(0), low - 1), F.lit(False))
+        twins = _let(packed, lambda s: F.filter(s, lambda x, k: close(x, F.get(s, k - 1)) | close(x, F.get(s, k + 1))))
+        return F.transform(F.transform(twins, lambda x: x.bitwiseAND(low - 1).cast("int")), lambda i: F.struct(window(i).alias("h"), i.alias("i")))
+
+    def same(s: Column) -> Column:
+        return F.filter(s, lambda x, k: F.get(s, k - 1)["h"].eqNullSafe(x["h"]) | F.get(s, k + 1)["h"].eqNullSafe(x["h"]))
+
+    low = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(F.size(words))))
+    return _covered(F.sort_array(F.transform(_let(F.sort_array(_let(low, near)), same), lambda x: x["i"].cast("bigint"))))
+
+
+def _measured(docs: DataFrame, text: str) -> DataFrame:
+    """``_row`` (the columns of docs) and ``_f`` (all figures) of every row.
+
+    The row number within ``_f`` is not deterministic, so the optimizer computes ``_f`` once for each row, whatever reads
+    or filters it later, and never moves a part of it into a filter.
+    """
+    t, long = F.coalesce(F.col("_text"), F.lit("")), lambda c: c.cast("bigint")
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0)
-    stop = F.array(*map(F.lit, sorted(set(STOP_WORDS))))
-    out = docs.withColumns({"_w": F.filter(F.split(t, SPACE), lambda w: w != ""), "_l": lines})
-    starts = F.when(F.size("_w") >= 3, F.sequence(F.lit(0), F.size("_w") - 3)).otherwise(F.array().cast("array<int>"))
-    out = out.withColumn("_h", F.transform(starts, lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))))
-    out = out.withColumn("_s", F.sort_array("_h"))
-    out = out.withColumn("_d", F.array_distinct(F.filter("_s", lambda x, i: (i > 0) & (x == F.get("_s", i - 1)))))
-    few = _covered(F.filter(F.sequence(F.lit(0), F.size("_h") - 1), lambda i: F.array_contains("_d", F.get("_h", i))))
-    pairs = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    twin = lambda s: F.filter(s, lambda x, k: (F.get(s, k - 1)["h"].eqNullSafe(x["h"])) | (F.get(s, k + 1)["h"].eqNullSafe(x["h"])))
-    many = _let(pairs, lambda s: _covered(F.sort_array(F.transform(twin(s), lambda x: x["i"]))))
-    repeated = F.when(F.size("_d") == 0, F.lit(0)).when(F.size("_d") <= 48, few).otherwise(many)
-    long = lambda c: c.cast("bigint")
-    return out.withColumns({
+    stop = sorted(set(STOP_WORDS))
+    out = out.withColumns({"_w": F.filter(F.split(t, SPACE), lambda w: w != ""), "_l": lines})
+    f = {
         "n_words": long(F.size("_w")),
         "word_chars": long(F.length(F.translate(t, " \t\n\x0b\f\r", ""))),
         "n_symbols": long(F.length(t) - F.length(F.translate(t, SYMBOLS, ""))),
-        "n_stop_words": long(F.size(F.filter("_w", lambda w: w.isin(sorted(set(STOP_WORDS)))))),
+        "n_stop_words": long(F.size(F.filter("_w", lambda w: w.isin(stop)))),
         "n_lines": long(F.size("_l")),
         "n_dup_lines": long(F.size("_l") - F.size(F.array_distinct("_l"))),
-        "n_repeat_words": long(repeated),
-        **(more or {}),
-    }).drop("_w", "_l", "_h", "_s", "_d")
+        "n_repeat_words": long(_repeated(F.col("_w"))),
+        "_number": F.monotonically_increasing_id(),
+    }
+    return out.select("_row", F.struct(*[v.alias(k) for k, v in f.items()]).alias("_f"))
+
+
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
-def compiled(rules=RULES) -> dict[str, Column]:
+def compiled(rules=RULES, figure=F.col) -> dict[str, Column]:
     """A boolean column for each rule: true if the document passes."""
     out = {}
     for r in rules:
-        part, whole = F.col(r.part) * 1000, F.col(r.whole)
+        part, whole = figure(r.part) * 1000, figure(r.whole)
         ok = F.lit(True)
         if r.least is not None:
             ok = ok & (part >= r.least * whole)
@@ -103,24 +126,24 @@ def compiled(rules=RULES) -> dict[str, Column]:
     return out
 
 
-def judge(docs: DataFrame, rules=RULES, text: str = "text", more: dict[str, Column] | None = None) -> DataFrame:
-    """The figures, ``base_failed``, a column for each rule and ``kept``."""
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    checks = compiled(rules)
-    kept = ~F.col("base_failed")
-    for k in checks:
-        kept = kept & F.col(k)
-    return figures(docs, text, more).withColumn("base_failed", base).withColumns(checks).withColumn("kept", kept)
+def verdicts(rules=RULES) -> dict[str, Column]:
+    """``base_failed``, a column for each rule, and ``kept``, over the figures in ``_f``."""
+    of = lambda k: F.col("_f")[k]
+    base = (of("n_words") < MIN_WORDS) | (100 * of("n_repeat_words") > MAX_REPEATED * of("n_words"))
+    checks = compiled(rules, of)
+    return {"base_failed": base, **checks, "kept": reduce(lambda a, b: a & b, checks.values(), ~base)}
+
+
+def judge(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
+    """The columns of docs, the figures, ``base_failed``, a column for each rule and ``kept``."""
+    added = {k: F.col("_f")[k] for k in FIGURES} | verdicts(rules)
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in added]
+    return _measured(docs, text).select(*own, *[v.alias(k) for k, v in added.items()])
 
 
 def apply_rules(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """The documents that pass, with their own columns only."""
-    keep = docs.columns
-    renamed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(text).alias("_text"))
-    # The row number is not deterministic, so the optimizer leaves the filter above the figures instead of inlining the
-    # word arrays into it, where each lambda would build them anew for every word.
-    marked = judge(renamed, rules, "_text", {"_number": F.monotonically_increasing_id()})
-    return marked.where(F.col("kept") & (F.col("_number") >= 0)).select("_row.*")
+    return _measured(docs, text).where(verdicts(rules)["kept"]).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,22 @@ def test_verdicts_and_columns(docs):
     assert {r.n_words for r in kept.collect()} == {7}
 
 
+def test_a_filter_costs_no_more_than_the_query(docs):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    judged = op.judge(docs)
+    whole, part = plan(judged), plan(judged.where("kept AND n_words > 3").select("doc_id", "n_repeat_words"))
+    for name in ("split(", "xxhash64", "aggregate("):
+        assert 0 < part.count(name) <= whole.count(name)
+    assert {r.doc_id for r in judged.where("kept").collect()} == {10}
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "a b c", 2, 3, 4, 5)], "doc_id long, text string, _w int, _f int, _row int, kept int")
+    [r] = op.judge(df).collect()
+    assert (r["_w"], r["_f"], r["_row"], r.kept, r.n_words) == (2, 3, 4, False, 3)
+    assert op.apply_rules(df).columns == df.columns
+
+
 def test_empty_table(spark, docs):
     assert op.judge(docs.limit(0)).count() == 0
 
