@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -22,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a temporary one where none is set, as in tests."""
+    """The folder that all executors share, as the cluster names it; a local session may go without and gets its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="remedex-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -61,12 +64,11 @@ class Scratch:
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may have ended; the cluster cleans its scratch folder
+    """Delete a folder, unless the session has ended; the cluster cleans its scratch folder then."""
+    if spark.sparkContext._jsc is None:
         return
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def words(text) -> F.Column:
@@ -160,10 +162,13 @@ def word_bounds(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.diff(at)
 
 
-def small_batches(spark: SparkSession, rows: int = 4000, size: str = "32m") -> None:
-    """Bound the Arrow batches that Python workers get, so that long texts do not pile up in one."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python workers get, so that long texts do not pile up in one.
+
+    All operators want the same bounds, so no result depends on what was called before it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def slices(sizes, limit: int):

@@ -13,13 +13,16 @@ select equal grams at equal offsets.  So:
    the first of each group are covered.
 3. The covered ranges of a document are merged and cut out.
 
-A gram with more than ``HOT`` classes is not brought to one task: its strings are dealt by their own hash and the equal
-ones are met in order, as a stream.
+A task marks the later copies of a class that it has seen itself, and these meet nothing again, so a passage of a third of
+the rows costs one row for each task.  A gram with more than ``HOT`` classes is not brought to one task: its strings are
+dealt by their own hash and the equal ones are met in order, as a stream.  What a task sorts at once is bounded by
+``STRINGS``.
 
 Order is by (doc_id, start).  Hashes of grams and of ranges are two independent 64-bit values that must both agree.
 
 Defined cases: a null text is empty; texts below ``LENGTH`` bytes stay whole; rows of one doc_id are copies of one
-document, which do not remove each other, and all lose the ranges found for it; other columns are ignored.
+document, which do not remove each other, and all lose the ranges found for it, as far as they reach (if their texts
+differ, strings are compared in the least text); null ids count as one id before all others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,15 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from remedex.llm.common import ByteHash, Scratch, concat, gather, release, slices, small_batches, table
+from remedex.llm.common import ByteHash, Scratch, concat, mix, release, slices, small_batches, table
 
 NAME = "op2_suffix_dedup"
 LENGTH, GRAM, SHALLOW = 100, 24, 32
-HOT, ROWS = 20_000, 20_000
+HOT, STRINGS = 4_000, 160_000
+NO_ID = -(1 << 63)
 _PLACE = np.uint64((1 << 30) - 1)
 
 
@@ -71,7 +77,10 @@ def selected(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """gram, whole (hashes), doc_id and place (start << 14 | strings << 7 | offset) of every selected gram."""
+    """gram, whole (hashes), doc_id and place (start << 14 | strings << 7 | offset) of every selected gram.
+
+    ``known`` rows are covered by a row of the same task; their gram is a number that no other row is likely to have.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -82,12 +91,21 @@ def anchors(docs: DataFrame) -> DataFrame:
                 text, gram, first, last, hashes = selected(buf, bounds)
                 if not len(text):
                     continue
-                strings, offset = last - first, gram - first
+                strings, offset, doc = last - first, gram - first, ids[lo:hi][text]
+                place = (first - bounds[text]) << 14 | strings << 7 | offset
                 with np.errstate(over="ignore"):
                     whole = hashes.of(first, last + LENGTH) * np.uint64(0x9E3779B97F4A7C15) + (strings << 7 | offset).astype(np.uint64)
-                yield pd.DataFrame({"gram": hashes.of(gram, gram + GRAM).view(np.int64), "whole": whole.view(np.int64), "doc_id": ids[lo:hi][text], "place": (first - bounds[text]) << 14 | strings << 7 | offset})
+                key = hashes.of(gram, gram + GRAM)
+                order = np.lexsort((place, doc, whole, key))
+                key, whole, doc, place = key[order], whole[order], doc[order], place[order]
+                new = np.concatenate([[True], (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])])
+                head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+                stay = new | (doc != doc[head]) | (place != place[head])  # the rest are rows of a repeated document
+                own = mix(mix(key + doc.astype(np.uint64)) + place.astype(np.uint64))
+                made = {"gram": np.where(new, key, own).view(np.int64), "whole": whole.view(np.int64), "doc_id": doc, "place": place, "known": ~new}
+                yield pd.DataFrame({k: v[stay] for k, v in made.items()})
 
-    return docs.mapInPandas(run, "gram long, whole long, doc_id long, place long")
+    return docs.mapInPandas(run, "gram long, whole long, doc_id long, place long, known boolean")
 
 
 def _span(start, strings) -> list:
@@ -105,7 +123,7 @@ def meet(found: DataFrame) -> DataFrame:
     both = W.partitionBy("gram").orderBy("whole").rangeBetween(W.unboundedPreceding, W.unboundedFollowing)
     rows = rows.withColumn("several", F.min("whole").over(both) != F.max("whole").over(both))
     same = (F.col("doc_id") == F.col("first_doc")) & (F.col("place") == F.col("first_place"))
-    rows = rows.withColumn("covered", ~same).where(F.col("covered") | ((F.col("rank") == 1) & F.col("several")))
+    rows = rows.withColumn("covered", F.col("known") | ~same).where(F.col("covered") | ((F.col("rank") == 1) & F.col("several")))
     return rows.select("gram", "doc_id", "place", "covered")
 
 
@@ -138,19 +156,44 @@ def _tied(order: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order[keep], group[keep]
 
 
+def shallow(words: np.ndarray, starts: np.ndarray, order: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members and groups that are still tied at ``SHALLOW`` bytes, by multikey quicksort.
+
+    A round parts every group in three around the character (eight bytes) of its middle member: the smaller and the
+    larger ones stay at their depth, the equal ones go on to the next character.
+    """
+    depth = np.zeros(len(order), dtype=np.int64)
+    done, n = [(order[:0], group[:0])], 0
+    while len(order):
+        deep = depth >= SHALLOW
+        done.append((order[deep], group[deep] + n))
+        n += int(group[-1]) + 1
+        order, group, depth = order[~deep], group[~deep], depth[~deep]
+        if not len(order):
+            break
+        char = words[starts[order] + depth]
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size = np.diff(np.append(first, len(group)))
+        pivot = np.repeat(char[first + size // 2], size)
+        side = np.where(char < pivot, 0, np.where(char == pivot, 1, 2))
+        key = group * 3 + side
+        by = np.argsort(key, kind="stable")
+        key, order, depth = key[by], order[by], (depth + 8 * (side == 1))[by]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        number = np.cumsum(new) - 1
+        tied = np.bincount(number)[number] > 1
+        order, group, depth = order[tied], number[tied], depth[tied]
+    return np.concatenate([x for x, _ in done]), np.unique(np.concatenate([x for _, x in done]), return_inverse=True)[1]
+
+
 def equal_suffixes(buf: np.ndarray, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
     """For each suffix the number of the first suffix of its group that agrees with it in ``LENGTH`` bytes.
 
-    Members of a group are in order of occurrence.  Multikey quicksort takes eight bytes as one character and makes one
-    character step for all groups at once; groups that are tied at ``SHALLOW`` bytes are ordered by blind tries.
+    Members of a group are in order of occurrence, and groups are numbered in the order of their members.
     """
     words = _words(buf)
     same = np.arange(len(starts))
-    order, group = _tied(np.arange(len(starts)), group)
-    for depth in range(0, SHALLOW, 8):
-        if not len(order):
-            return same
-        order, group = _tied(*_regroup(order, group, words[starts[order] + depth]))
+    order, group = shallow(words, starts, *_tied(np.arange(len(starts)), group))
     # Blind tries: a group's first member is the trunk; every other member leaves it at its first different byte, and
     # those that leave at one place by one byte form a subtree, which is handled the same way.  No bytes before the
     # branch are read again, as all members of the subtree agree there.
@@ -195,7 +238,7 @@ def contexts(docs: DataFrame, variants: DataFrame, hot: DataFrame) -> DataFrame:
     """
     marked = variants.join(hot.withColumn("hot", F.lit(True)), "gram", "left")
     per_doc = marked.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("found"))  # bounded by the document's length
-    rows = docs.dropDuplicates(["doc_id"]).join(per_doc, "doc_id")
+    rows = docs.groupBy("doc_id").agg(F.min("text").alias("text")).join(per_doc, "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -207,6 +250,8 @@ def contexts(docs: DataFrame, variants: DataFrame, hot: DataFrame) -> DataFrame:
                 for f in found:
                     gram, place = f["gram"], f["place"]
                     start, strings, offset = place >> 14, place >> 7 & 127, place & 127
+                    if start + strings + LENGTH > len(data):
+                        continue  # of a longer text under the same id
                     if not f["hot"]:
                         out.append((gram, 0, doc, start, strings, offset, data[start : start + strings + LENGTH]))
                         continue
@@ -246,11 +291,14 @@ def covered_strings(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for b in batches:
+            if not len(b):
+                continue
             b = b if held is None else pd.concat([held, b], ignore_index=True)
             key = b["gram"].to_numpy() != b["gram"].iloc[-1]
             key |= b["window"].to_numpy() != b["window"].iloc[-1]
             whole = int(np.flatnonzero(key)[-1]) + 1 if key.any() else 0
-            if whole < ROWS and len(b) < 2 * ROWS:
+            size = np.cumsum(b["strings"].to_numpy() + 1)
+            if (whole == 0 or size[whole - 1] < STRINGS) and size[-1] < 2 * STRINGS:
                 held = b
                 continue
             if not whole or b["window"].iloc[-1]:
@@ -304,7 +352,11 @@ def _kept(data: bytes, found) -> tuple[bytes, int, int]:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(_id().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _id():
+    return F.coalesce("doc_id", F.lit(NO_ID))
 
 
 def removal(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -320,7 +372,8 @@ def removal(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 out.append((doc, len(data), gone, runs, hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.join(spans(rows, scratch), "doc_id", "left").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = rows.join(spans(rows, scratch), "doc_id", "left").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def cut_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -328,16 +381,25 @@ def cut_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     Bytes of a character that was cut in the middle go too, so that the text stays valid.
     """
-    names = docs.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [_kept((t or "").encode(errors="surrogatepass"), s) for t, s in zip(b["text"], b.pop("spans"), strict=True)]
-            b["text"] = [k.decode(errors="ignore") if gone else t for t, (k, gone, _) in zip(b["text"], made, strict=True)]
-            b["n_chars"] = [len(t) if gone else n for t, n, (_, gone, _) in zip(b["text"], b["n_chars"], made, strict=True)]
-            yield b
-
-    return docs.join(spans(_rows(docs), scratch), "doc_id", "left").select(*names, "spans").mapInPandas(run, docs.schema)
+            texts, found = b.column("_text"), b.column("_spans")
+            out = []
+            for text, spans_ in zip(texts, found, strict=True):
+                data = text.as_py()
+                out.append(None if data is None else _kept(data, spans_.as_py())[0].decode(errors="ignore"))
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(out, pa.string())], ["_row", "_text"])
+
+    # Documents that lose nothing stay within the JVM.
+    found = spans(_rows(docs), scratch).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
+    rows = docs.select(_id().alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).join(found, "_id", "left")
+    rows = scratch.put(rows, "marked")
+    cut = rows.where("_spans IS NOT NULL").select("_row", F.col("_row.text").cast("binary").alias("_text"), "_spans")
+    cut = cut.mapInArrow(run, T.StructType([cut.schema["_row"], T.StructField("_text", T.StringType())]))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("bigint")}
+    cut = cut.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+    return rows.where("_spans IS NULL").select("_row.*").unionByName(cut)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

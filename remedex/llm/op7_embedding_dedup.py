@@ -157,7 +157,7 @@ def links(placed: DataFrame, dim: int, kind: str, cosine: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    small_batches(vectors.sparkSession, rows=2000)
+    small_batches(vectors.sparkSession)
     kind = "<f4" if "float" in vectors.schema["embedding"].dataType.simpleString() else "<f8"
     good = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("embedding", lambda v: v != 0)

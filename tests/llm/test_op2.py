@@ -60,7 +60,7 @@ def test_hot_grams_and_small_buffers(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
     monkeypatch.setattr(op, "HOT", 2)
-    monkeypatch.setattr(op, "ROWS", 5)
+    monkeypatch.setattr(op, "STRINGS", 200)
     assert result(df, spark) == want
 
 
@@ -92,3 +92,19 @@ def test_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op.query(spark, d).collect()}
     assert got == brute(rows)
+
+
+def test_null_ids_and_differing_texts_of_an_id(spark):
+    t = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(None, t), (None, t), (3, "x " + t), (4, t * 3), (4, t), (5, t * 3)], "doc_id long, text string")
+    rows = {(r.doc_id, r.n_bytes): r.n_removed for r in op.removal(df, Scratch(spark)).collect()}
+    n = len(t)
+    assert rows[None, n] == 0 and rows[3, n + 2] == n and rows[4, n] == n and rows[5, 3 * n] == 3 * n
+
+
+def test_very_common_passage_over_many_tasks(spark):
+    r = random.Random(5)
+    p = " ".join(f"pass{i}" for i in range(80))
+    rows = [(i, f"{r.random()} {p[r.randrange(3):]} {r.random()}" if i % 3 else f"own {i} " * 9) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert result(df, spark) == brute(rows)
