@@ -9,9 +9,8 @@ A piece of more than ``LONG`` bytes would need as many rounds as it has merges.
 right, all pairs of least rank in one round, unless some neighbour of a contracted pair would then merge at a lower rank;
 such a piece moves by its leftmost pair only.  Both give the same ids.  The state of long pieces is cut every ``ROUNDS``.
 
-Decoding cuts the ids into runs before each token that starts with a space.  Distinct runs are joined with the vocabulary
-and their bytes aggregated in order.  The pieces and runs known to a Python worker are kept in bounded tables, so
-repeated words are merged and decoded once.
+Decoding joins ids with the vocabulary and aggregates the bytes of each document in order.  The pieces known to a Python
+worker are kept in a bounded table, so repeated words are merged once.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded one by one; ids may be
 null; other columns named in ``keep`` stay, whatever their names.
@@ -35,14 +34,13 @@ from remedex.llm.common import Lexicon, kept, slices, small_batches, table
 NAME = "op9_byte_bpe"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG, ROUNDS, MEMORY = 400, 64, "160MB"
-KNOWN = 200_000  # pieces, and runs, that a Python worker keeps
+KNOWN = 400_000  # pieces that a Python worker keeps
 #: Characters cut into pieces at once, and ids decoded at once.
 CUT, DECODED = 1 << 20, 1 << 18
 
 _MERGE = """
 WITH RECURSIVE state(round, piece, pos, token, after, merged) AS (
-  SELECT 0, a.piece, a.pos, a.token, b.token, merges.merged FROM bytes a
-  LEFT JOIN bytes b ON a.piece = b.piece AND b.pos = a.pos + 1 LEFT JOIN merges ON pair = (a.token::BIGINT << 24) | b.token
+  SELECT 0, piece, pos, token, after, merged FROM bytes LEFT JOIN merges ON pair = (token::BIGINT << 24) | after
   UNION ALL
   (WITH least AS (SELECT piece, min((merged::BIGINT << 32) | pos) AS best FROM state WHERE merged IS NOT NULL GROUP BY piece),
    spot AS (SELECT least.piece, (best & 4294967295)::INT AS spot_at, (best >> 32)::INT AS made, s.after
@@ -75,7 +73,7 @@ WITH RECURSIVE state(round, piece, pos, token) AS (
 )
 SELECT piece, token, round FROM state JOIN (SELECT piece, max(round) AS round FROM state GROUP BY piece) USING (piece, round) ORDER BY piece, pos
 """
-_DECODE = "SELECT run, array_to_string(list(bytes ORDER BY pos), '') AS text FROM ids JOIN vocabulary USING (id) GROUP BY run"
+_DECODE = "SELECT doc, array_to_string(list(bytes ORDER BY pos), '') AS text FROM ids JOIN vocabulary USING (id) GROUP BY doc"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -96,8 +94,6 @@ class Tables:
         # A string of the code points 0 to 255 stands for bytes.
         self.put("vocabulary", {"id": pa.array(ranks.values(), pa.int32()), "bytes": [k.decode("latin-1") for k in ranks]})
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.opens = np.zeros(max(ranks.values()) + 1, dtype=bool)
-        self.opens[[r for t, r in ranks.items() if t[:1] == b" "]] = True
 
     def put(self, name: str, columns: dict) -> None:
         self.db.register("made", pa.table(columns))
@@ -116,7 +112,8 @@ class Tables:
         token = self.byte[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
         piece, pos = _places(sizes)
         short = sizes[piece] <= LONG
-        got = self.ask(_MERGE, "bytes", {"piece": piece[short], "pos": pos[short], "token": token[short]}) if short.any() else {"piece": piece[:0], "token": token[:0]}
+        after = pa.array(np.append(token[1:], 0), mask=np.append(piece[1:] != piece[:-1], True))
+        got = self.ask(_MERGE, "bytes", {"piece": piece[short], "pos": pos[short], "token": token[short], "after": after.filter(pa.array(short))}) if short.any() else {"piece": piece[:0], "token": token[:0]}
         out = [(got["piece"], got["token"])]
         piece, token = piece[~short], token[~short]
         while len(piece):
@@ -135,11 +132,13 @@ class Tables:
         at, ids = np.concatenate([rest[piece], whole]), np.concatenate([token, rank[whole]])
         return ids[np.argsort(at, kind="stable")], np.bincount(at, minlength=len(new)).astype(np.int64)
 
-    def decoded(self, runs: Sequence[bytes]) -> dict[bytes, bytes]:
-        """The bytes of each run of ids."""
-        run, pos = _places(np.array([len(r) // 4 for r in runs]))
-        got = self.ask(_DECODE, "ids", {"run": run, "pos": pos, "id": np.frombuffer(b"".join(runs), np.int32)})
-        return {runs[i]: t.encode("latin-1") for i, t in zip(got["run"].tolist(), got["text"].tolist(), strict=True)}
+    def decoded(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """The bytes of the lists of ids with these bounds."""
+        doc, pos = _places(np.diff(at))
+        got, out = self.ask(_DECODE, "ids", {"doc": doc, "pos": pos, "id": ids}), [b""] * (len(at) - 1)
+        for d, t in zip(got["doc"].tolist(), got["text"].tolist(), strict=True):
+            out[d] = t.encode("latin-1")
+        return out
 
 
 def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,11 +148,11 @@ def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Coder:
-    """Encodes and decodes texts; keeps the pieces and runs of ids that it has seen, up to ``KNOWN``."""
+    """Encodes and decodes texts; keeps the pieces that it has seen, up to ``KNOWN``."""
 
     def __init__(self, path: str, pattern: str):
         self.cut, self.tables = regex.compile(pattern), Tables(load_ranks(path))
-        self.pieces, self.runs = Lexicon(self.tables.encoded, KNOWN), {}
+        self.pieces = Lexicon(self.tables.encoded, KNOWN)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after the other, and their bounds."""
@@ -167,20 +166,7 @@ class Coder:
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
         """The bytes of the lists of ids with these bounds."""
-        if not len(ids):
-            return [b""] * (len(at) - 1)
-        first = self.tables.opens[ids]
-        first[at[:-1][at[:-1] < len(ids)]] = True
-        first = np.append(np.flatnonzero(first), len(ids))
-        raw, cuts = ids.astype(np.int32).tobytes(), (first * 4).tolist()
-        keys = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        if len(self.runs) > KNOWN:
-            self.runs.clear()
-        new = [k for k in set(keys) if k not in self.runs]
-        if new:
-            self.runs.update(self.tables.decoded(new))
-        bounds, known = np.searchsorted(first, at).tolist(), self.runs.__getitem__
-        return [b"".join(map(known, keys[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return [x for lo, hi in slices(np.diff(at).tolist(), DECODED) for x in self.tables.decoded(ids[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])]
 
 
 def _coder(path: str, pattern: str) -> Coder:
@@ -220,9 +206,7 @@ def decode(encoded: DataFrame, path: str, pattern: str = "") -> DataFrame:
         for b in batches:
             lists = b.column(at_ids)
             at, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            for lo, hi in slices(np.diff(at).tolist(), DECODED):
-                out = coder.decode(ids[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns), pa.array(out, pa.binary())], [*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(coder.decode(ids, at), pa.binary())], [*names, "decoded"])
 
     return encoded.mapInArrow(run, f"{_kinds(encoded)}, decoded binary")
 
