@@ -41,3 +41,55 @@ def test_against_a_plain_reading_of_the_article(spark):
         inner = pages[r.page_id].partition("<article>")[2].partition("</article>")[0]
         want = [" ".join(html.unescape(re.sub(r"<[^>]*>?", "", x)).split()) for x in re.split(r"</?(?:p|h1)>|<br>", inner)]
         assert r.text == "\n".join(x for x in want if x)
+
+
+LONG = "".join(f"<p>Sentence {i}, which is long enough, and has marks; it goes on.</p>" for i in range(4))
+TEXT = "\n".join(f"Sentence {i}, which is long enough, and has marks; it goes on." for i in range(4))
+
+
+def article(inner, before="", after=""):
+    return op.extract(PAGE.format(body=f"{before}<article><h1>Head</h1>{inner}</article>{after}"))
+
+
+def test_the_threshold_drops_a_link_list_within_the_article():
+    page = PAGE.format(body=f"<article><h1>Head</h1>{LONG}<ul><li><a href=/a>First link</a></li><li><a href=/b>Second link</a></li></ul></article>")
+    assert op.extract(page) == f"Head\n{TEXT}"
+    assert op.extract(page, rule=0.0) == f"Head\n{TEXT}\nFirst link\nSecond link"
+
+
+def test_names_that_only_begin_like_other_matter_stay():
+    for inner in ("<button-group><p>One, two.</p></button-group>", "<style-guide><p>One, two.</p></style-guide>", "<template-x><p>One, two.</p></template-x>"):
+        assert article(LONG + inner) == f"Head\n{TEXT}\nOne, two."
+    assert article(LONG + "<p class=notice-period>The notice period, and more.</p>") == f"Head\n{TEXT}\nThe notice period, and more."
+    body = f"<div class='post social-history'><h1>Head</h1>{LONG}</div>"
+    assert op.extract(PAGE.format(body=body)) == f"Head\n{TEXT}"
+
+
+def test_marked_blocks_go_and_captions_lists_and_links_stay():
+    inner = LONG + "<figure><img src=x><figcaption>A caption</figcaption></figure><ul><li>one</li><li>two</li></ul><p>See <a href=x>the other text</a>.</p>"
+    want = f"Head\n{TEXT}\nA caption\none\ntwo\nSee the other text."
+    assert article(inner) == want
+    assert article(inner + "<div class='ad'>Buy now, or never.</div><section id=comments><p>I said, and said.</p></section><div class=cookie-notice>We use them.</div>") == want
+
+
+def test_other_articles_are_left_out():
+    teaser = "<article><h2><a href=x>Another</a></h2><p>A teaser, short.</p></article>"
+    assert op.extract(PAGE.format(body=f"<main>{teaser}<article><h1>Head</h1>{LONG}<article><p>A reader, once more.</p></article></article>{teaser}</main>")) == f"Head\n{TEXT}"
+    assert op.extract(PAGE.format(body=f"<main><h1>Head</h1>{LONG}</main><div><p>Below, some words.</p></div>")) == f"Head\n{TEXT}"
+
+
+def test_marks_count_against_the_region_they_lie_in():
+    assert op.extract("<div class=widget><p>Only, text.</p></div>") == "Only, text."
+
+
+def test_very_long_and_very_deep_pages():
+    assert op.extract("<article>" + "<p>a, b.</p>" * 50_000 + "</article>").count("\n") == 49_999
+    assert op.extract("<div>" * 50_000 + "deep" + "</b>" * 50_000) == "deep"
+    assert op.extract("<article><p>" + "word, " * 200_000).startswith("word, word")
+    assert op.extract("<p>x<script>never closed <p>y") == "x"
+
+
+def test_null_ids(spark):
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(None, "u", "<p>a</p>"), (big, None, None)], "page_id long, url string, html string")
+    assert sorted(map(tuple, op.extract_pages(df).collect()), key=str) == [(big, None, "", 0), (None, "u", "a", 1)]
