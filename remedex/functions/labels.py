@@ -36,11 +36,12 @@ BIOLOGIC_WORDS = (
     "globulin", "peptide", "erythropoietin", "somatropin", "factor viii", "factor ix", "heparin", "enzyme", "protein",
     "conjugate", "peginterferon", "asparaginase",
 )
-REASON_WORDS = (
-    ("commercial", "commercial|business|market"),
-    ("efficacy", "efficacy|ineffective"),
-    ("safety", "safety|toxicity|adverse|hepat|cardio|death|risk"),
-)
+SAFETY_WORDS = (
+    "toxic", "safety", "death", "cardio", "hepato", "nephro", "carcino",
+    "teratogen", "adverse", "arrhythm", "hemato", "neuro", "immune", "misuse",
+)
+COMMERCIAL_WORDS = ("commercial", "business", "marketing", "supply", "voluntar")
+EFFICACY_WORDS = ("efficacy", "lack of effect", "ineffective")
 NOVELTY = ((0, "High"), (10, "Moderate"), (50, "Low"))
 
 
@@ -85,7 +86,9 @@ def cyp_bucket(text: Column) -> Column:
 
 def withdrawal_reason(raw: Column) -> Column:
     """commercial before efficacy before safety; a reason that names none is unknown."""
-    return F.coalesce(first_match(raw, REASON_WORDS), F.lit("unknown"))
+    low = F.lower(raw)
+    names = lambda words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+    return F.when(names(COMMERCIAL_WORDS), "commercial").when(names(EFFICACY_WORDS), "efficacy").when(names(SAFETY_WORDS), "safety").otherwise("unknown")
 
 
 def clinical_phase(stage: Column) -> Column:

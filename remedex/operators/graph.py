@@ -40,6 +40,11 @@ def layered_weights(edges: DataFrame, kind, jump: float = 0.5) -> DataFrame:
     return e.select("src", "dst", "kd").join(layer.select("src", "kd", w.alias("w")), ["src", "kd"]).select("src", "dst", "w")
 
 
+def by_source(weights: DataFrame) -> DataFrame:
+    """Weights dealt by source once and kept so, for a walk's steps to join without moving them again."""
+    return settled(weights).repartition("src").persist()
+
+
 def walk(weights: DataFrame, seeds: DataFrame, steps: int, restart: float = 0.3, normalise: bool = True) -> DataFrame:
     """id, p after some steps of the walk from the seeds (id, p). ``seed`` as a further column walks many at once."""
     by = [c for c in seeds.columns if c not in ("id", "p")]
@@ -173,16 +178,21 @@ def gate(described: DataFrame) -> DataFrame:
 
 def capped_bfs(edges: DataFrame, seed: str, caps: dict[str, int], weight, kind, levels: int) -> DataFrame:
     """id, parent, hop of a breadth-first tree: a node passes on its heaviest neighbours up to its type's cap."""
-    spark = edges.sparkSession
-    seen = spark.createDataFrame([(seed, None, 0)], "id string, parent string, hop int")
+    seeds = edges.sparkSession.createDataFrame([("one", seed)], "graph string, id string")
+    return capped_trees(edges, seeds, caps, weight, kind, levels).drop("graph")
+
+
+def capped_trees(edges: DataFrame, seeds: DataFrame, caps: dict[str, int], weight, kind, levels: int) -> DataFrame:
+    """graph, id, parent, hop: the trees of ``capped_bfs`` for many seeds (graph, id) at once."""
+    seen = seeds.select("graph", "id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("hop"))
     front = seen
     cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])
     for level in range(1, levels + 1):
-        near = front.select(F.col("id").alias("src")).join(edges.select("src", "dst"), "src")
-        order = W.partitionBy("src").orderBy(weight(F.col("dst")).desc(), "dst")
+        near = front.select("graph", F.col("id").alias("src")).join(edges.select("src", "dst"), "src")
+        order = W.partitionBy("graph", "src").orderBy(weight(F.col("dst")).desc(), "dst")
         near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.coalesce(F.element_at(cap, kind(F.col("src"))), F.lit(1 << 30)))
-        new = near.join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
-        front = new.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent")).withColumn("hop", F.lit(level))
+        new = near.join(seen.select("graph", F.col("id").alias("dst")), ["graph", "dst"], "left_anti")
+        front = new.groupBy("graph", F.col("dst").alias("id")).agg(F.min("src").alias("parent")).withColumn("hop", F.lit(level))
         seen = seen.unionByName(front)
     return seen
 

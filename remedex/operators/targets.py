@@ -51,12 +51,13 @@ def ranked_table(scored: DataFrame, confirmed: Column, top: int = 50) -> DataFra
     return head.withColumns({"rank": rank, "label": F.concat("id", F.when(confirmed, " (confirmed)").otherwise(" (unconfirmed)"))})
 
 
-def grown(tree: DataFrame, degree: DataFrame, targets: DataFrame, most: int = 100, hops: int = 3) -> DataFrame:
-    """Nodes of a tree (id, hop) kept for display: for each hop a quota of the best connected, and all targets."""
+def grown(tree: DataFrame, degree: DataFrame, targets: DataFrame, most: int = 100, hops: int = 3, per: tuple[str, ...] = ()) -> DataFrame:
+    """Nodes of a tree (id, hop) kept for display: for each hop a quota of the best connected, and all targets. ``per``
+    names columns that tell trees apart."""
     quota = max(10, most // hops)
-    rank = F.row_number().over(W.partitionBy("hop").orderBy(F.col("_t").desc(), F.col("degree").desc(), "id"))
+    rank = F.row_number().over(W.partitionBy(*per, "hop").orderBy(F.col("_t").desc(), F.col("degree").desc(), "id"))
     own = tree.join(degree, "id").join(targets.select("id", F.lit(1).alias("_t")), "id", "left").na.fill(0, ["_t"])
-    return own.withColumn("_n", rank).where((F.col("_n") <= quota) | (F.col("_t") == 1)).select("id", "hop", "degree")
+    return own.withColumn("_n", rank).where((F.col("_n") <= quota) | (F.col("_t") == 1)).select(*per, "id", "hop", "degree")
 
 
 def importance(links: DataFrame, weight) -> DataFrame:

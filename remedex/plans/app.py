@@ -69,9 +69,13 @@ def screen_status_split(spark, d):
     return s.status_split(rows, "status", "affinity").select("protein", "ligand", "failed", "rank")
 
 
-@query("screen_batch", "SELECT s_suppkey, p_partkey FROM supplier, part WHERE s_suppkey < 8 AND p_partkey < 25")
+@query("screen_batch", "WITH b AS (SELECT l_suppkey AS protein, min_by(l_partkey, (-l_extendedprice, l_partkey)) AS ligand, min(-l_extendedprice) AS affinity FROM lineitem GROUP BY l_suppkey), p AS (SELECT protein FROM b ORDER BY affinity, protein LIMIT 10), l AS (SELECT ligand, min(affinity) AS a FROM b GROUP BY ligand ORDER BY a, ligand LIMIT 20) SELECT protein, ligand FROM p, l")
 def screen_batch(spark, d):
-    return s.batch(table(spark, d, "supplier").where("s_suppkey < 8").select("s_suppkey"), table(spark, d, "part").where("p_partkey < 25").select("p_partkey"))
+    """The 10 proteins with the best hits against the 20 best ligands: all that the guard of the batch allows."""
+    best = screen_best_hit(spark, d)
+    proteins = best.orderBy("affinity", "protein").limit(10).select("protein")
+    ligands = best.groupBy("ligand").agg(F.min("affinity").alias("a")).orderBy("a", "ligand").limit(20).select("ligand")
+    return s.batch(proteins, ligands)
 
 
 # ---------------------------------------------------------------- application lists and states

@@ -77,47 +77,47 @@ def kg_layer_weights(spark, d):
     return g.layered_weights(edges(spark, d), KIND).select("src", "dst", F.round("w", 9).alias("w"))
 
 
-def _steps(n: int, seed: str = SEED) -> str:
-    out = [f"p0 AS (SELECT '{seed}' AS id, 1.0::DOUBLE AS p)"]
-    for i in range(1, n + 1):
-        out.append(f"p{i} AS (SELECT id, sum(p) AS p FROM (SELECT w.dst AS id, p * w * 0.7::DOUBLE AS p FROM p{i - 1} JOIN w ON w.src = p{i - 1}.id UNION ALL SELECT '{seed}', 0.3::DOUBLE) GROUP BY id)")
-    return ",\n".join(out)
-
-
-STEPS = 6
+#: The walk to its fixed point: 100 steps, where the change of a step has long been below 1e-10.
+WALK = f"""
+wm AS MATERIALIZED (SELECT * FROM w),
+walk(step, id, p) AS (SELECT 0, '{SEED}', 1.0::DOUBLE UNION ALL SELECT step + 1, id, sum(p) FROM (SELECT step, wm.dst AS id, p * w * 0.7::DOUBLE AS p FROM walk JOIN wm ON wm.src = walk.id UNION ALL SELECT DISTINCT step, '{SEED}', 0.3::DOUBLE FROM walk) WHERE step < 100 GROUP BY step, id),
+pw AS (SELECT id, p FROM walk WHERE step = 100)"""
 
 
 def scores(spark, d, e=None) -> DataFrame:
+    """id, p of the walk from the seed when a step changes less than 1e-10, or after 100 steps."""
     seeds = spark.createDataFrame([(SEED, 1.0)], "id string, p double")
-    weights = settled(g.layered_weights(edges(spark, d) if e is None else e, KIND))  # each step reads them
-    return g.walk(weights, seeds, STEPS, normalise=False)
+    return g.converged(g.by_source(g.layered_weights(edges(spark, d) if e is None else e, KIND)), seeds)
 
 
-@query("kg_random_walk_topk", f"WITH {EDGES}, {WEIGHTS}, {_steps(STEPS)} SELECT id, round(p, 10) AS p FROM p{STEPS} WHERE id LIKE 'P%' ORDER BY p DESC, id LIMIT 50")
+@query("kg_random_walk_topk", f"WITH RECURSIVE {EDGES}, {WEIGHTS}, {WALK} SELECT id, round(p, 10) AS p FROM pw WHERE id LIKE 'P%' ORDER BY round(p, 10) DESC, id LIMIT 50")
 def kg_random_walk_topk(spark, d):
     p = scores(spark, d).where(KIND(F.col("id")) == "P").select("id", F.round("p", 10).alias("p"))
     return p.orderBy(F.col("p").desc(), "id").limit(50)
 
 
-_CORRECTED = f"""
-nn AS (SELECT count(DISTINCT src) AS n FROM e),
-region AS (SELECT id FROM p{STEPS} WHERE id LIKE 'S%' OR id LIKE 'P%' ORDER BY round(p, 10) DESC, id LIMIT 200),
-cand AS (SELECT id FROM p{STEPS} WHERE id LIKE 'P%' ORDER BY round(p, 10) DESC, id LIMIT 500),
+_CORRECTED = """
+nn AS (SELECT count(DISTINCT src) AS n, least(greatest(200, floor(0.005 * count(DISTINCT src))), (SELECT count(*) FROM pw WHERE id LIKE 'S%' OR id LIKE 'P%') - 1)::BIGINT AS size FROM e),
+region AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY round(p, 10) DESC, id) AS r FROM pw WHERE id LIKE 'S%' OR id LIKE 'P%'), nn WHERE r <= size),
+cand AS (SELECT id FROM pw WHERE id LIKE 'P%' ORDER BY round(p, 10) DESC, id LIMIT 500),
 o AS (SELECT c.id, count(e.dst) AS degree, count(r.id) AS observed FROM cand c JOIN e ON e.src = c.id LEFT JOIN region r ON r.id = e.dst GROUP BY c.id),
-h AS (SELECT o.*, least(degree, n - 1) AS nd, n - 1 AS m, 200 - (SELECT count(*) FROM region r WHERE r.id = o.id) AS k FROM o, nn),
+h AS (SELECT o.*, least(degree, n - 1) AS nd, n - 1 AS m, size - (SELECT count(*) FROM region r WHERE r.id = o.id) AS k FROM o, nn),
 x AS (SELECT id, degree, observed, nd, m, k, unnest(CASE WHEN observed <= least(k, nd) THEN range(greatest(observed, nd + k - m), least(k, nd) + 1) ELSE [NULL] END) AS i FROM h),
 s AS (SELECT id, degree, observed, nd, m, k, CASE WHEN observed <= 0 THEN 1.0 ELSE coalesce(sum(exp(lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) + lgamma(m - k + 1) - lgamma(nd - i + 1) - lgamma(m - k - nd + i + 1) - lgamma(m + 1) + lgamma(nd + 1) + lgamma(m - nd + 1))), 0) END AS p FROM x GROUP BY id, degree, observed, nd, m, k)"""
 
 
 def corrected(spark, d) -> DataFrame:
+    """The region holds 200 nodes, or one in 200 of all, but never all that may enter it."""
     e = settled(edges(spark, d))
     p = settled(scores(spark, d, e).withColumn("p", F.round("p", 10)))
-    top = lambda kinds, n: p.where(KIND(F.col("id")).isin(*kinds)).orderBy(F.col("p").desc(), "id").limit(n).select("id")
+    kinds = lambda *k: p.where(KIND(F.col("id")).isin(*k))
+    top = lambda df, n: df.orderBy(F.col("p").desc(), "id").limit(n).select("id")
     nodes = e.select(F.count_distinct("src")).first()[0]
-    return g.degree_corrected(e, top("SP", 200), top("P", 500), F.lit(nodes))
+    size = min(max(200, nodes // 200), kinds("S", "P").count() - 1)
+    return g.degree_corrected(e, top(kinds("S", "P"), size), top(kinds("P"), 500), F.lit(nodes))
 
 
-@query("kg_degree_correction", f"WITH {EDGES}, {WEIGHTS}, {_steps(STEPS)}, {_CORRECTED} SELECT id, degree, observed::BIGINT AS observed, round(nd * k / m, 7) AS expected, round(-log10(greatest(1e-300, least(1.0, p))), 6) AS score FROM s")
+@query("kg_degree_correction", f"WITH RECURSIVE {EDGES}, {WEIGHTS}, {WALK}, {_CORRECTED} SELECT id, degree, observed::BIGINT AS observed, round(nd * k / m, 7) AS expected, round(-log10(greatest(1e-300, least(1.0, p))), 6) AS score FROM s")
 def kg_degree_correction(spark, d):
     c = corrected(spark, d)
     return c.select("id", "degree", F.col("observed").cast("bigint").alias("observed"), F.round("expected", 7).alias("expected"), F.round("score", 6).alias("score"))
@@ -126,7 +126,7 @@ def kg_degree_correction(spark, d):
 _KNOWN = "kn AS (SELECT DISTINCT 'P' || l_partkey AS id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey = 3 AND l_quantity >= 45)"
 
 
-@query("kg_known_hidden_split", f"""WITH {EDGES}, {WEIGHTS}, {_steps(STEPS)}, {_CORRECTED}, {_KNOWN},
+@query("kg_known_hidden_split", f"""WITH RECURSIVE {EDGES}, {WEIGHTS}, {WALK}, {_CORRECTED}, {_KNOWN},
 v AS (SELECT s.id, round(-log10(greatest(1e-300, least(1.0, p))), 6) AS score, CASE WHEN kn.id IS NULL THEN 'hidden' ELSE 'known' END AS category FROM s LEFT JOIN kn ON s.id = kn.id),
 z AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, id) AS rank FROM v WHERE category = 'known' OR score >= 0.5)
 SELECT id, score, category, rank::INT AS rank, round(100 * score / (score + 100), 6) AS squashed FROM z WHERE rank <= 25""")
@@ -142,7 +142,7 @@ def kg_known_hidden_split(spark, d):
 
 _CONF = "CASE r " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in REGISTRY.items()) + " ELSE 0 END"
 _PATHS = f"""
-goal AS (SELECT 'P' || p_partkey AS id FROM part WHERE p_partkey <= 40),
+goal AS (SELECT 'P' || p_partkey AS id FROM part),
 h1 AS (SELECT src, dst, relation, [src, dst] AS nodes, [relation] AS rels FROM e WHERE src = '{SEED}'),
 h2 AS (SELECT e.dst, list_append(nodes, e.dst) AS nodes, list_append(rels, e.relation) AS rels FROM h1 JOIN e ON e.src = h1.dst WHERE substr(h1.dst, 1, 1) NOT IN ('C', 'O') AND NOT list_contains(nodes, e.dst)),
 h3 AS (SELECT e.dst, list_append(nodes, e.dst) AS nodes, list_append(rels, e.relation) AS rels FROM h2 JOIN e ON e.src = h2.dst WHERE substr(h2.dst, 1, 1) NOT IN ('C', 'O') AND NOT list_contains(nodes, e.dst)),
@@ -151,7 +151,7 @@ f AS (SELECT dst AS target, nodes, rels, len(rels) AS hops, list_min(list_transf
 
 
 def _paths(spark, d) -> DataFrame:
-    goal = table(spark, d, "part").where("p_partkey <= 40").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"))
+    goal = table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"))
     return g.describe(g.paths(edges(spark, d), SEED, goal, lambda c: ~KIND(c).isin("C", "O")), REGISTRY)
 
 
@@ -191,8 +191,11 @@ def _bfs(levels: int) -> str:
 
 @query("kg_capped_bfs", f"WITH {EDGES}, {_bfs(3)} SELECT id, parent, hop FROM s3")
 def kg_capped_bfs(spark, d):
-    weight = lambda c: F.when(KIND(c) == "S", 3).when(KIND(c) == "P", 2).when(KIND(c) == "R", 4).otherwise(1)
-    return g.capped_bfs(edges(spark, d), SEED, _CAPS, weight, KIND, 3)
+    return g.capped_bfs(edges(spark, d), SEED, _CAPS, bfs_weight, KIND, 3)
+
+
+def bfs_weight(c):
+    return F.when(KIND(c) == "S", 3).when(KIND(c) == "P", 2).when(KIND(c) == "R", 4).otherwise(1)
 
 
 @query("kg_hop_distribution", f"WITH {EDGES}, {_bfs(3)} SELECT hop, substr(id, 1, 1) AS kind, count(*) AS n FROM s3 GROUP BY ALL")
@@ -238,5 +241,5 @@ def kg_two_hop_metapaths(spark, d):
 def kg_null_model_zscore(spark, d):
     """Mean and deviation of the scores over degree-matched seeds, walked together, and z of the seed's own scores."""
     e = edges(spark, d)
-    w = settled(g.layered_weights(e, KIND))
+    w = g.by_source(g.layered_weights(e, KIND))
     return g.null_zscore(w, SEED, g.degree_matched(g.degree(e).where(KIND(F.col("id")) == "N")))

@@ -8,6 +8,7 @@ from remedex.operators import graph as g
 from remedex.operators import targets as tg
 from remedex.plans import graph as base
 from remedex.plans import query
+from remedex.sources.settle import settled
 from remedex.sources.tables import table
 
 SEED, KIND, EDGES = base.SEED, base.KIND, base.EDGES
@@ -71,10 +72,13 @@ def target_custom(spark, d):
     return tg.custom_scores(custom, base.kg_capped_bfs(spark, d), e.select(F.col("src").alias("id")), _shared(spark, d, e))
 
 
-@query("target_grown_subgraph", f"WITH {EDGES}, {base._bfs(3)}, dg AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src), g AS (SELECT 'P' || p_partkey AS id FROM part WHERE p_partkey <= 40), r AS (SELECT s3.id, hop, degree, g.id IS NOT NULL AS t, row_number() OVER (PARTITION BY hop ORDER BY g.id IS NOT NULL DESC, degree DESC, s3.id) AS n FROM s3 JOIN dg ON s3.id = dg.id LEFT JOIN g ON s3.id = g.id) SELECT id, hop, degree FROM r WHERE n <= 33 OR t")
+_HEAD = "h AS (SELECT id, round(score, 6) AS score, shared FROM sc ORDER BY round(score, 6) DESC, id LIMIT 50)"
+
+
+@query("target_grown_subgraph", f"WITH {EDGES}, {_SCORED}, {_HEAD}, dg AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src), r AS (SELECT s3.id, hop, degree, g.id IS NOT NULL AS t, row_number() OVER (PARTITION BY hop ORDER BY g.id IS NOT NULL DESC, degree DESC, s3.id) AS n FROM s3 JOIN dg ON s3.id = dg.id LEFT JOIN h g ON s3.id = g.id) SELECT id, hop, degree FROM r WHERE n <= 33 OR t")
 def target_grown_subgraph(spark, d):
-    goal = table(spark, d, "part").where("p_partkey <= 40").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"))
-    return tg.grown(base.kg_capped_bfs(spark, d).select("id", "hop"), g.degree(base.edges(spark, d)), goal)
+    """The tree of the seed as it is shown: the best connected nodes of each hop, and the ranked targets."""
+    return tg.grown(base.kg_capped_bfs(spark, d).select("id", "hop"), g.degree(base.edges(spark, d)), target_ranked_table(spark, d))
 
 
 @query("target_path_summary", f"WITH {EDGES}, {base._PATHS}, n AS (SELECT unnest(nodes) AS x FROM f), l AS (SELECT DISTINCT unnest(list_transform(range(1, len(nodes)), lambda i: [nodes[i], nodes[i + 1], rels[i]])) AS x FROM f) SELECT count(*) AS paths, count(DISTINCT target) AS targets, count(*) FILTER (hops = 1) AS hop_1, count(*) FILTER (hops = 2) AS hop_2, count(*) FILTER (hops = 3) AS hop_3, (SELECT count(DISTINCT x) FROM n) AS nodes, (SELECT count(*) FROM l) AS links FROM f")
@@ -84,7 +88,10 @@ def target_path_summary(spark, d):
 
 @query("target_importance")
 def target_importance(spark, d):
-    """Centrality of the nodes that nations, regions and suppliers make; betweenness has no SQL form."""
-    small = base.edges(spark, d).where(KIND(F.col("src")).isin("N", "R", "S") & KIND(F.col("dst")).isin("N", "R", "S"))
-    small = small.where(~(F.col("src").rlike("^S.{3,}") | F.col("dst").rlike("^S.{3,}"))).select(F.lit("shown").alias("graph"), "src", "dst")
-    return tg.importance(small, weight).select("id", *[F.round(c, 9).alias(c) for c in ("degree", "closeness", "betweenness", "importance")])
+    """Centrality within the shown trees of all nations, one graph for each; betweenness has no SQL form."""
+    e = settled(base.edges(spark, d))
+    seeds = e.where(KIND(F.col("src")) == "N").select(F.col("src").alias("graph"), F.col("src").alias("id")).distinct()
+    trees = g.capped_trees(e, seeds, base._CAPS, base.bfs_weight, KIND, 2)
+    shown = settled(tg.grown(trees.select("graph", "id", "hop"), g.degree(e), spark.createDataFrame([], "id string"), per=("graph",)).select("graph", "id"))
+    links = shown.withColumnRenamed("id", "src").join(e.select("src", "dst"), "src").join(shown.withColumnRenamed("id", "dst"), ["graph", "dst"])
+    return tg.importance(links.select("graph", "src", "dst"), weight).select("graph", "id", *[F.round(c, 9).alias(c) for c in ("degree", "closeness", "betweenness", "importance")])
