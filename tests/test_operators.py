@@ -249,3 +249,23 @@ def test_sinks_and_scans(spark, tmp_path):
     got = triples.read_job(spark, f"{tmp_path}/gold", "j2").first()
     assert (got.k, got.v, got.w) == (1, '["a"]', 2)
     assert triples.id_and_name(["score", "Accession", "symbol"]) == ("Accession", "symbol")
+
+
+def test_recommendation_rules(spark):
+    from remedex.operators import advice
+
+    rows = [("a", 1, False, True, "High", 1.0), ("a", 2, True, True, "Low", 9.0), ("b", 3, False, True, "Low", 5.0), ("b", 4, True, True, "Low", 1.0), ("c", 5, False, True, "Unknown", 1.0), ("d", 6, True, False, "Low", 1.0), ("d", 7, True, False, "Low", 3.0), ("e", 8, False, False, "High", 1.0)]
+    got = {r.session: (r.action, r.candidates) for r in advice.recommended(spark.createDataFrame(rows, "session string, id long, known boolean, confirmed boolean, novelty string, score double")).collect()}
+    assert got == {"a": ("literature_mining", [1]), "b": ("user_choice", [3, 4]), "c": ("literature_mining", [5]), "d": ("drug_curation", [7, 6]), "e": ("none", [])}
+
+
+def test_suggestions_equal_a_plain_search(spark):
+    from difflib import SequenceMatcher
+
+    from remedex.operators import resolve
+
+    names = [(i, n) for i, n in enumerate(["asthma", "acne", "gout", "goat", "croup", "myopia", "anaemia", "x", ""])]
+    got = resolve.fuzzy(spark.createDataFrame([("ashtma",), ("gaot",)], "query string"), spark.createDataFrame(names, "id long, name string"), least=0.3, top=5).collect()
+    for q in ("ashtma", "gaot"):
+        like = sorted(((-SequenceMatcher(None, q, n).ratio(), n) for _, n in names if SequenceMatcher(None, q, n).ratio() >= 0.3))[:5]
+        assert [r.name for r in sorted((r for r in got if r.query == q), key=lambda r: r.rank)] == [n for _, n in like]
