@@ -4,28 +4,35 @@ There is one restaurant for every previous word, by its full 64-bit hash, and th
 The dishes are words; the root draws new ones from an open base, so the mass of an unseen word is that of a new table at
 the root.  Contexts and words grow with the corpus; nothing but the root's totals and the hot words goes to every task.
 
-Seating is sampled by Gibbs sweeps.  A dish's customers in a restaurant are seated anew, one after the other, given the
-tables of all other dishes in the last sweep: a customer opens a table with weight (strength + discount * tables) *
-parent probability, and joins one with weight (customers - discount * tables).  Long runs of customers are skipped to
-the next possible new table and thinned, which samples the same seating.  After the first sweep, the predictive
-probabilities of all sweeps are averaged.  Buckets are sampled from a seed of their own, so tasks can be run again.
+Seating is sampled by Gibbs sweeps.  All customers of a dish in a restaurant leave, and are seated anew one after the
+other, given the tables of the last sweep: a customer opens a table with weight (strength + discount * tables) * parent
+probability, and joins one with weight (customers - discount * tables).  Long runs of customers are skipped to the next
+possible new table and thinned, which samples the same seating.  Restaurants are swept at the same time, so a sweep sees
+the others' tables as the last sweep left them.  After the first sweep, the predictive probabilities of all sweeps are
+averaged.  Buckets are sampled from a seed of their own, so tasks can be run again.
 
 A cell is a (word, previous word) of any document, with its training customers (none, if only held-out documents have
-it) and tables.  Cells are dealt to buckets by the word's hash, so a word's tables lie together; those of hot words (a
-thousandth of the tokens of a sample of the documents, a thousand words at most) are dealt to further buckets by both
-words, and only their totals go to all tasks.  For a sweep, each bucket sends what it holds of a context to the context's
-home and gets the context's customers and tables back; a context of any share is one entry for each bucket there.
+it).  A cell of one customer has one table whatever happens, so only the live cells, of two customers or more, are swept;
+the tables of the others are counted once.  Cells are dealt to buckets by the word's hash, so a word's tables lie
+together; those of hot words (a thousandth of the tokens of a sample of the documents, a thousand words at most) are
+dealt to further buckets by both words, and only their totals go to all tasks.  A context's customers and fixed tables
+lie at its home; for a sweep, each bucket sends the tables of its live contexts there and gets the sums back, so a
+context of any share is one entry for each bucket.
 
 Counts of cells are summed within a chunk of documents before they are dealt.  For scoring, a chunk sends its cells and
-the documents that they occur in to the cell's bucket, which answers with sums for each document.
+the documents that they occur in to the cell's bucket, which answers with sums for each document; this is done in
+``PASSES`` groups of buckets, so that a part of the cells is on disk at a time.  Numbers travel as byte planes, as wide as
+the largest, and sorted hashes as differences.
 
 Defined cases: a null text is empty and has the end token alone; rows of one doc_id are one document whose figures add
-up; with no training documents all words are unknown; an empty table gives no rows; other columns are ignored.
+up, and null ids are one document; with no training documents all words are unknown; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,17 +42,13 @@ from pyspark.sql import functions as F
 from remedex.llm.common import _LOWER, ByteHash, Scratch, concat, gather, groups, mix, release, slices, small_batches, table, word_bounds
 
 NAME = "op1_lm_scoring"
-CLASSES, CONTEXTS = 256, 65536
-SWEEPS, BURN = 4, 1
-#: Discounts and strengths of the root, the classes (of the fixed tree below only) and the contexts.
-DISCOUNT, STRENGTH = (0.75, 0.8, 0.9), (20.0, 20.0, 20.0)
-BYTES_PER_BUCKET, TOKENS_PER_CHUNK, HOT_SHARE, HOT_TOKENS = 16 << 20, 1_200_000, 1000, 6_000_000
-BATCH = "8m"  # bytes of an Arrow batch: with the tokens of a chunk, what a Python worker holds of long texts
+SWEEPS, BURN, PASSES = 4, 1, 2
+#: Discounts and strengths of the root and of the contexts.
+DISCOUNT, STRENGTH = (0.75, 0.9), (20.0, 20.0)
+BYTES_PER_BUCKET, TOKENS_PER_CHUNK, HOT_SHARE, HOT_TOKENS = 24 << 20, 1_600_000, 1000, 8_000_000
 SAMPLE = 16 << 20  # characters of the documents that hot words are found in; they decide where cells lie, not what they hold
 END = mix(np.array([0x5EED], dtype=np.uint64))[0]
-
-
-COUNTS = "bucket int, words binary, runs binary, contexts binary, counts binary"
+NO_ID = -(1 << 63)
 
 
 def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,8 +64,32 @@ def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def _blob(x: np.ndarray, kind) -> bytes:
-    return x.astype(kind).tobytes()
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers as byte planes, as many as the largest takes; ``unpack`` reads them."""
+    x = np.ascontiguousarray(x, dtype="<u8")
+    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    return len(x).to_bytes(4, "little") + x.view(np.uint8).reshape(len(x), 8)[:, :width].T.tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:4], "little")
+    out = np.zeros((n, 8), dtype=np.uint8)
+    if len(b) > 4:
+        planes = np.frombuffer(b, np.uint8, offset=4).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel()
+
+
+def numbers(b: bytes) -> np.ndarray:
+    return unpack(b).astype(np.int64)
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=np.uint64(0)))
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b), dtype=np.uint64)
 
 
 def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.ndarray:
@@ -107,21 +134,6 @@ def encoded(texts) -> list[bytes]:
     return [t.encode(errors="surrogatepass") for t in texts]
 
 
-def split_cells(cell: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the word, and hash of the previous word, of each cell."""
-    return (cell >> np.uint64(32)).astype(np.int64), words[(cell & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-
-
-def narrow(x: np.ndarray) -> bytes:
-    """Numbers in as few bytes as the largest takes; ``wide`` reads n of them."""
-    most = int(x.max()) if len(x) else 0
-    return _blob(x, "<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8")
-
-
-def wide(b: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(b, f"<u{len(b) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
-
-
 class Deal:
     """The bucket of each cell: by its word, or for hot words by both words."""
 
@@ -137,8 +149,8 @@ class Deal:
 
 def runs_of(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The values of a sorted array and how often each stands there."""
-    first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
-    return number[first], np.diff(np.append(first, len(number)))
+    first = np.flatnonzero(np.append(number[:-1] != number[1:], len(number) > 0)) + 1  # the ends of the runs
+    return number[first - 1], np.diff(first, prepend=0)
 
 
 def frequent(docs: DataFrame, size: int) -> pd.DataFrame:
@@ -158,168 +170,284 @@ def frequent(docs: DataFrame, size: int) -> pd.DataFrame:
     return top.assign(share=top["n"] / top["total"])
 
 
+def homes_of(names: np.ndarray, homes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts of a bucket in the order of their homes, these homes, and the number of contexts of each."""
+    at = (mix(names) % np.uint64(homes)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    return order, *runs_of(at[order])
+
+
+def parts(words: np.ndarray, cells: np.ndarray, deal: Deal) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
+    """For each bucket its cells of a chunk (places in ``cells``), and their words, runs, contexts and names packed."""
+    number, before = (cells >> np.uint64(32)).astype(np.int64), (cells & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    at = deal(words, number, words[before])
+    order, lo = np.argsort(at, kind="stable"), 0
+    for k, size in zip(*runs_of(at[order]), strict=True):
+        part = order[lo : lo + size]
+        lo += size
+        kinds, runs = runs_of(number[part])
+        used, own = np.unique(before[part], return_inverse=True)
+        yield int(k), part, [pack_sorted(words[kinds]), pack(runs), pack(own), pack_sorted(words[used])]
+
+
+CELLS = "bucket int, words binary, runs binary, contexts binary, names binary, counts binary"
+LIVE = f"{CELLS}, fixed binary, tables binary, samples array<binary>, rest long, v long, train long, n long, base binary, hot binary"
+OCCURS = f"{CELLS}, docs binary, times binary, ids binary"
+ASK = "home int, bucket int, kind int, names binary, x array<binary>"
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+class Cells:
+    """The cells of a bucket, sorted by word and previous word. ``names`` are the sorted hashes of the previous words,
+    ``context`` the place of each cell's one among them, ``c`` the training customers."""
+
+    def __init__(self, row):
+        self.bucket, self.words, self.runs = int(row.bucket), unpack_sorted(row.words), numbers(row.runs)
+        self.names, self.context, self.c = unpack_sorted(row.names), numbers(row.contexts), numbers(row.counts)
+        self.word = np.repeat(np.arange(len(self.words)), self.runs)
+
+    def per_word(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word, x, len(self.words)).astype(np.int64)
+
+
 def counts(docs: DataFrame, deal: Deal) -> DataFrame:
-    """The cells of each bucket with their training customers, one row for each bucket: the first state of the model."""
+    """The cells of each bucket with their training customers, one row for each bucket."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in filter(len, chunks(batches)):
             words, cell, n = pairs(encoded(b["text"]))
             cells, which = np.unique(cell, return_inverse=True)
             c = np.bincount(which, np.repeat(~b["held"].to_numpy(bool), n), len(cells)).astype(np.int64)
-            number, context = split_cells(cells, words)
-            at = deal(words, number, context)
-            order = np.argsort(at, kind="stable")
-            rows, lo = [], 0
-            for k, size in zip(*runs_of(at[order]), strict=True):
-                part = order[lo : lo + size]
-                lo += size
-                kinds, runs = runs_of(number[part])
-                rows.append((int(k), _blob(words[kinds], "<u8"), _blob(runs, "<u4"), _blob(context[part], "<u8"), narrow(c[part])))
-            yield pd.DataFrame(rows, columns=["bucket", "words", "runs", "contexts", "counts"])
+            yield pd.DataFrame([(k, *packed, pack(c[part])) for k, part, packed in parts(words, cells, deal)], columns=_names(CELLS))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups(batches, ["bucket"]):
-            word = np.repeat(np.frombuffer(b"".join(g["words"]), "<u8"), np.frombuffer(b"".join(g["runs"]), "<u4"))
-            context = np.frombuffer(b"".join(g["contexts"]), "<u8")
-            c = np.concatenate([wide(x, len(y) // 8) for x, y in zip(g["counts"], g["contexts"], strict=True)])
+            word = np.concatenate([np.repeat(unpack_sorted(w), numbers(r)) for w, r in zip(g["words"], g["runs"], strict=True)])
+            context = np.concatenate([unpack_sorted(n)[numbers(x)] for n, x in zip(g["names"], g["contexts"], strict=True)])
             order = np.lexsort((context, word))
             word, context = word[order], context[order]
             first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (context[1:] != context[:-1])]))
+            c = np.add.reduceat(np.concatenate([numbers(x) for x in g["counts"]])[order], first)
             names, local = np.unique(context[first], return_inverse=True)
             words, runs = runs_of(word[first])
-            yield Cells(int(g["bucket"].iloc[0]), words, runs, local, np.add.reduceat(c[order], first), names).row(deal)
+            yield pd.DataFrame([(int(g["bucket"].iloc[0]), pack_sorted(words), pack(runs), pack(local), pack_sorted(names), pack(c))], columns=_names(CELLS))
 
-    return gather(docs.mapInPandas(count, COUNTS), ["bucket"]).mapInPandas(merge, STATE)
+    return gather(docs.mapInPandas(count, CELLS), ["bucket"]).mapInPandas(merge, CELLS)
 
 
-STATE = "bucket int, words binary, runs binary, contexts binary, counts binary, names binary, tables binary, sums binary, n long, v long, train long, hot binary"
+class Live(Cells):
+    """The live cells of a bucket with their tables now and after each sweep that counts, the fixed tables of their words,
+    and figures of the whole bucket: fixed tables, kinds of words, training tokens."""
 
+    def __init__(self, row):
+        super().__init__(row)
+        self.fixed, self.t, self.samples = numbers(row.fixed), numbers(row.tables), list(row.samples)
+        self.rest, self.v, self.train, self.base = int(row.rest), int(row.v), int(row.train), row.base
 
-class Cells:
-    """The cells of a bucket, sorted by word and previous word: customers, tables and summed probabilities.
+    def row(self, deal: Deal) -> pd.DataFrame:
+        """The state as a row. Tables and customers of hot words lie in many buckets and are added up by the driver."""
+        hot = None
+        if self.base is not None:
+            hot = np.frombuffer(self.base, "<i8").reshape(2, -1).copy()
+            hot[0, np.searchsorted(deal.hot, self.words)] += self.per_word(self.t)
+            hot = hot.tobytes()
+        cells = (self.bucket, pack_sorted(self.words), pack(self.runs), pack(self.context), pack_sorted(self.names), pack(self.c))
+        return pd.DataFrame([(*cells, pack(self.fixed), pack(self.t), self.samples, self.rest, self.v, self.train, self.rest + int(self.t.sum()), self.base, hot)], columns=_names(LIVE))
 
-    ``names`` are the sorted hashes of the previous words, ``context`` the place of each cell's one among them.
-    """
+    def sweep(self, k: int, g: dict, tables: np.ndarray, deal: Deal, seed: int) -> None:
+        """Seat the customers anew, given the tables of the contexts."""
+        n = self.fixed + self.per_word(self.t) if self.base is None else g["hot"][0][np.searchsorted(deal.hot, self.words)]
+        new = (STRENGTH[1] + DISCOUNT[1] * tables[self.context]) * root(n, g)[self.word]
+        self.t = seat(self.c, new, DISCOUNT[1], np.random.default_rng((seed, self.bucket, k)))
+        if k >= BURN:
+            self.samples.append(pack(self.t))
 
-    def __init__(self, bucket: int, words, runs, context, c, names, t=None, sums=None):
-        self.bucket, self.words, self.runs, self.context, self.c, self.names = bucket, words, runs, context, c, names
-        self.word = np.repeat(np.arange(len(words)), runs)
-        self.t = np.minimum(c, 1) if t is None else t
-        self.sums = np.zeros(0) if sums is None else sums
 
-    @staticmethod
-    def read(row) -> Cells:
-        words, runs, context = (np.frombuffer(getattr(row, k), kind) for k, kind in (("words", "<u8"), ("runs", "<u4"), ("contexts", "<u4")))
-        c, t = wide(row.counts, len(context)), wide(row.tables, len(context))
-        return Cells(int(row.bucket), words, runs, context.astype(np.int64), c, np.frombuffer(row.names, "<u8"), t, np.frombuffer(row.sums, "<f8"))
+def root(n: np.ndarray, g: dict) -> np.ndarray:
+    """Probability of words with n tables at the root."""
+    return np.where(n > 0, n - DISCOUNT[0], STRENGTH[0] + DISCOUNT[0] * g["v"]) / (STRENGTH[0] + g["n"])
 
-    def row(self, deal: Deal) -> pd.DataFrame:
-        """The state as a row. Tables and customers of hot words lie in many buckets and are added up by the driver."""
-        n, c, hot = np.bincount(self.word, self.t, len(self.words)), np.bincount(self.word, self.c, len(self.words)), None
-        if self.bucket >= deal.buckets:
-            hot = np.zeros((2, len(deal.hot)), np.int64)
-            hot[:, np.searchsorted(deal.hot, self.words)] = n, c
-            hot = _blob(hot, "<i8")
-        own = (self.bucket, _blob(self.words, "<u8"), _blob(self.runs, "<u4"), _blob(self.context, "<u4"), narrow(self.c), _blob(self.names, "<u8"), narrow(self.t), _blob(self.sums, "<f8"))
-        return pd.DataFrame([(*own, int(n.sum()), int((n > 0).sum()) if hot is None else 0, int(c.sum()), hot)], columns=[x.split()[0] for x in STATE.split(", ")])
-
-    def root(self, g: dict, deal: Deal) -> np.ndarray:
-        """Probability of each word at the root."""
-        n = np.bincount(self.word, self.t, len(self.words)) if self.bucket < deal.buckets else g["hot"][0][np.searchsorted(deal.hot, self.words)]
-        return np.where(n > 0, n - DISCOUNT[0], STRENGTH[0] + DISCOUNT[0] * g["v"]) / (STRENGTH[0] + g["n"])
-
-    def known(self, g: dict, deal: Deal) -> np.ndarray:
-        """Training customers of each word."""
-        return np.bincount(self.word, self.c, len(self.words)) if self.bucket < deal.buckets else g["hot"][1][np.searchsorted(deal.hot, self.words)]
-
-    def sweep(self, k: int, g: dict, customers: np.ndarray, tables: np.ndarray, deal: Deal, seed: int) -> None:
-        """Add up the probabilities of sweep k, given the contexts' customers and tables after it, and seat the next."""
-        new = (STRENGTH[2] + DISCOUNT[2] * tables[self.context]) * self.root(g, deal)[self.word]
-        if k > BURN:
-            p = (self.c - DISCOUNT[2] * self.t + new) / (STRENGTH[2] + customers[self.context])
-            self.sums = self.sums + p if len(self.sums) else p
-        if k < SWEEPS:
-            self.t = seat(self.c, new, DISCOUNT[2], np.random.default_rng((seed, self.bucket, k)))
 
+def live(cells: DataFrame, deal: Deal) -> DataFrame:
+    """The live cells of each bucket, each dish at one table."""
 
-def homes_of(names: np.ndarray, homes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The contexts of a bucket in the order of their homes, these homes, and the number of contexts of each."""
-    at = (mix(names) % np.uint64(homes)).astype(np.int64)
-    order = np.argsort(at, kind="stable")
-    return order, *runs_of(at[order])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                x = Cells(r)
+                own, fixed, base = x.c > 1, x.per_word(x.c == 1), None
+                kinds, runs = runs_of(x.word[own])
+                used, at = np.unique(x.context[own], return_inverse=True)
+                if x.bucket >= deal.buckets:
+                    base = np.zeros((2, len(deal.hot)), np.int64)
+                    base[:, np.searchsorted(deal.hot, x.words)] = fixed, x.per_word(x.c)
+                    base = base.tobytes()
+                v = int((x.per_word(x.c) > 0).sum()) if base is None else 0
+                packed = (x.bucket, pack_sorted(x.words[kinds]), pack(runs), pack(at), pack_sorted(x.names[used]), pack(x.c[own]), pack(fixed[kinds]), pack(np.ones(int(own.sum()), np.int64)))
+                row = pd.DataFrame([(*packed, [], int((x.c == 1).sum()), v, int(x.c.sum()), 0, base, None)], columns=_names(LIVE))
+                yield Live(next(row.itertuples(index=False))).row(deal)
+
+    return cells.mapInPandas(run, LIVE)
 
 
-def answers(state: DataFrame, homes: int) -> DataFrame:
-    """Customers and tables, over all buckets, of the contexts of each (bucket, home)."""
+def asked(rows: DataFrame, homes: int, kind: int, values) -> DataFrame:
+    """The contexts of each bucket dealt to their homes, with some numbers for each; ``values`` makes them of a row."""
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for row in b.itertuples(index=False):
-                names, context = np.frombuffer(row.names, "<u8"), np.frombuffer(row.contexts, "<u4")
-                c, t = (np.bincount(context, wide(v, len(context)), len(names)).astype(np.int64) for v in (row.counts, row.tables))
+            for r in b.itertuples(index=False):
+                names, x = values(r)
+                if not len(names):
+                    continue
                 order, at, size = homes_of(names, homes)
                 ends = np.cumsum(size)
-                parts = [order[lo:hi] for lo, hi in zip(ends - size, ends, strict=True)]
-                yield pd.DataFrame({"home": at, "bucket": row.bucket, "names": [_blob(names[p], "<u8") for p in parts], "customers": [narrow(c[p]) for p in parts], "tables": [narrow(t[p]) for p in parts]})
+                yield pd.DataFrame([(int(h), int(r.bucket), kind, pack_sorted(names[order[e - n : e]]), [pack(v[order[e - n : e]]) for v in x]) for h, e, n in zip(at, ends, size, strict=True)], columns=_names(ASK))
+
+    return rows.mapInPandas(run, ASK)
+
+
+def _totals(x: Cells, *cells: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Names of the contexts, and sums over the cells of each."""
+    return x.names, [np.bincount(x.context, v, len(x.names)).astype(np.int64) for v in cells]
 
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _count_values(r):
+    x = Cells(r)
+    return _totals(x, x.c, x.c == 1)
+
+
+def _table_values(r):
+    x = Live(r)
+    return _totals(x, x.t)
+
+
+def _sample_values(r):
+    x = Live(r)
+    return _totals(x, *map(numbers, x.samples))
+
+
+def _no_values(r):
+    return unpack_sorted(r.names), []
+
+
+def at_home(cells: DataFrame, homes: int) -> DataFrame:
+    """The customers and fixed tables of the contexts of each home."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches, ["home"]):
+            names, which = np.unique(np.concatenate([unpack_sorted(x) for x in g["names"]]), return_inverse=True)
+            sums = [np.bincount(which, np.concatenate([numbers(x[i]) for x in g["x"]]), len(names)) for i in range(2)]
+            yield pd.DataFrame([(int(g["home"].iloc[0]), -1, 0, pack_sorted(names), [pack(v) for v in sums])], columns=_names(ASK))
+
+    return gather(asked(cells, homes, 0, _count_values), ["home"]).mapInPandas(run, ASK)
+
+
+def answers(home: DataFrame, rows: DataFrame, m: int) -> DataFrame:
+    """bucket, home, x: customers of the contexts asked for, and their tables in each of m seatings.
+
+    Rows of kind 1 bring tables, those of kind 2 want sums, and those of kind 3 do both.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups(batches, ["home"]):
-            sizes = np.array([len(x) // 8 for x in g["names"]])
-            _, which = np.unique(np.frombuffer(b"".join(g["names"]), "<u8"), return_inverse=True)
-            ends = np.cumsum(sizes)
-            out = {"bucket": g["bucket"].to_numpy(), "home": g["home"].to_numpy()}
-            for k in ("customers", "tables"):
-                v = np.concatenate([wide(x, n) for x, n in zip(g[k], sizes, strict=True)])
-                total = np.bincount(which, v).astype(np.int64)[which]
-                out[k] = [narrow(total[lo:hi]) for lo, hi in zip(ends - sizes, ends, strict=True)]
-            yield pd.DataFrame(out)
+            at = {}
+            for i, r in enumerate(g.itertuples(index=False)):
+                if not r.kind:
+                    names, (customers, fixed) = unpack_sorted(r.names), map(numbers, r.x)
+                    tables = [fixed.copy() for _ in range(m)]
+                    continue
+                at[i] = np.searchsorted(names, unpack_sorted(r.names))
+                if r.kind != 2:
+                    for t, x in zip(tables, r.x, strict=True):
+                        t[at[i]] += numbers(x)
+            out = [(int(r.bucket), int(r.home), [pack(v[at[i]]) for v in (customers, *tables)]) for i, r in enumerate(g.itertuples(index=False)) if r.kind > 1]
+            if out:
+                yield pd.DataFrame(out, columns=["bucket", "home", "x"])
 
-    asked = state.select("bucket", "contexts", "counts", "names", "tables").mapInPandas(ask, "home int, bucket int, names binary, customers binary, tables binary")
-    return gather(asked, ["home"]).mapInPandas(answer, "bucket int, home int, customers binary, tables binary")
+    dealt = home.unionByName(rows).repartition("home").sortWithinPartitions("home", "kind", "bucket")
+    return dealt.mapInPandas(run, "bucket int, home int, x array<binary>")
 
 
-def root_totals(state: DataFrame, deal: Deal) -> dict:
+def root_totals(rows: DataFrame, deal: Deal) -> dict:
     """Tables and kinds of words at the root, training tokens, and tables and customers of the hot words."""
-    rows = state.select("n", "v", "train", "hot").collect()  # one small row for each bucket
-    hot = sum((np.frombuffer(r.hot, "<i8").reshape(2, -1) for r in rows if r.hot is not None), np.zeros((2, len(deal.hot)), np.int64))
-    return {"n": sum(r.n for r in rows), "v": sum(r.v for r in rows) + int((hot[0] > 0).sum()), "train": sum(r.train for r in rows), "hot": hot}
+    found = rows.select("n", "v", "train", "hot").collect()  # one small row for each bucket
+    hot = sum((np.frombuffer(r.hot, "<i8").reshape(2, -1) for r in found if r.hot is not None), np.zeros((2, len(deal.hot)), np.int64))
+    return {"n": sum(r.n for r in found), "v": sum(r.v for r in found) + int((hot[1] > 0).sum()), "train": sum(r.train for r in found), "hot": hot}
+
 
+class Replies:
+    """What the homes answer for the contexts of a bucket, put in the order of its names."""
 
-def swept(state: DataFrame, k: int, g: dict, deal: Deal, seed: int) -> DataFrame:
-    """The state after sweep k + 1."""
-    nothing = F.lit(None).cast("binary")
-    back = answers(state, deal.buckets)
-    own = state.drop("n", "v", "train", "hot").withColumns({"home": F.lit(-1), "customers": nothing})
-    rows = own.unionByName(back, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", "home")
+    def __init__(self, names: np.ndarray, homes: int):
+        order, at, size = homes_of(names, homes)
+        ends = np.cumsum(size)
+        self.n, self.place = len(names), {int(h): order[e - k : e] for h, e, k in zip(at, ends, size, strict=True)}
+        self.x: list[np.ndarray] = []
+
+    def add(self, home: int, x) -> None:
+        if not self.x:
+            self.x = [np.zeros(self.n, np.int64) for _ in x]
+        for to, v in zip(self.x, x, strict=True):
+            to[self.place[home]] = numbers(v)
+
+
+def swept(rows: DataFrame, home: DataFrame, k: int, g: dict, deal: Deal, seed: int) -> DataFrame:
+    """The live cells after sweep k."""
+    back = answers(home, asked(rows, deal.buckets, 3, _table_values), 1)
+    both = rows.withColumn("home", F.lit(-1)).unionByName(back, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", "home")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = None
+        x, replies = None, None
+
+        def done() -> pd.DataFrame:
+            x.sweep(k, g, replies.x[1] if replies.x else np.zeros(0), deal, seed)
+            return x.row(deal)
+
         for b in batches:
-            for row in b.itertuples(index=False):
-                if row.home < 0:
-                    if x is not None:
-                        x.sweep(k, g, c, t, deal, seed)
-                        yield x.row(deal)
-                    x = Cells.read(row)
-                    c, t = np.zeros(len(x.names)), np.zeros(len(x.names))
-                    order, at, size = homes_of(x.names, deal.buckets)
-                    ends = np.cumsum(size)
-                    place = {int(h): order[e - n : e] for h, e, n in zip(at, ends, size, strict=True)}
-                else:
-                    p = place[int(row.home)]
-                    c[p], t[p] = wide(row.customers, len(p)), wide(row.tables, len(p))
+            for r in b.itertuples(index=False):
+                if r.home >= 0:
+                    replies.add(int(r.home), r.x)
+                    continue
+                if x is not None:
+                    yield done()
+                x = Live(r)
+                replies = Replies(x.names, deal.buckets)
         if x is not None:
-            x.sweep(k, g, c, t, deal, seed)
-            yield x.row(deal)
+            yield done()
+
+    return both.mapInPandas(run, LIVE)
 
-    return rows.mapInPandas(run, STATE)
+
+def trained(cells: DataFrame, home: DataFrame, scratch: Scratch, deal: Deal, seed: int) -> tuple[DataFrame, list[dict]]:
+    """The live cells after all sweeps, and the totals of the root after each sweep that counts."""
+    state, out = scratch.put(live(cells, deal), "l0"), []
+    g = root_totals(state, deal)
+    for k in range(SWEEPS):
+        state = scratch.put(swept(state, home, k, g, deal, seed), f"l{k + 1}")
+        g = root_totals(state, deal)
+        scratch.drop(f"l{k}")
+        release(state.sparkSession)
+        if k >= BURN:
+            out.append(g)
+    return state, out
 
 
-OCCURS = "bucket int, words binary, runs binary, contexts binary, counts binary, docs binary, times binary, ids binary"
+def averaged(x: Cells, samples: list[np.ndarray], replies: list[np.ndarray], totals: list[dict], deal: Deal) -> np.ndarray:
+    """The predictive probability of each cell, averaged over the seatings (tables of its live cells)."""
+    customers, sums = replies[0], np.zeros(len(x.c))
+    for tables, own, g in zip(replies[1:], samples, totals, strict=True):
+        t = np.minimum(x.c, 1)
+        t[x.c > 1] = own
+        n = x.per_word(t) if x.bucket < deal.buckets else g["hot"][0][np.searchsorted(deal.hot, x.words)]
+        sums += x.c - DISCOUNT[1] * t + (STRENGTH[1] + DISCOUNT[1] * tables[x.context]) * root(n, g)[x.word]
+    return sums / len(totals) / (STRENGTH[1] + customers[x.context])
 
 
-def occurrences(docs: DataFrame, deal: Deal) -> DataFrame:
-    """The cells of a chunk by bucket, and the documents that they occur in with the times."""
+def occurrences(docs: DataFrame, deal: Deal, turn: int, turns: int) -> DataFrame:
+    """The cells of a chunk by bucket, and the documents that they occur in with the times, for one turn's buckets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in filter(len, chunks(batches)):
@@ -331,77 +459,89 @@ def occurrences(docs: DataFrame, deal: Deal) -> DataFrame:
             first = np.flatnonzero(new | np.concatenate([[True], doc[1:] != doc[:-1]]))  # of each (cell, document)
             times, doc = np.diff(np.append(first, len(cell))), doc[first]
             which = np.cumsum(new)[first] - 1
-            number, context = split_cells(cell[new], words)
+            cells = cell[new]
             del order, cell, new, first
-            at = deal(words, number, context)
-            order, eorder = np.argsort(at, kind="stable"), np.argsort(at[which], kind="stable")
-            each = np.bincount(which, minlength=len(at))
-            rows, lo, elo = [], 0, 0
-            for k, size in zip(*runs_of(at[order]), strict=True):
-                part = order[lo : lo + size]
-                lo += size
-                kinds, runs = runs_of(number[part])
-                epart = eorder[elo : elo + int(each[part].sum())]
-                elo += len(epart)
-                used, own = np.unique(doc[epart], return_inverse=True)
-                rows.append((int(k), _blob(words[kinds], "<u8"), _blob(runs, "<u4"), _blob(context[part], "<u8"), narrow(each[part]), narrow(own), narrow(times[epart]), _blob(ids[used], "<i8")))
-            yield pd.DataFrame(rows, columns=["bucket", "words", "runs", "contexts", "counts", "docs", "times", "ids"])
+            each = np.bincount(which, minlength=len(cells))
+            start = np.cumsum(each) - each
+            rows = []
+            for k, part, packed in parts(words, cells, deal):
+                if k % turns != turn:
+                    continue
+                size = each[part]
+                ends = np.cumsum(size)
+                at = np.arange(ends[-1]) + np.repeat(start[part] - ends + size, size)
+                used, own = np.unique(doc[at], return_inverse=True)
+                rows.append((k, *packed, pack(size), pack(own), pack(times[at]), ids[used].astype("<i8").tobytes()))
+            if rows:
+                yield pd.DataFrame(rows, columns=_names(OCCURS))
 
     return docs.mapInPandas(run, OCCURS)
 
 
-def score(found: DataFrame, state: DataFrame, g: dict, deal: Deal) -> DataFrame:
+def score(found: DataFrame, cells: DataFrame, state: DataFrame, back: DataFrame, totals: list[dict], deal: Deal) -> DataFrame:
     """doc_id and sums of score, base_score, tokens and known tokens, for each chunk and bucket."""
-    own = state.drop("n", "v", "train", "hot").withColumn("side", F.lit(0))
-    rows = own.unionByName(found.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    sides = (cells, state.select("bucket", "samples"), back, found)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("side", F.lit(i)) for i, df in enumerate(sides)])
+    train, v = totals[-1]["train"], totals[-1]["v"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
-                if not r.side:
-                    x = Cells.read(r)
-                    cell, log_p, known = x.word * len(x.names) + x.context, np.log10(x.sums / (SWEEPS - BURN)), x.known(g, deal)
-                    continue
-                words, runs, contexts, ids = (np.frombuffer(getattr(r, k), kind) for k, kind in (("words", "<u8"), ("runs", "<u4"), ("contexts", "<u8"), ("ids", "<i8")))
-                each = wide(r.counts, len(contexts))
-                doc, times = (wide(v, int(each.sum())) for v in (r.docs, r.times))
-                w = np.repeat(np.searchsorted(x.words, words), runs)
-                at = np.searchsorted(cell, w * len(x.names) + np.searchsorted(x.names, contexts))  # every cell is there
-                c = known[w]
-                base = np.log10((c + 1) / (g["train"] + g["v"] + 1))
-                sums = [np.bincount(doc, np.repeat(v, each) * times, len(ids)) for v in (log_p[at], base, c > 0)]
-                yield pd.DataFrame({"doc_id": ids, "score": sums[0], "base_score": sums[1], "n_known": sums[2].astype(np.int64), "n_tokens": np.bincount(doc, times, len(ids)).astype(np.int64)})
-
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "side")
+                if r.side == 0:
+                    x = Cells(r)
+                    cell, log_p, replies = x.word * len(x.names) + x.context, None, Replies(x.names, deal.buckets)
+                    known = x.per_word(x.c) if x.bucket < deal.buckets else totals[-1]["hot"][1][np.searchsorted(deal.hot, x.words)]
+                elif r.side == 1:
+                    samples = [numbers(t) for t in r.samples]
+                elif r.side == 2:
+                    replies.add(int(r.home), r.x)
+                else:
+                    if log_p is None:
+                        log_p = np.log10(averaged(x, samples, replies.x, totals, deal))
+                    w = np.repeat(np.searchsorted(x.words, unpack_sorted(r.words)), numbers(r.runs))
+                    at = np.searchsorted(cell, w * len(x.names) + np.searchsorted(x.names, unpack_sorted(r.names))[numbers(r.contexts)])  # every cell is there
+                    each, doc, times, ids = numbers(r.counts), numbers(r.docs), numbers(r.times), np.frombuffer(r.ids, "<i8")
+                    c = known[w]
+                    base = np.log10((c + 1) / (train + v + 1))
+                    sums = [np.bincount(doc, np.repeat(y, each) * times, len(ids)) for y in (log_p[at], base, c > 0)]
+                    yield pd.DataFrame({"doc_id": ids, "score": sums[0], "base_score": sums[1], "n_known": sums[2].astype(np.int64), "n_tokens": np.bincount(doc, times, len(ids)).astype(np.int64)})
+
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "side", "home")
     return dealt.mapInPandas(run, "doc_id long, score double, base_score double, n_known long, n_tokens long")
 
 
-def trained(rows: DataFrame, scratch: Scratch, deal: Deal, seed: int) -> tuple[DataFrame, dict]:
-    """The cells after all sweeps with their summed probabilities, and the totals of the root."""
-    spark = rows.sparkSession
-    state = scratch.put(counts(rows, deal), "s0")
-    for k in range(SWEEPS + 1):
-        g = root_totals(state, deal)
-        state = scratch.put(swept(state, k, g, deal, seed), f"s{k + 1}")
-        scratch.drop(f"s{k}")
-        release(spark)
-    return state, g
+FIGURES = ("n_tokens", "n_known", "base_score", "score")
+
+
+def _per_document(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("doc_id").agg(*[F.sum(k).alias(k) for k in FIGURES])
 
 
 def lm_scores(docs: DataFrame, scratch: Scratch, seed: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     small_batches(spark)
-    held = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 7 == 2
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
+    held = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 7 == 2, F.lit(False))
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     top = frequent(rows, size)
     salts = int(top["share"].sum() * size / 6 // HOT_TOKENS) + 1
     deal = Deal(int(size // BYTES_PER_BUCKET) + 1, np.sort(top["word"].to_numpy(np.int64).view(np.uint64)), salts)
-    state, g = trained(rows, scratch, deal, seed)
-    sums = score(occurrences(rows, deal), state, g, deal)
-    out = sums.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(g["train"]).cast("bigint").alias("train_tokens"), "base_score", "score")
+    cells = scratch.put(counts(rows, deal), "cells")
+    release(spark)
+    home = scratch.put(at_home(cells, deal.buckets), "home")
+    release(spark)
+    state, totals = trained(cells, home, scratch, deal, seed)
+    sums = []
+    for turn in range(PASSES):
+        own = cells.where(F.col("bucket") % PASSES == turn)
+        questions = asked(own.select("bucket", "names"), deal.buckets, 2, _no_values)
+        back = answers(home, questions.unionByName(asked(state, deal.buckets, 1, _sample_values)), len(totals))
+        found = score(occurrences(rows, deal, turn, PASSES), own, state.where(F.col("bucket") % PASSES == turn), back, totals, deal)
+        sums.append(scratch.put(_per_document(found), f"sums{turn}"))
+        release(spark)
+    out = _per_document(reduce(DataFrame.unionByName, sums)).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(totals[-1]["train"]).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,179 +553,3 @@ def perplexity(scores: DataFrame) -> DataFrame:
     """Perplexity of the model and of the base on held-out documents."""
     per = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))
     return scores.where("held_out").agg(per("score").alias("model"), per("base_score").alias("base"))
-
-
-# ---------------------------------------------------------------- a tree of 65,536 hashed contexts; no query uses it
-
-
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and context of every token (words, then the end), and the number of tokens of each text."""
-    parts = [_tokens(texts[lo:hi]) for lo, hi in slices([len(t) for t in texts], 1 << 20)]
-    return tuple(np.concatenate([x[i] for x in parts]) for i in range(3)) if parts else _tokens([])
-
-
-def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    buf, bounds = concat(texts)
-    buf = _LOWER[buf]
-    starts, ends, n = word_bounds(buf, bounds)
-    at = np.cumsum(n)
-    word = ByteHash(buf).of(starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    tail = np.where(ends - starts > 1, buf[np.maximum(ends - 2, 0)] if len(ends) else 0, 0).astype(np.uint64) << np.uint64(8) | (buf[ends - 1].astype(np.uint64) if len(ends) else np.zeros(0, np.uint64))
-    group = (mix(tail + np.uint64(1)) & np.uint64(0xFF)) << np.uint64(8) | (word >> np.uint64(56))
-    word = np.insert(word, at, END)
-    group = np.insert(group, at, END & np.uint64(0xFFFF))
-    context = np.empty(len(group), dtype=np.uint16)
-    context[1:] = group[:-1]
-    first = at + np.arange(len(at)) - n
-    context[first] = END & np.uint64(0xFFFF)
-    return word, context, n + 1
-
-
-def _pairs(word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct words, sorted distinct keys (word number << 16 | context), and the key of each token."""
-    words, number = np.unique(word, return_inverse=True)
-    key = number.astype(np.uint64) << np.uint64(16) | context
-    return words, key, number
-
-
-class Dishes:
-    """The words of a bucket with their customers and tables at all levels."""
-
-    def __init__(self, bucket: int, words, runs, contexts, customers):
-        self.seed, self.words, self.context, self.c = bucket, words, contexts.astype(np.int64), customers
-        self.word = np.repeat(np.arange(len(words)), runs)
-        parent = self.word * CLASSES + (self.context >> 8)  # contexts are sorted, so parents are too
-        self.first = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]])) if len(parent) else np.zeros(0, np.int64)
-        self.parents = parent[self.first]
-        self.kind, self.of_word = self.parents % CLASSES, self.parents // CLASSES
-        self.parent = np.cumsum(np.concatenate([[0], (parent[1:] != parent[:-1]).astype(np.int64)])) if len(parent) else parent
-        self.t = np.minimum(self.c, 1)
-        self.up()
-        self.tk = np.minimum(self.ck, 1)
-        self.n = np.bincount(self.of_word, self.tk, len(words))
-
-    def up(self) -> None:
-        self.ck = np.add.reduceat(self.t, self.first) if len(self.first) else np.zeros(0, np.int64)
-
-    def class_probability(self, g: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Of each word at the root, and of each (word, class)."""
-        p0 = (self.n - DISCOUNT[0]) / (STRENGTH[0] + g["n"])
-        new = (STRENGTH[1] + DISCOUNT[1] * g["t_class"][self.kind]) * p0[self.of_word]
-        return p0, (self.ck - DISCOUNT[1] * self.tk + new) / (STRENGTH[1] + g["c_class"][self.kind])
-
-    def sweep(self, g: dict, rng) -> None:
-        p0, pk = self.class_probability(g)
-        self.t = seat(self.c, (STRENGTH[2] + DISCOUNT[2] * g["t"][self.context]) * pk[self.parent], DISCOUNT[2], rng)
-        self.up()
-        self.tk = seat(self.ck, (STRENGTH[1] + DISCOUNT[1] * g["t_class"][self.kind]) * p0[self.of_word], DISCOUNT[1], rng)
-        self.n = np.bincount(self.of_word, self.tk, len(self.words))
-
-    def totals(self) -> pd.DataFrame:
-        """Customers and tables of the restaurants: (level, id, customers, tables)."""
-        out = []
-        for level, ids, c, t, size in ((2, self.context, self.c, self.t, CONTEXTS), (1, self.kind, self.ck, self.tk, CLASSES)):
-            c, t = np.bincount(ids, c, size), np.bincount(ids, t, size)
-            hit = np.flatnonzero(c)
-            out.append(pd.DataFrame({"level": level, "id": hit, "c": c[hit].astype(np.int64), "t": t[hit].astype(np.int64)}))
-        out.append(pd.DataFrame({"level": [0], "id": [0], "c": [int(self.n.sum())], "t": [len(self.words)]}))
-        return pd.concat(out)
-
-
-def dishes(row, hot: np.ndarray) -> Iterator[tuple[bool, Dishes]]:
-    """The words of a bucket that are not hot, and those that are."""
-    words, runs, contexts, c = (np.frombuffer(row[k], kind) for k, kind in (("words", "<u8"), ("runs", "<u4"), ("contexts", "<u2"), ("counts", "<u8")))
-    is_hot = np.isin(words, hot)
-    for want in (False, True):
-        own = is_hot == want
-        if own.any():
-            each = np.repeat(own, runs)
-            yield want, Dishes(2 * int(row["bucket"]) + want, words[own], runs[own], contexts[each], c[each].astype(np.int64))
-
-
-def sampled(d: Dishes, states: list[dict], seed: int) -> Iterator[Dishes]:
-    """The dishes after each sweep."""
-    for s, g in enumerate(states):
-        d.sweep(g, np.random.default_rng((seed, d.seed, s)))
-        yield d
-
-
-def totals(model: DataFrame, hot: np.ndarray, states: list[dict], seed: int) -> dict:
-    """Customers and tables of all restaurants after the sweeps so far."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for _, row in b.iterrows():
-                for _, d in dishes(row, hot):
-                    for _ in sampled(d, states, seed):
-                        pass
-                    yield d.totals()
-
-    rows = model.mapInPandas(run, "level int, id int, c long, t long").groupBy("level", "id").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).toPandas()  # 65,793 rows at most
-    out = {}
-    for level, suffix, size in ((2, "", CONTEXTS), (1, "_class", CLASSES)):
-        part = rows[rows["level"] == level]
-        for k in "ct":
-            x = np.zeros(size)
-            x[part["id"]] = part[k]
-            out[k + suffix] = x
-    root = rows[rows["level"] == 0]
-    return out | {"n": float(root["c"].sum()), "v": int(root["t"].sum())}
-
-
-class Predictor:
-    """Averaged predictive probabilities of the words of a bucket, or of all hot words."""
-
-    def __init__(self, parts: list[Dishes], states: list[dict], seed: int):
-        self.states, self.parts = states, parts
-        self.words = np.concatenate([np.zeros(0, np.uint64), *(d.words for d in parts)])
-        self.order = np.argsort(self.words)
-        starts = np.cumsum([0, *(len(d.words) for d in parts)])
-        self.known = np.concatenate([np.zeros(0), *(np.bincount(d.word, d.c, len(d.words)) for d in parts)])
-        self.p0, self.pk, self.pu = [], [], []
-        leaf, kind = [], []
-        for k, d in enumerate(parts):
-            leaf.append((d.word + starts[k]) * CONTEXTS + d.context)
-            kind.append((d.of_word + starts[k]) * CLASSES + d.kind)
-            rows: list = [[], [], []]
-            for s, x in enumerate(sampled(d, states[:-1], seed)):
-                if s >= BURN:
-                    p0, pk = x.class_probability(states[s + 1])
-                    for to, v in zip(rows, (p0, pk, x.c - DISCOUNT[2] * x.t), strict=True):
-                        to.append(v)
-            for to, v in zip((self.p0, self.pk, self.pu), rows, strict=True):
-                to.append(np.array(v))
-        join = lambda x: np.concatenate(x, axis=1) if x else np.zeros((SWEEPS - BURN, 0))
-        self.p0, self.pk, self.pu = join(self.p0), join(self.pk), join(self.pu)
-        self.leaf, self.kind = np.concatenate([np.zeros(0, np.int64), *leaf]), np.concatenate([np.zeros(0, np.int64), *kind])
-        self.sorted_leaf = np.argsort(self.leaf) if len(parts) > 1 else None
-        if self.sorted_leaf is not None:
-            self.leaf, self.pu = self.leaf[self.sorted_leaf], self.pu[:, self.sorted_leaf]
-            order = np.argsort(self.kind)
-            self.kind, self.pk = self.kind[order], self.pk[:, order]
-
-    @staticmethod
-    def find(where: np.ndarray, what: np.ndarray) -> np.ndarray:
-        """Place of each value in a sorted array, or -1."""
-        if not len(where):
-            return np.full(len(what), -1)
-        at = np.minimum(np.searchsorted(where, what), len(where) - 1)
-        return np.where(where[at] == what, at, -1)
-
-    def __call__(self, words: np.ndarray, runs: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the averaged probability, and the training count, of each (word, context)."""
-        at = self.find(self.words[self.order], words)
-        w = np.repeat(np.where(at >= 0, self.order[at] if len(self.order) else -1, -1), runs)
-        context = context.astype(np.int64)
-        kind = context >> 8
-        some = w >= 0
-        leaf = np.where(some, self.find(self.leaf, w * CONTEXTS + context), -1)
-        ofk = np.where(some, self.find(self.kind, w * CLASSES + kind), -1)
-        total = np.zeros(len(w))
-        for s, g in enumerate(self.states[BURN + 1 :]):
-            root = np.where(some, self.p0[s][w] if len(self.words) else 0.0, (STRENGTH[0] + DISCOUNT[0] * g["v"]) / (STRENGTH[0] + g["n"]))
-            back = (STRENGTH[1] + DISCOUNT[1] * g["t_class"]) / (STRENGTH[1] + g["c_class"])
-            pk = np.where(ofk >= 0, self.pk[s][ofk] if len(self.kind) else 0.0, back[kind] * root)
-            new = STRENGTH[2] + DISCOUNT[2] * g["t"][context]
-            own = np.where(leaf >= 0, self.pu[s][leaf] if len(self.leaf) else 0.0, 0.0)
-            total += (own + new * pk) / (STRENGTH[2] + g["c"][context])
-        return np.log10(total / (SWEEPS - BURN)), np.where(some, self.known[w] if len(self.words) else 0.0, 0.0)

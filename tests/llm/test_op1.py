@@ -4,8 +4,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from remedex.llm import op1_lm_scoring as op
 from remedex.llm.common import Scratch
@@ -57,23 +58,11 @@ def test_salted_hot_words_and_many_buckets_keep_base_scores(spark, monkeypatch):
         assert again[i] == pytest.approx(got[i].score, rel=1e-9)
 
 
-def test_predictive_probabilities_sum_to_one(spark):
-    texts = [(t or "").encode() for _, t in ROWS]
-    word, context, _ = op.tokens(texts)
-    words, key, _ = op._pairs(word, context)
-    keys, n = np.unique(key, return_counts=True)
-    row = {"bucket": 0, "words": words.tobytes(), "runs": np.bincount((keys >> np.uint64(16)).astype(int)).astype("<u4").tobytes(), "contexts": (keys & np.uint64(0xFFFF)).astype("<u2").tobytes(), "counts": n.astype("<u8").tobytes()}
-    model = spark.createDataFrame(pd.DataFrame([row]), op.COUNTS)
-    none = np.zeros(0, np.uint64)
-    states = [op.totals(model, none, [], 1)]
-    for _ in range(op.SWEEPS):
-        states.append(op.totals(model, none, states[:], 1))
-    [(_, d)] = op.dishes(row, none)
-    p = op.Predictor([d], states, 1)
-    for c in (int(context[1]), int(context[5]), 12345):
-        seen, _ = p(words, np.ones(len(words), int), np.full(len(words), c, np.uint16))
-        new, known = p(np.array([12345], np.uint64), np.array([1]), np.array([c], np.uint16))
-        assert (10**seen).sum() + 10 ** new[0] == pytest.approx(1.0) and known[0] == 0
+@given(st.lists(st.integers(0, (1 << 64) - 1), max_size=30))
+def test_packed_numbers_come_back(values):
+    x = np.array(values, dtype=np.uint64)
+    assert op.unpack(op.pack(x)).tolist() == values
+    assert op.unpack_sorted(op.pack_sorted(np.sort(x))).tolist() == sorted(values)
 
 
 def test_seating_follows_the_chinese_restaurant(spark):
@@ -98,3 +87,9 @@ def test_empty_and_untrained(spark):
     held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
     rows = op.lm_scores(spark.createDataFrame([(i, "a b") for i in held], "doc_id long, text string"), Scratch(spark)).collect()
     assert len(rows) == 2 and all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in rows)
+
+
+def test_null_ids_and_very_long_texts(spark):
+    rows = [(None, "a b"), (None, None), (1, "word " * 300_000), (2, "x" * 400_000)]
+    got = {r.doc_id: r for r in op.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()}
+    assert {i: r.n_tokens for i, r in got.items()} == {None: 4, 1: 300_001, 2: 2} and not got[None].held_out
