@@ -45,7 +45,7 @@ NAME = "op1_lm_scoring"
 SWEEPS, BURN, PASSES = 4, 1, 2
 #: Discounts and strengths of the root and of the contexts.
 DISCOUNT, STRENGTH = (0.75, 0.9), (20.0, 20.0)
-BYTES_PER_BUCKET, TOKENS_PER_CHUNK, HOT_SHARE, HOT_TOKENS = 24 << 20, 1_600_000, 1000, 8_000_000
+BYTES_PER_BUCKET, TOKENS_PER_CHUNK, HOT_SHARE, HOT_TOKENS = 16 << 20, 1_000_000, 1000, 6_000_000
 SAMPLE = 16 << 20  # characters of the documents that hot words are found in; they decide where cells lie, not what they hold
 END = mix(np.array([0x5EED], dtype=np.uint64))[0]
 NO_ID = -(1 << 63)
@@ -81,7 +81,7 @@ def unpack(b: bytes) -> np.ndarray:
 
 
 def numbers(b: bytes) -> np.ndarray:
-    return unpack(b).astype(np.int64)
+    return unpack(b).view(np.int64)
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -207,7 +207,7 @@ class Cells:
     def __init__(self, row):
         self.bucket, self.words, self.runs = int(row.bucket), unpack_sorted(row.words), numbers(row.runs)
         self.names, self.context, self.c = unpack_sorted(row.names), numbers(row.contexts), numbers(row.counts)
-        self.word = np.repeat(np.arange(len(self.words)), self.runs)
+        self.word = np.repeat(np.arange(len(self.words), dtype=np.int32), self.runs)
 
     def per_word(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.word, x, len(self.words)).astype(np.int64)
@@ -489,7 +489,7 @@ def score(found: DataFrame, cells: DataFrame, state: DataFrame, back: DataFrame,
             for r in b.itertuples(index=False):
                 if r.side == 0:
                     x = Cells(r)
-                    cell, log_p, replies = x.word * len(x.names) + x.context, None, Replies(x.names, deal.buckets)
+                    cell, log_p, replies = x.word * np.int64(len(x.names)) + x.context, None, Replies(x.names, deal.buckets)
                     known = x.per_word(x.c) if x.bucket < deal.buckets else totals[-1]["hot"][1][np.searchsorted(deal.hot, x.words)]
                 elif r.side == 1:
                     samples = [numbers(t) for t in r.samples]
