@@ -181,7 +181,7 @@ def parts(words: np.ndarray, cells: np.ndarray, deal: Deal) -> Iterator[tuple[in
     """For each bucket its cells of a chunk (places in ``cells``), and their words, runs, contexts and names packed."""
     number, before = (cells >> np.uint64(32)).astype(np.int64), (cells & np.uint64(0xFFFFFFFF)).astype(np.int64)
     at = deal(words, number, words[before])
-    order, lo = np.argsort(at, kind="stable"), 0
+    order, lo = np.argsort(at.astype(np.uint16) if deal.buckets + deal.salts < 1 << 16 else at, kind="stable"), 0
     for k, size in zip(*runs_of(at[order]), strict=True):
         part = order[lo : lo + size]
         lo += size
@@ -192,7 +192,8 @@ def parts(words: np.ndarray, cells: np.ndarray, deal: Deal) -> Iterator[tuple[in
 
 CELLS = "bucket int, words binary, runs binary, contexts binary, names binary, counts binary"
 LIVE = f"{CELLS}, fixed binary, tables binary, samples array<binary>, rest long, v long, train long, n long, base binary, hot binary"
-OCCURS = f"{CELLS}, docs binary, times binary, ids binary"
+OCCURS = f"{CELLS}, chunk long, docs binary, times binary, ids binary"
+REPLY = "chunk long, ids binary, tokens binary, known binary, base binary, score binary"
 ASK = "home int, bucket int, kind int, names binary, x array<binary>"
 
 
@@ -452,16 +453,16 @@ def occurrences(docs: DataFrame, deal: Deal, turn: int, turns: int) -> DataFrame
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in filter(len, chunks(batches)):
             words, cell, n = pairs(encoded(b["text"]))
-            ids = b["doc_id"].to_numpy()
-            order = np.argsort(cell, kind="stable")
-            cell, doc = cell[order], np.repeat(np.arange(len(b)), n)[order]
-            new = np.concatenate([[True], cell[1:] != cell[:-1]])
-            first = np.flatnonzero(new | np.concatenate([[True], doc[1:] != doc[:-1]]))  # of each (cell, document)
-            times, doc = np.diff(np.append(first, len(cell))), doc[first]
-            which = np.cumsum(new)[first] - 1
-            cells = cell[new]
-            del order, cell, new, first
-            each = np.bincount(which, minlength=len(cells))
+            ids, bits = b["doc_id"].to_numpy(), len(b).bit_length()
+            del b
+            cells, which = np.unique(cell, return_inverse=True)
+            key = np.sort(which << bits | np.repeat(np.arange(len(ids)), n))  # by cell and document
+            del cell, which
+            key, times = runs_of(key)
+            doc = key & ((1 << bits) - 1)
+            each = np.bincount(key >> bits, minlength=len(cells))
+            chunk = int(np.bitwise_xor.reduce(mix(mix(ids.astype(np.uint64)) + np.arange(len(ids), dtype=np.uint64))).view(np.int64))
+            del key
             start = np.cumsum(each) - each
             rows = []
             for k, part, packed in parts(words, cells, deal):
@@ -471,7 +472,7 @@ def occurrences(docs: DataFrame, deal: Deal, turn: int, turns: int) -> DataFrame
                 ends = np.cumsum(size)
                 at = np.arange(ends[-1]) + np.repeat(start[part] - ends + size, size)
                 used, own = np.unique(doc[at], return_inverse=True)
-                rows.append((k, *packed, pack(size), pack(own), pack(times[at]), ids[used].astype("<i8").tobytes()))
+                rows.append((k, *packed, pack(size), chunk, pack(own), pack(times[at]), ids[used].astype("<i8").tobytes()))
             if rows:
                 yield pd.DataFrame(rows, columns=_names(OCCURS))
 
@@ -479,7 +480,10 @@ def occurrences(docs: DataFrame, deal: Deal, turn: int, turns: int) -> DataFrame
 
 
 def score(found: DataFrame, cells: DataFrame, state: DataFrame, back: DataFrame, totals: list[dict], deal: Deal) -> DataFrame:
-    """doc_id and sums of score, base_score, tokens and known tokens, for each chunk and bucket."""
+    """doc_id, n_tokens, n_known, base_score, score of every document, for the buckets of ``cells``.
+
+    A bucket answers a chunk with one row of sums, and the sums of a chunk meet there.
+    """
     sides = (cells, state.select("bucket", "samples"), back, found)
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("side", F.lit(i)) for i, df in enumerate(sides)])
     train, v = totals[-1]["train"], totals[-1]["v"]
@@ -503,11 +507,18 @@ def score(found: DataFrame, cells: DataFrame, state: DataFrame, back: DataFrame,
                     each, doc, times, ids = numbers(r.counts), numbers(r.docs), numbers(r.times), np.frombuffer(r.ids, "<i8")
                     c = known[w]
                     base = np.log10((c + 1) / (train + v + 1))
-                    sums = [np.bincount(doc, np.repeat(y, each) * times, len(ids)) for y in (log_p[at], base, c > 0)]
-                    yield pd.DataFrame({"doc_id": ids, "score": sums[0], "base_score": sums[1], "n_known": sums[2].astype(np.int64), "n_tokens": np.bincount(doc, times, len(ids)).astype(np.int64)})
+                    known_, base_, score_ = (np.bincount(doc, np.repeat(y, each) * times, len(ids)) for y in (c > 0, base, log_p[at]))
+                    yield pd.DataFrame([(int(r.chunk), r.ids, pack(np.bincount(doc, times, len(ids))), pack(known_), base_.tobytes(), score_.tobytes())], columns=_names(REPLY))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches, ["chunk"]):
+            ids, which = np.unique(np.frombuffer(b"".join(g["ids"]), "<i8"), return_inverse=True)
+            whole = [np.bincount(which, np.concatenate([numbers(x) for x in g[k]]), len(ids)).astype(np.int64) for k in ("tokens", "known")]
+            real = [np.bincount(which, np.frombuffer(b"".join(g[k])), len(ids)) for k in ("base", "score")]
+            yield pd.DataFrame(dict(zip(("doc_id", *FIGURES), (ids, *whole, *real), strict=True)))
 
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "side", "home")
-    return dealt.mapInPandas(run, "doc_id long, score double, base_score double, n_known long, n_tokens long")
+    return gather(dealt.mapInPandas(run, REPLY), ["chunk"]).mapInPandas(add, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 FIGURES = ("n_tokens", "n_known", "base_score", "score")
