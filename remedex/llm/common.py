@@ -260,8 +260,11 @@ def kept(key, make):
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that are no longer referenced."""
+    """Let Spark delete the shuffle files of frames that are no longer referenced, and give it the time to."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)

@@ -550,6 +550,7 @@ def lm_scores(docs: DataFrame, scratch: Scratch, seed: int = 1) -> DataFrame:
         back = answers(home, questions.unionByName(asked(state, deal.buckets, 1, _sample_values)), len(totals))
         found = score(occurrences(rows, deal, turn, PASSES), own, state.where(F.col("bucket") % PASSES == turn), back, totals, deal)
         sums.append(scratch.put(_per_document(found), f"sums{turn}"))
+        del own, questions, back, found
         release(spark)
     out = _per_document(reduce(DataFrame.unionByName, sums)).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(totals[-1]["train"]).cast("bigint").alias("train_tokens"), "base_score", "score")
