@@ -6,6 +6,8 @@ are numbered over the shards, and a slot's number is mapped through the source's
 indices, anew for each pass over the source.  Slots and blocks are joined by index.  As the draws of many shards miss
 the totals by chance, slots beyond a source's quota are handed to sources below theirs.
 
+Every slot keeps the number of its shard; the slots that are handed over lie in further shards of their own.
+
 Targets: sources by code point (null last) weigh 1, 2, 3, repeating; a target stops at three times its source's size
 and the excess is shared again by weight until none is above.  A quota never passes three times the source's blocks, so
 no document is taken more than three times.
@@ -32,6 +34,7 @@ from remedex.llm.common import Scratch, mix as scramble, table, words
 
 NAME = "op4_source_mixing"
 BLOCK, SHARD, MOST, SEED = 64, 4096, 3, 20240229
+SLOTS_PER_TASK = 1 << 16
 WEIGHTS = (1, 2, 3)
 ROWS_PER_BUCKET = 20_000
 
@@ -92,14 +95,14 @@ def positions(docs: DataFrame, rows: int) -> DataFrame:
 
 
 def block_counts(spark: SparkSession, plan: pd.DataFrame, block: int = BLOCK) -> DataFrame:
-    """number (of the source), block, turn: one row for each slot of the mix.  ``plan`` has a row for each source."""
+    """shard, number (of the source), block, turn: one row for each slot of the mix.  ``plan`` has a row for each source."""
     size, target = plan["source_size"].to_numpy(float), plan["target"].to_numpy(float)
     blocks = -(-plan["source_size"].to_numpy(np.int64) // block)
     quota = np.minimum(np.rint(np.divide(target * blocks, size, out=np.zeros_like(size), where=size > 0)).astype(np.int64), MOST * blocks)
     total = int(quota.sum())
     shards = -(-total // SHARD)
     if not total:
-        return spark.createDataFrame([], "number int, block long, turn int")
+        return spark.createDataFrame([], "shard long, number int, block long, turn int")
     shares = quota / total
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,27 +121,30 @@ def block_counts(spark: SparkSession, plan: pd.DataFrame, block: int = BLOCK) ->
     counts = counts.select("shard", "number", "n", (F.col("sb") + F.col("gb")).alias("start"))
     quotas = quota.tolist()
     limit = F.element_at(F.array(*map(F.lit, quotas)), F.col("number") + 1)
-    kept = counts.withColumn("n", F.greatest(F.lit(0), F.least(F.col("n"), limit - F.col("start")))).where("n > 0").select("number", "start", "n")
+    kept = counts.withColumn("n", F.greatest(F.lit(0), F.least(F.col("n"), limit - F.col("start")))).where("n > 0").select("shard", "number", "start", "n")
     # What a source was drawn too few times it gets from the slots that others were drawn too often.
     drawn = kept.groupBy("number").agg(F.sum("n").alias("have"))
     every = spark.createDataFrame([(i, int(q)) for i, q in enumerate(quotas)], "number int, quota long")
     short = every.join(drawn, "number", "left").select("number", F.coalesce("have", F.lit(0)).alias("start"), (F.col("quota") - F.coalesce("have", F.lit(0))).alias("n")).where("n > 0")
     pieces = short.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {SHARD}"))))
-    pieces = pieces.select("number", (F.col("start") + F.col("piece") * SHARD).alias("start"), F.least(F.lit(SHARD), F.col("n") - F.col("piece") * SHARD).alias("n"))
+    own = F.lit(shards) + F.col("piece") * len(quotas) + F.col("number")
+    pieces = pieces.select(own.cast("bigint").alias("shard"), "number", (F.col("start") + F.col("piece") * SHARD).alias("start"), F.least(F.lit(SHARD), F.col("n") - F.col("piece") * SHARD).alias("n"))
     blocks_of = blocks.tolist()
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for number, start, n in zip(b["number"], b["start"], b["n"], strict=True):
+            for shard, number, start, n in zip(b["shard"], b["number"], b["start"], b["n"], strict=True):
                 k, have = np.arange(start, start + n), blocks_of[number]
                 turn = k // have
                 at = np.empty(n, dtype=np.int64)
                 for t in np.unique(turn):
                     m = turn == t
                     at[m] = permuted(k[m] - t * have, have, number, int(t))
-                yield pd.DataFrame({"number": np.full(n, number, np.int32), "block": at, "turn": turn.astype(np.int32)})
+                yield pd.DataFrame({"shard": np.full(n, shard, np.int64), "number": np.full(n, number, np.int32), "block": at, "turn": turn.astype(np.int32)})
 
-    return kept.unionByName(pieces).mapInPandas(place, "number int, block long, turn int")
+    # The ranges of slots are small rows that grow in the map, so they are dealt by the number of slots.
+    ranges = kept.unionByName(pieces).repartition(total // SLOTS_PER_TASK + 1, "shard", "number")
+    return ranges.mapInPandas(place, "shard long, number int, block long, turn int")
 
 
 def mix(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -159,6 +165,11 @@ def mix(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> tuple[DataFram
     return placed, block_counts(spark, plan, block)
 
 
+def shard_sizes(slots: DataFrame) -> DataFrame:
+    """shard, number, n: the slots of each source in each output shard."""
+    return slots.groupBy("shard", "number").agg(F.count("*").alias("n"))
+
+
 def parts(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     """The blocks that each document lies in, with the part of it there: ``at`` (its words before) and ``n``."""
     last = F.expr(f"(first + size - 1) div {block}")
@@ -182,7 +193,7 @@ def mixed_documents(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> Da
     A document taken whole keeps its text as it is; adjacent parts stay joined by their own white space.
     """
     placed, slots = mix(docs, scratch, block)
-    runs = parts(placed, block).select("doc_id", "tie", "first", "number", "block", "at", "n").join(slots, ["number", "block"])
+    runs = parts(placed, block).select("doc_id", "tie", "first", "number", "block", "at", "n").join(slots.drop("shard"), ["number", "block"])
     runs = runs.groupBy("doc_id", "tie", "first", "turn").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("parts"))  # at most size / block + 2 parts
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

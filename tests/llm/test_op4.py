@@ -74,3 +74,21 @@ def test_documents_of_the_mix_have_the_taken_words(spark, docs):
 
 def test_empty(spark, docs):
     assert op.taken(*op.mix(docs.limit(0), Scratch(spark))).count() == 0
+
+
+def test_shards_hold_their_draws(spark):
+    import pandas as pd
+
+    plan = pd.DataFrame({"source_size": [64 * 5000, 64 * 2000, 64 * 900], "target": [64 * 3000.0, 64 * 3000.0, 64 * 1900.0], "number": [0, 1, 2]})
+    slots = op.block_counts(spark, plan)
+    got = {(r.shard, r.number): r.n for r in op.shard_sizes(slots).collect()}
+    total = sum(got.values())
+    assert total == 7900 and slots.groupBy("number", "turn", "block").count().where("count > 1").isEmpty()
+    per = {}
+    for (shard, _), n in got.items():
+        per[shard] = per.get(shard, 0) + n
+    assert max(per.values()) <= op.SHARD
+    shares = np.array([3000, 3000, 1900]) / 7900
+    for shard in (0, 1):
+        drawn = op.draws(shard, min(op.SHARD, 7900 - shard * op.SHARD), shares)
+        assert all(got.get((shard, k), 0) <= drawn[k] for k in range(3))
