@@ -12,21 +12,20 @@ from pyspark.sql import functions as F
 from remedex.functions.labels import effect_key
 
 # Sentences of interaction texts; group 1 or "se" is the effect, "mode" its direction. The first that
-# matches from the start of the text decides.
-_NAME = r"\S+\s?\w*\s?\w*"
+# matches from the start of the text decides; a sentence that would stand here twice stands once. Groups are named as Java does.
 INTERACTIONS = (
     r"The risk or severity of (?<se>.*) can be (?<mode>\S+)d when .* is combined with .*",
-    rf".* may (?<mode>\S+) (?<se>{_NAME}) of .* as a diagnostic agent.",
-    rf"The (?<se>{_NAME}) of .* can be (?<mode>\S+)d when used in combination with .*",
-    rf"The (?<se>{_NAME}) of .* can be (?<mode>\S+)d when it is combined with .*",
-    rf".* can cause a decrease in the absorption of .* resulting in a (?<mode>\S+) (?<se>{_NAME}) and potentially a decrease in efficacy.",
-    rf".* may decrease the excretion rate of .* which could result in a (?<mode>\S+) (?<se>{_NAME}).",
-    rf".* may increase the excretion rate of .* which could result in a (?<mode>\S+) (?<se>{_NAME}) and potentially a reduction in efficacy.",
-    rf"The (?<se>{_NAME}) of .* can be (?<mode>\S+)d when combined with .*",
-    rf".* can cause an increase in the absorption of .* resulting in an (?<mode>\S+)d (?<se>{_NAME}) and potentially a worsening of adverse effects.",
-    rf"The risk of a (?<se>{_NAME}) to .* is (?<mode>\S+)d when it is combined with .*",
-    rf"The (?<se>{_NAME}) of the active metabolites of .* can be (?<mode>\S+)d when .* is used in combination with .*",
-    rf"The (?<se>{_NAME}) of .*, an active metabolite of .* can be (?<mode>\S+)d when used in combination with .*",
+    r".* may (?<mode>\S+) (?<se>\S+\s?\w*\s?\w*) of .* as a diagnostic agent.",
+    r"The (?<se>\S+\s?\w*\s?\w*) of .* can be (?<mode>\S+)d when used in combination with .*",
+    r"The (?<se>\S+\s?\w*\s?\w*) of .* can be (?<mode>\S+)d when it is combined with .*",
+    r".* can cause a decrease in the absorption of .* resulting in a (?<mode>\S+) (?<se>\S+\s?\w*\s?\w*) and potentially a decrease in efficacy.",
+    r".* may decrease the excretion rate of .* which could result in a (?<mode>\S+) (?<se>\S+\s?\w*\s?\w*).",
+    r".* may increase the excretion rate of .* which could result in a (?<mode>\S+) (?<se>\S+\s?\w*\s?\w*) and potentially a reduction in efficacy.",
+    r"The (?<se>\S+\s?\w*\s?\w*) of .* can be (?<mode>\S+)d when combined with .*",
+    r".* can cause an increase in the absorption of .* resulting in an (?<mode>\S+)d (?<se>\S+\s?\w*\s?\w*) and potentially a worsening of adverse effects.",
+    r"The risk of a (?<se>\S+\s?\w*\s?\w*) to .* is (?<mode>\S+)d when it is combined with .*",
+    r"The (?<se>\S+\s?\w*\s?\w*) of the active metabolites of .* can be (?<mode>\S+)d when .* is used in combination with .*",
+    r"The (?<se>\S+\s?\w*\s?\w*) of .*, an active metabolite of .* can be (?<mode>\S+)d when used in combination with .*",
     r".* may (?<mode>\S+) the (?<se>.*) of .*",
     r".* may (?<mode>\S+) the central nervous system depressant (?<se>\S+\s?\S*\s?\S*) of .*",
 )
