@@ -1,10 +1,16 @@
-"""Landed JSON: manifests of runs, appended records, tables written anew, and nested columns made flat."""
+"""Landed JSON: manifests of runs, appended records, tables written anew or declared, and nested columns made flat."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import inspect
+import re
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 MANIFEST = "run_id string, status string, combinations long, proteins array<struct<protein_name: string>>, _broken string"
 
@@ -41,3 +47,43 @@ def flattened(df: DataFrame, sep: str = "_") -> DataFrame:
                 yield (*path, f.name)
 
     return df.select([F.col(".".join(f"`{p}`" for p in path)).alias(sep.join(path)) for path in leaves(df.schema, ())])
+
+
+def flat_entries(df: DataFrame, sep: str = "_") -> DataFrame:
+    """Adds ``flat``: a map from path to value (as text) of all nested fields, the items of arrays by their number."""
+    pairs = "array<struct<key: string, value: string>>"
+
+    def entries(value: Column, kind: DataType, path: Column) -> Column:
+        if isinstance(kind, StructType):
+            fields = [entries(value[f.name], f.dataType, F.concat_ws(sep, path, F.lit(f.name))) for f in kind.fields]
+            return F.concat(*fields) if fields else F.array().cast(pairs)
+        if isinstance(kind, ArrayType):
+            items = F.transform(value, lambda x, i: entries(x, kind.elementType, F.concat_ws(sep, path, i.cast("string"))))
+            return F.coalesce(F.flatten(items), F.array().cast(pairs))
+        return F.array(F.struct(path.alias("key"), value.cast("string").alias("value")))
+
+    every = [entries(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name)) for f in df.schema.fields]
+    return df.withColumn("flat", F.map_from_entries(F.concat(*every)))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; only a local session may go without that setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{folder or tempfile.mkdtemp(prefix='remedex-')}/{uuid.uuid4().hex}"
+
+
+def materialised(spark: SparkSession, path: str, tables: dict[str, Callable[..., DataFrame]]) -> dict[str, DataFrame]:
+    """Writes declared tables anew, each after those that its function names as arguments, and gives them as they were
+    written. Tables that wait for each other are refused."""
+    done: dict[str, DataFrame] = {}
+    wants = {k: list(inspect.signature(f).parameters) for k, f in tables.items()}
+    while len(done) < len(tables):
+        ready = [k for k in tables if k not in done and all(w in done for w in wants[k])]
+        if not ready:
+            raise ValueError(f"tables wait for each other or for unknown ones: {sorted(set(tables) - set(done))}")
+        for k in ready:
+            tables[k](**{w: done[w] for w in wants[k]}).write.mode("overwrite").parquet(f"{path}/{k}")
+            done[k] = spark.read.parquet(f"{path}/{k}")
+    return done

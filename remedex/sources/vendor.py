@@ -1,4 +1,5 @@
-"""Landed source files as triples: flat records, link lists, tables behind a preamble, piped fields, XML entries."""
+"""Landed source files as triples: flat records, link lists, tables behind a preamble, piped fields, XML entries,
+and the links of proteins, chemicals, complexes and categories."""
 
 from __future__ import annotations
 
@@ -7,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from remedex.functions.labels import effect_key
 from remedex.operators.compile import records
 
 
@@ -56,3 +58,48 @@ def turned(rows: DataFrame, flip: Column) -> DataFrame:
 def read_entries(spark: SparkSession, path: str, tag: str, schema) -> DataFrame:
     """Elements of large XML files, one a row, read in splits."""
     return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+
+
+def protein_links(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """source, edge_type, target, references of interactions (a, b, refs) between proteins that ``known`` (source, target)
+    holds. The publications of a pair's rows are put together; a pair without any is left out."""
+    own = lambda c: F.split_part(F.col(c), F.lit(":"), F.lit(2))
+    both = rows.where(F.col("a").startswith("uniprot") & F.col("b").startswith("uniprot"))
+    both = both.select(own("a").alias("source"), own("b").alias("target"), F.explode(F.split("refs", r"\|")).alias("ref"))
+    both = both.where(F.col("ref").startswith("pubmed")).withColumn("ref", F.split_part("ref", F.lit(":"), F.lit(2)))
+    both = both.where(~F.col("ref").startswith("unassigned") & (F.col("ref") != "")).join(known.select("source", "target").distinct(), ["source", "target"], "left_semi")
+    out = both.groupBy("source", "target").agg(F.array_join(F.array_sort(F.collect_set("ref")), ",").alias("references"))
+    return out.select("source", F.lit("INTERACTS_WITH").alias("edge_type"), "target", "references")
+
+
+def chemical_actions(rows: DataFrame, chemicals: DataFrame, genes: DataFrame) -> DataFrame:
+    """source, edge_type, target, references of chemical and gene rows (chemical, gene, actions, refs).
+
+    ``chemicals`` (chemical, drug) and ``genes`` (gene, protein) give the ids, one row for each. A process that a pair both
+    increases and decreases keeps neither; AFFECTS stays in any case. Actions are ``effect^process`` parted by ``|``.
+    """
+    used = rows.join(chemicals.select("chemical").distinct(), "chemical", "left_semi").join(genes.select("gene").distinct(), "gene", "left_semi")
+    part = used.select("chemical", "gene", "refs", F.explode(F.split(F.upper("actions"), r"\|")).alias("action"))
+    part = part.select("chemical", "gene", F.split_part("action", F.lit("^"), F.lit(1)).alias("effect"), effect_key(F.split_part("action", F.lit("^"), F.lit(2))).alias("process"), F.explode(F.split("refs", r"\|")).alias("ref"))
+    refs = {e: F.collect_set(F.when(F.col("effect") == e, F.col("ref"))) for e in ("AFFECTS", "INCREASES", "DECREASES")}
+    sums = part.groupBy("chemical", "gene", "process").agg(*[v.alias(k) for k, v in refs.items()])
+    torn = (F.size("INCREASES") > 0) & (F.size("DECREASES") > 0)
+    kinds = F.array(*[F.struct(F.lit(e).alias("effect"), F.col(e).alias("refs")) for e in refs])
+    kinds = F.filter(kinds, lambda k: (F.size(k["refs"]) > 0) & (~torn | (k["effect"] == "AFFECTS")))
+    out = sums.select("chemical", "gene", "process", F.explode(kinds).alias("k")).join(chemicals.distinct(), "chemical").join(genes.distinct(), "gene")
+    return out.select(F.col("drug").alias("source"), F.concat_ws("_", "k.effect", "process").alias("edge_type"), F.col("protein").alias("target"), F.array_join(F.array_sort("k.refs"), ",").alias("references"))
+
+
+def complex_members(rows: DataFrame) -> DataFrame:
+    """source, edge_type, target, references of the proteins among the participants of complexes (complex, participants,
+    refs); ``-`` stands for none, and gives null references."""
+    part = rows.select("complex", "refs", F.explode(F.split("participants", r"\|")).alias("p")).where(F.col("p").startswith("uniprot:"))
+    refs = F.when(F.col("refs") != "-", F.replace("refs", F.lit("|"), F.lit(",")))
+    return part.select(F.split_part("p", F.lit(":"), F.lit(2)).alias("source"), F.lit("PROTEIN_MEMBER_OF").alias("edge_type"), F.col("complex").alias("target"), refs.alias("references")).distinct()
+
+
+def category_triples(lines: DataFrame) -> DataFrame:
+    """source, edge_type, target of piped lines (column ``value``): field 2 is the number, field 10 its category."""
+    part = F.split("value", r"\|")
+    hit = lines.where(~F.col("value").startswith("#") & (F.size(part) > 9))
+    return hit.select(F.concat(F.lit("MIM:"), F.get(part, 1)).alias("source"), F.lit("CATEGORY").alias("edge_type"), effect_key(F.get(part, 9)).alias("target")).distinct()
