@@ -268,3 +268,34 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark._jvm.System.gc()
         time.sleep(0.5)
+
+
+def separators(digits: bool) -> bytes:
+    """A table for ``bytes.translate``: A-Z lower-cased, all ASCII but letters (and digits, if they count) made spaces."""
+    kept_ = set(range(97, 123)) | set(range(128, 256)) | (set(range(48, 58)) if digits else set())
+    return bytes(b + 32 if 65 <= b <= 90 else b if b in kept_ else 32 for b in range(256))
+
+
+class Numbers:
+    """Distinct terms of texts, numbered as they come."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+
+    def of(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the terms of the split texts one after the other, and how many each text has."""
+        from itertools import chain
+
+        number = self.number
+        for w in set().union(*split):
+            if w not in number:
+                number[w] = len(number)
+        sizes = np.array([len(x) for x in split], dtype=np.int64)
+        return np.fromiter(map(number.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(sizes.sum())), sizes
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.diff(np.append(at, len(keys)))
