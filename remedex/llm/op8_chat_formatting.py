@@ -20,12 +20,11 @@ import re
 from collections import deque
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remedex.llm.common import Scratch, table
+from remedex.llm.common import Scratch, small_batches, table
 
 NAME = "op8_chat_formatting"
 BUDGET, HISTORY_TURNS, HISTORY_TOKENS = 1024, 4, 256
@@ -36,6 +35,8 @@ CONTROL = re.compile(r"</?s>|\[/?INST\]|<</?SYS>>|<\|[a-z_]+\|>")
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"<s>(.*?)\n(.*?)</s>", re.S)
 
+_NAMES = ["conv_id", "window", "text", "first_fresh", "loss"]
+_LOSS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 SCHEMA = "conv_id {id}, window long, text string, first_fresh int, loss array<struct<start:int,end:int>>"
 
 
@@ -113,15 +114,15 @@ def windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY
     """One row for each window: conv_id, window, text, first_fresh (turns repeated before it), loss (spans in code points)."""
     kind = turns.schema["conv_id"].dataType.simpleString()
 
-    def frame(rows: list) -> pd.DataFrame:
-        return pd.DataFrame({"conv_id": [r[0] for r in rows], "window": [r[1] for r in rows], "text": [r[2] for r in rows], "first_fresh": np.array([r[3] for r in rows], dtype=np.int32), "loss": [[{"start": a, "end": b} for a, b in r[4]] for r in rows]})
+    def made(rows: list, id_type: pa.DataType) -> pa.RecordBatch:
+        loss = pa.array([[{"start": a, "end": b} for a, b in r[4]] for r in rows], _LOSS)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], id_type), *(pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int64()), (2, pa.string()), (3, pa.int32()))), loss], _NAMES)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: Window | None = None
         for b in batches:
-            rows = []
-            for conv, role, text in zip(b["conv_id"].tolist(), b["role"].tolist(), b["text"].tolist(), strict=True):
-                conv = None if conv != conv else conv
+            rows, id_type = [], b.column(0).type
+            for conv, role, text in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 if now is None or now.conv != conv:
                     if now:
                         rows.append(now.close())
@@ -129,13 +130,14 @@ def windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY
                 if done := now.add(role, text):
                     rows.append(done)
             if rows:
-                yield frame(rows)
+                yield made(rows, id_type)
         if now:
-            yield frame([now.close()])
+            yield made([now.close()], id_type)
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = turns.select("conv_id", "turn", text("role"), text("text")).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.mapInPandas(run, SCHEMA.format(id=kind))
+    small_batches(turns.sparkSession)
+    return rows.mapInArrow(run, SCHEMA.format(id=kind))
 
 
 def parse(text: str) -> list[tuple[str, str]]:
@@ -146,21 +148,22 @@ def parse(text: str) -> list[tuple[str, str]]:
 def digests(formatted: DataFrame) -> DataFrame:
     """Per conversation, from its windows: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     kind = formatted.schema["conv_id"].dataType.simpleString()
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
 
         def done():
             rows.append((now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5]))
 
-        def frame():
-            out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        def made(id_type: pa.DataType) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
             rows.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], id_type), *map(pa.array, columns[1:])], names)
 
         for b in batches:
-            for conv, text, first, loss in zip(b["conv_id"].tolist(), b["text"].tolist(), b["first_fresh"].tolist(), b["loss"].tolist(), strict=True):
-                conv = None if conv != conv else conv
+            id_type = b.column(0).type
+            for conv, text, first, loss in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
                 if now is None or now[0] != conv:
                     if now:
                         done()
@@ -174,13 +177,13 @@ def digests(formatted: DataFrame) -> DataFrame:
                     now[4].update(target.encode(errors="surrogatepass"))
                 now[5] += len(text)
             if rows:
-                yield frame()
+                yield made(id_type)
         if now:
             done()
-            yield frame()
+            yield made(id_type)
 
-    rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "window")
-    return rows.mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    rows = formatted.select(*_NAMES).repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return rows.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
