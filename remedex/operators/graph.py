@@ -41,8 +41,8 @@ def layered_weights(edges: DataFrame, kind, jump: float = 0.5) -> DataFrame:
 
 
 def by_source(weights: DataFrame) -> DataFrame:
-    """Weights dealt by source once and kept so, for a walk's steps to join without moving them again."""
-    return settled(weights).repartition("src").persist()
+    """Weights dealt and sorted by source once and kept so, for a walk's steps to join without moving or sorting them again."""
+    return settled(weights).repartition("src").sortWithinPartitions("src").persist()
 
 
 def walk(weights: DataFrame, seeds: DataFrame, steps: int, restart: float = 0.3, normalise: bool = True) -> DataFrame:

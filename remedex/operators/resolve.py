@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from remedex.functions.text import plain_tokens
+from remedex.sources.settle import settled
 
 
 def normal_forms(name: Column) -> Column:
@@ -68,30 +69,81 @@ def contained(texts: DataFrame, names: DataFrame, least: int = 5) -> DataFrame:
     return hit.select("doc", "m.id", "m.name")
 
 
+def labelled(text: Column, width: int = 1) -> Column:
+    """The runs of ``width`` letters of a text, each with its occurrence number, so that a set of them is a multiset of runs."""
+    n = F.length(text) - width + 1
+    runs = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(width)))).otherwise(F.array().cast("array<string>"))
+    # Equal runs stand together once sorted, and a run's number is its place behind the first of its kind.
+    ordered = F.array_sort(runs)
+    return F.transform(ordered, lambda x, i: F.concat(x, (i - F.array_position(ordered, x)).cast("string")))
+
+
+def name_pairs(queries: DataFrame, names: DataFrame, least: float) -> DataFrame:
+    """query, id, name: all pairs whose ratio may reach ``least``, and few others, found by an index of rare runs.
+
+    Let t be the letters that must match, least * (a + b) / 2 for lengths a and b.  They lie in at most a + b - 2 t + 1 blocks, as
+    between two blocks some letter is unmatched; so the texts share at least 3 t - a - b - 1 runs of two letters.  If that is
+    positive, one of the rarest runs of each text is shared: of m runs of which k must be shared, one of any m - k + 1 is.  Else the
+    same holds for single letters, of which t must be shared.  Pairs that meet are then held against the letters that both have.
+    """
+    q = queries.select("query", F.lower("query").alias("_k")).distinct().withColumn("a", F.length("_k"))
+    n = names.select("id", "name", F.lower("name").alias("_k")).distinct().withColumn("b", F.length("_k"))
+    runs = lambda df: df.withColumns({"one": labelled(F.col("_k")), "two": labelled(F.col("_k"), 2)})
+    q, n = runs(q), runs(n)
+    need = F.ceil(F.lit(least) * (F.col("a") + F.col("b")) / 2 - 1e-9).cast("int")
+    bounds = [F.floor(F.col("a") * (least / (2 - least)) - 1e-9), F.ceil(F.col("a") * ((2 - least) / least) + 1e-9)]
+    sizes = q.select("a").distinct().withColumn("b", F.explode(F.sequence(*bounds))).withColumn("t", need).withColumn("two", 3 * F.col("t") - F.col("a") - F.col("b") - 1)
+    # How rare the runs are among all names decides which of a text's runs are looked up.
+    counts = {k: n.select(F.explode(k).alias("run")).groupBy("run").agg(F.count("*").alias("c")) for k in ("one", "two")}
+
+    def places(df: DataFrame, key: str, kind: str) -> DataFrame:
+        """A row for each run of a text, with its place from the rarest on."""
+        out = df.select(key, "_k", "one", F.size(kind).alias("m"), F.explode(kind).alias("run")).join(counts[kind], "run", "left")
+        order = W.partitionBy(key).orderBy(F.coalesce("c", F.lit(0)), "run")
+        return out.withColumn("at", F.row_number().over(order))
+
+    found = []
+    for kind in ("two", "one"):
+        must = F.col("two") if kind == "two" else F.col("t")
+        open_ = sizes.where("two > 0" if kind == "two" else "two <= 0").select("a", "b", must.alias("k"), "t")
+        left = places(q, "query", kind).withColumn("a", F.length("_k")).join(open_, "a").where(F.col("at") <= F.col("m") - F.col("k") + 1)
+        left = left.select("query", "run", "b", F.col("k"), "t", F.col("one").alias("qo"))
+        right = places(n.withColumn("key", F.struct("id", "name")), "key", kind).withColumn("b", F.length("_k")).select("key", "run", "b", "at", F.col("m").alias("nm"), F.col("one").alias("no"))
+        met = left.join(right, ["run", "b"]).where(F.col("at") <= F.col("nm") - F.col("k") + 1)
+        met = met.where(F.size(F.array_intersect("qo", "no")) >= F.col("t"))
+        found.append(met.select("query", "key.id", "key.name").distinct())
+    nothing = q.where("a = 0").join(n.where("b = 0"), F.col("a") == F.col("b")).select("query", "id", "name")
+    return found[0].unionByName(found[1]).unionByName(nothing)
+
+
 def fuzzy(queries: DataFrame, names: DataFrame, least: float = 0.75, top: int = 5) -> DataFrame:
-    """query, id, name, ratio: names like each query by the ratio of matching blocks.
+    """query, id, name, ratio, rank: the names most like each query by the ratio of matching blocks, from ``least`` on.
 
-    Every name is compared whose length allows the ratio, 2 * shorter / (sum of both); then the same bound on the letters
-    that both have, whatever their order, comes before the ratio itself.
+    Names are looked up at high ratios first; queries that have ``top`` names there need no lower one.
     """
-    size = lambda c: F.length(F.lower(c))
-    low, high = F.floor(size("query") * (least / (2 - least))) - 1, F.ceil(size("query") * ((2 - least) / least)) + 1  # one to spare on either side
-    q = queries.select("query").distinct().select("query", F.explode(F.sequence(low, high)).alias("size"))
-    pairs = names.select("id", "name", size("name").cast("bigint").alias("size")).distinct().join(q, "size").select("query", "id", "name")
+    ladder = sorted({x for x in (0.75, 0.55) if x > least} | {least}, reverse=True)
+    open_, found = queries.select("query").distinct(), None
+    for i, step in enumerate(ladder):
+        got = _ratios(name_pairs(open_, names, step), step)
+        if i < len(ladder) - 1:
+            got = settled(got)
+            full = got.groupBy("query").count().where(F.col("count") >= top)
+            done, open_ = got.join(full, "query", "left_semi"), settled(open_.join(full, "query", "left_anti"))
+        else:
+            done = got
+        found = done if found is None else found.unionByName(done)
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.col("ratio").desc(), "name", "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= top)
+
 
+def _ratios(pairs: DataFrame, least: float) -> DataFrame:
     def ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from difflib import SequenceMatcher
 
         for b in batches:
-            r = []
-            for x, y in zip(b["query"], b["name"], strict=True):
-                m = SequenceMatcher(None, x.lower(), y.lower())
-                r.append(m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else -1.0)
-            yield b.assign(ratio=pd.Series(r, index=b.index, dtype="float64"))
+            yield b.assign(ratio=pd.Series([SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(b["query"], b["name"], strict=True)], index=b.index, dtype="float64"))
 
-    found = pairs.mapInPandas(ratio, "query string, id long, name string, ratio double").where(F.col("ratio") >= least)
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.col("ratio").desc(), "name", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= top)
+    return pairs.mapInPandas(ratio, "query string, id long, name string, ratio double").where(F.col("ratio") >= least)
 
 
 def shortlist(requests: DataFrame, structures: DataFrame, most: int = 5) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,47 +57,6 @@ def grown(tree: DataFrame, degree: DataFrame, targets: DataFrame, most: int = 10
     return own.withColumn("_n", rank).where((F.col("_n") <= quota) | (F.col("_t") == 1)).select(*per, "id", "hop", "degree")
 
 
-def importance(links: DataFrame, weight) -> DataFrame:
-    """id, degree, closeness, betweenness, importance of the nodes of small graphs: rows (graph, src, dst) with both
-    directions, at most a few hundred nodes a graph, as they are shown."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[str]] = {}
-        for a, b in sorted(set(zip(g["src"], g["dst"], strict=True))):
-            near.setdefault(a, []).append(b)
-        between, close = dict.fromkeys(near, 0.0), {}
-        for s in near:
-            far, ways, order, before = {s: 0}, {s: 1.0}, [], {}
-            todo = deque([s])
-            while todo:
-                a = todo.popleft()
-                order.append(a)
-                for b in near.get(a, ()):
-                    if b not in far:
-                        far[b] = far[a] + 1
-                        todo.append(b)
-                    if far[b] == far[a] + 1:
-                        ways[b] = ways.get(b, 0.0) + ways[a]
-                        before.setdefault(b, []).append(a)
-            owed = dict.fromkeys(order, 0.0)
-            for b in reversed(order):
-                for a in before.get(b, ()):
-                    owed[a] += ways[a] / ways[b] * (1 + owed[b])
-                if b != s:
-                    between[b] += owed[b]
-            total = sum(far.values())
-            close[s] = (len(far) - 1) / total * (len(far) - 1) / max(len(near) - 1, 1) if total else 0.0
-        n = len(near)
-        scale = (n - 1) * (n - 2) or 1
-        rows = [(g["graph"].iloc[0], k, len(v) / max(n - 1, 1), close[k], between[k] / scale) for k, v in near.items()]
-        return pd.DataFrame(rows, columns=["graph", "id", "degree", "closeness", "betweenness"])
-
-    out = links.groupBy("graph").applyInPandas(run, "graph string, id string, degree double, closeness double, betweenness double")
-    raw = (0.4 * F.col("degree") + 0.4 * F.col("betweenness") + 0.2 * F.col("closeness")) * weight(F.col("id"))
-    top = F.max("importance").over(W.partitionBy("graph"))
-    return out.withColumn("importance", raw).withColumn("importance", F.when(top > 0, F.col("importance") / top).otherwise(0.0))
-
-
 def path_summary(paths: DataFrame) -> DataFrame:
     """Paths (target, nodes, relations) counted: by hops, distinct nodes, links and targets; one row."""
     steps = paths.select("target", F.size("relations").alias("hops"), F.explode("nodes").alias("node"))

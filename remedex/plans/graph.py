@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remedex.operators import graph as g
+from remedex.operators.paths import best_paths
 from remedex.plans import query
 from remedex.sources.settle import settled
 from remedex.sources.tables import table
@@ -150,14 +151,18 @@ u AS (SELECT dst, nodes, rels FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELEC
 f AS (SELECT dst AS target, nodes, rels, len(rels) AS hops, list_min(list_transform(rels, lambda r: {_CONF})) AS mc FROM u WHERE dst IN (SELECT id FROM goal))"""
 
 
+def _goal(spark, d) -> DataFrame:
+    return table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"))
+
+
 def _paths(spark, d) -> DataFrame:
-    goal = table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"))
-    return g.describe(g.paths(edges(spark, d), SEED, goal, lambda c: ~KIND(c).isin("C", "O")), REGISTRY)
+    return g.describe(g.paths(edges(spark, d), SEED, _goal(spark, d), lambda c: ~KIND(c).isin("C", "O")), REGISTRY)
 
 
 @query("kg_paths_to_3_hops", f"WITH {EDGES}, {_PATHS}, z AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY hops, mc DESC, nodes) AS rank FROM f) SELECT target, array_to_string(nodes, '>') AS path, hops::INT AS hops, mc AS min_confidence, rank::INT AS rank FROM z WHERE rank <= 5")
 def kg_paths_to_3_hops(spark, d):
-    return g.best_paths(_paths(spark, d)).select("target", F.array_join("nodes", ">").alias("path"), "hops", "min_confidence", "rank")
+    found = best_paths(settled(edges(spark, d)), SEED, _goal(spark, d), lambda c: ~KIND(c).isin("C", "O"), REGISTRY)
+    return found.select("target", F.array_join("nodes", ">").alias("path"), "hops", "min_confidence", "rank")
 
 
 @query("kg_sourcing_gate", f"WITH {EDGES}, {_PATHS} SELECT target, bool_or(mc >= 0.6::DOUBLE) AS confirmed, count(*) AS n_paths, max(mc) AS best_confidence, min(hops)::INT AS hops FROM f GROUP BY target")

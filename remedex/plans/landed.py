@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from remedex.plans import query
 from remedex.sources import landed, patents, vendor
+from remedex.sources.settle import new_folder
 from remedex.sources.tables import table
 
 _PAGE = """'<html><head><script>var claims = 1;</script></head><body><span itemprop="title">' || p_name || '</span><section itemprop="abstract"><h2>Abstract</h2><div>' || p_type || ' &amp; co</div></section>'
@@ -67,7 +68,7 @@ def app_flat_entries(spark, d):
 
 @query("app_declared_totals", "SELECT o_custkey AS zone, round(sum(o_totalprice), 2) AS total_fare FROM orders GROUP BY o_custkey")
 def app_declared_totals(spark, d):
-    done = landed.materialised(spark, landed.scratch(spark), {
+    done = landed.materialised(spark, new_folder(spark), {
         "totals": lambda trips: trips.groupBy("zone").agg(F.round(F.sum("fare"), 2).alias("total_fare")),
         "trips": lambda: table(spark, d, "orders").selectExpr("o_custkey AS zone", "o_totalprice AS fare"),
     })

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from remedex.operators import graph as g
 from remedex.operators import targets as tg
+from remedex.operators.centrality import importance
 from remedex.plans import graph as base
 from remedex.plans import query
 from remedex.sources.settle import settled
@@ -94,4 +95,4 @@ def target_importance(spark, d):
     trees = g.capped_trees(e, seeds, base._CAPS, base.bfs_weight, KIND, 2)
     shown = settled(tg.grown(trees.select("graph", "id", "hop"), g.degree(e), spark.createDataFrame([], "id string"), per=("graph",)).select("graph", "id"))
     links = shown.withColumnRenamed("id", "src").join(e.select("src", "dst"), "src").join(shown.withColumnRenamed("id", "dst"), ["graph", "dst"])
-    return tg.importance(links.select("graph", "src", "dst"), weight).select("graph", "id", *[F.round(c, 9).alias(c) for c in ("degree", "closeness", "betweenness", "importance")])
+    return importance(links.select("graph", "src", "dst"), weight).select("graph", "id", *[F.round(c, 9).alias(c) for c in ("degree", "closeness", "betweenness", "importance")])

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import inspect
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,14 +63,6 @@ def flat_entries(df: DataFrame, sep: str = "_") -> DataFrame:
     return df.withColumn("flat", F.map_from_entries(F.concat(*every)))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only a local session may go without that setting."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{folder or tempfile.mkdtemp(prefix='remedex-')}/{uuid.uuid4().hex}"
-
-
 def materialised(spark: SparkSession, path: str, tables: dict[str, Callable[..., DataFrame]]) -> dict[str, DataFrame]:
     """Writes declared tables anew, each after those that its function names as arguments, and gives them as they were
     written. Tables that wait for each other are refused."""

@@ -1,10 +1,15 @@
 """Landed patent pages as records: marked fields, sections by their headings, claims with the claims they depend on.
 
-Everything is column functions over the page's text, so pages are parsed where they are read.
+A page is read once, tag by tag: a stack of open elements says where each element's text begins and ends, so elements of one name may lie
+within each other, and all character references are decoded.  What is found is then put into shape by column functions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,32 +22,106 @@ SECTIONS = {
 MOST = 20_000  # code points of a section
 CLAIM_WORDS = ("claims", "what is claimed", "the invention claimed")
 CLAIM = "array<struct<number: int, text: string>>"
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
-
-
-def plain(html: Column, between: str = " ") -> Column:
-    """Text of a piece of markup; ``between`` stands where tags were. Scripts, styles and comments are not text."""
-    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>", "")
-    out = F.regexp_replace(bare, r"(?s)<[^>]*>", "\n" if between == "\n" else between)
-    for name, value in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(value))
-    if between == "\n":
-        return F.regexp_replace(F.regexp_replace(out, r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
-    return F.regexp_replace(F.regexp_replace(out, r"\s+", " "), "^ | $", "")
-
-
-def _pattern(tag: str, key: str, value: str) -> str:
-    return rf"""(?is)<{tag}\b[^>]*\s{key}\s*=\s*["']{value}["'][^>]*>(.*?)</{tag}\s*>"""
-
-
-def marked(html: Column, tag: str, key: str, value: str) -> Column:
-    """Text of the first element of a tag with an attribute, null if there is none or it is empty."""
-    return F.nullif(plain(F.regexp_extract(html, _pattern(tag, key, value), 1)), F.lit(""))
-
-
-def _attribute(html: Column, tag: str, key: str, value: str, wanted: str) -> Column:
-    head = F.regexp_extract(html, rf"""(?is)<{tag}\b[^>]*\s{key}\s*=\s*["']{value}["'][^>]*>""", 0)
-    return F.nullif(plain(F.regexp_extract(head, rf"""(?is)\s{wanted}\s*=\s*["']([^"']*)["']""", 1)), F.lit(""))
+PAGE = f"title string, abstract string, assignee string, inventors array<string>, filing_date string, publication_date string, _text string, _found {CLAIM}"
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+SILENT = frozenset(("script", "style", "template"))
+
+
+class Elements(HTMLParser):
+    """Texts of a page in order, and its elements: name, attributes, and which texts lie within."""
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.texts: list[str] = []
+        self.found: list[list] = []  # name, attributes, first text, text after the last
+        self.open: list[int] = []
+        self.run: list[str] = []
+        self.feed(html)
+        self.close()
+        self._end()
+        while self.open:
+            self.found[self.open.pop()][3] = len(self.texts)
+
+    def _end(self) -> None:
+        text = " ".join("".join(self.run).split())
+        if text and not any(self.found[i][0] in SILENT for i in self.open):
+            self.texts.append(text)
+        self.run.clear()
+
+    def handle_data(self, data: str) -> None:
+        self.run.append(data)
+
+    def handle_comment(self, data: str) -> None:
+        self._end()
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        self._end()
+        self.found.append([tag, {k: v or "" for k, v in reversed(attrs)}, len(self.texts), len(self.texts)])
+        if tag not in VOID:
+            self.open.append(len(self.found) - 1)
+
+    def handle_startendtag(self, tag: str, attrs) -> None:
+        self._end()
+        self.found.append([tag, dict(attrs), len(self.texts), len(self.texts)])
+
+    def handle_endtag(self, tag: str) -> None:
+        self._end()
+        if any(self.found[i][0] == tag for i in self.open):
+            while self.open:
+                i = self.open.pop()
+                self.found[i][3] = len(self.texts)
+                if self.found[i][0] == tag:
+                    break
+
+    def all(self, tag: str, key: str, value: str) -> list[list]:
+        """Elements of a name with an attribute; a class may be one of several."""
+        return [e for e in self.found if e[0] == tag and key in e[1] and (e[1][key] == value or key == "class" and value in e[1][key].split())]
+
+    def text(self, e: list, between: str = " ") -> str:
+        return between.join(self.texts[e[2] : e[3]])
+
+
+def _first(page: Elements, *wanted: tuple[str, str, str]) -> list | None:
+    return next((found[0] for w in wanted if (found := page.all(*w))), None)
+
+
+def _day(page: Elements, name: str) -> str | None:
+    e = _first(page, ("time", "itemprop", name))
+    return None if e is None else e[1].get("datetime") or page.text(e) or None
+
+
+def _number(page: Elements, e: list) -> int | None:
+    digits = "".join(c if c.isdecimal() else " " for c in e[1].get("num", "")).split()
+    if e[1].get("num"):
+        return int(digits[0]) if digits else None
+    head, mark, _ = page.text(e).replace(")", ".", 1).partition(".")
+    return int(head) if mark and head.isdecimal() else None
+
+
+def page_fields(html: str | None) -> dict:
+    """The fields of ``PAGE`` of one page."""
+    page = Elements(html or "")
+    shown = lambda e: None if e is None else page.text(e) or None
+    title = _first(page, ("span", "itemprop", "title"))
+    named = _first(page, ("meta", "name", "DC.title")) if title is None else None
+    area = _first(page, ("section", "itemprop", "claims"), ("div", "class", "claims"), ("section", "class", "claims"))
+    blocks = [] if area is None else [e for e in page.found[page.found.index(area) + 1 :] if e[0] == "div" and "claim" in e[1].get("class", "") and area[2] <= e[2] and e[3] <= area[3]]
+    return {
+        "title": shown(title) if named is None else named[1].get("content") or None,
+        "abstract": shown(_first(page, ("section", "itemprop", "abstract"), ("div", "class", "abstract"))),
+        "assignee": shown(_first(page, ("dd", "itemprop", "assigneeCurrentOriginal"), ("dd", "itemprop", "assigneeOriginal"))),
+        "inventors": [page.text(e) for e in page.all("dd", "itemprop", "inventor")],
+        "filing_date": _day(page, "filingDate"),
+        "publication_date": _day(page, "publicationDate"),
+        "_text": "\n".join(page.texts),
+        "_found": [{"number": _number(page, e), "text": page.text(e)} for e in blocks],
+    }
+
+
+def _fields(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    names = [x.split(" ")[0] for x in PAGE.replace(CLAIM, "claims").split(", ")]
+    for b in pages:
+        yield pd.DataFrame([page_fields(x) for x in b], columns=names)
 
 
 def sections(text: Column) -> Column:
@@ -69,33 +148,6 @@ def depends_on(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.concat(*every), lambda x: x.cast("int"))))
 
 
-def _pieces(html: Column) -> Column:
-    """number, text of every block with a claim class in the claims section; a block ends where the next one begins."""
-    area = F.coalesce(*[F.nullif(F.regexp_extract(html, _pattern(*k), 1), F.lit("")) for k in (("section", "itemprop", "claims"), ("section", "class", "claims"))], F.lit(""))
-    begin = r"""(?i)(?=<div\b[^>]*\sclass\s*=\s*["'][^"']*claim)"""
-    raw = F.filter(F.split(area, begin), lambda x: x.rlike(r"(?i)^<div\b"))
-
-    def one(x: Column) -> Column:
-        text = plain(x)
-        num = F.regexp_extract(F.regexp_extract(x, "^<[^>]*>", 0), r"""(?i)\snum\s*=\s*["']?[^"'\d>]*(\d+)""", 1)
-        number = F.coalesce(num.try_cast("int"), F.regexp_extract(text, r"^(\d+)[.)]", 1).try_cast("int"))
-        return F.struct(number.alias("number"), text.alias("text"))
-
-    return F.transform(raw, one)
-
-
-def _joined(pieces: Column) -> Column:
-    """Blocks without a number of their own, or with that of the block around them, belong to the claim before."""
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        more = F.struct(last["number"].alias("number"), F.trim(F.concat_ws(" ", last["text"], x["text"])).alias("text"))
-        own = x["number"].isNotNull() & ~x["number"].eqNullSafe(last["number"])
-        return F.when(own, F.concat(done, F.array(x))).when(F.size(done) > 0, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(more))).otherwise(done)
-
-    return F.aggregate(pieces, F.array().cast(CLAIM), step)
-
-
 def _listed(text: Column) -> Column:
     """Claims of plain text, after the first word that announces them."""
     low = F.lower(text)
@@ -120,19 +172,8 @@ def page_records(pages: DataFrame, html: str = "html") -> DataFrame:
 
     Fields that a page lacks are null, lists and maps are empty then; a null page is an empty one.
     """
-    h = F.coalesce(F.col(html), F.lit(""))
-    day = lambda k: F.coalesce(_attribute(h, "time", "itemprop", k, "datetime"), marked(h, "time", "itemprop", k))
-    names = F.regexp_extract_all(h, F.lit(_pattern("dd", "itemprop", "inventor")), 1)
-    abstract = F.coalesce(marked(h, "section", "itemprop", "abstract"), marked(h, "div", "class", "abstract"))
-    out = pages.withColumns({
-        "title": F.coalesce(marked(h, "span", "itemprop", "title"), _attribute(h, "meta", "name", "DC.title", "content")),
-        "abstract": F.regexp_replace(abstract, r"(?i)^Abstract\s*", ""),
-        "assignee": F.coalesce(marked(h, "dd", "itemprop", "assigneeCurrentOriginal"), marked(h, "dd", "itemprop", "assigneeOriginal")),
-        "inventors": F.transform(names, lambda x: plain(x)),
-        "filing_date": day("filingDate"),
-        "publication_date": day("publicationDate"),
-        "_text": plain(h, "\n"),
-        "_found": _joined(_pieces(h)),
-    })
+    out = pages.withColumn("_f", F.pandas_udf(_fields, PAGE)(F.col(html).cast("string")))
+    own = ["title", "abstract", "assignee", "inventors", "filing_date", "publication_date", "_text", "_found"]
+    out = out.withColumns({k: F.col("_f")[k] for k in own}).withColumn("abstract", F.regexp_replace("abstract", r"(?i)^Abstract\s*", ""))
     out = out.withColumns({"sections": sections(F.col("_text")), "_claims": _claims(F.col("_found")), "_listed": _claims(_listed(F.col("_text")))})
-    return out.withColumn("claims", F.when(F.size("_claims") > 0, F.col("_claims")).otherwise(F.col("_listed"))).drop("_text", "_found", "_claims", "_listed", html)
+    return out.withColumn("claims", F.when(F.size("_claims") > 0, F.col("_claims")).otherwise(F.col("_listed"))).drop("_f", "_text", "_found", "_claims", "_listed", html)

@@ -1,19 +1,63 @@
-"""Cutting lineage: a frame written once to the folder that all executors share, and read from there."""
+"""Cutting lineage: frames written once to the folder that all executors share, and read from there."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local session may go without one, and gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="remedex-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own below the shared one."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The frame checkpointed to ``spark.checkpoint.dir``; only a local session may go without one."""
+    """The frame checkpointed below the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="remedex-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+class Steps:
+    """Frames written on the way to a result. They are deleted when the block ends, so the result must be written by then.
+
+    with Steps(spark) as steps:
+        x = steps.put(df)
+        return settled(result_of(x))
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, new_folder(spark), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        at, schema = f"{self.path}/{self.n}", df.schema
+        df.write.parquet(at)
+        return self.spark.read.schema(schema).parquet(at)
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from remedex.sources import landed, patents, vendor
+from remedex.sources.settle import new_folder
 
 PAGE = """<meta name="DC.title" content="A &amp; B"><style>SUMMARY {}</style><!-- BACKGROUND --><div class="abstract">Abstract  of a thing</div>
 <dd itemprop="assigneeOriginal">Old Co</dd><p>Field of the invention: things - </p>
@@ -21,6 +22,18 @@ def test_marked_page(spark):
     assert [(c.number, c.text, c.dependent, c.depends_on) for c in r.claims] == [(1, "A thing", False, []), (2, "Like claim 1", True, [1])]
 
 
+def test_elements_within_each_other_and_all_references(spark):
+    page = """<section itemprop="abstract"><section>Inner &#8364; &#x3b1;</section> outer &eacute;&hellip;</section><span itemprop="title">A<span>B</span> C</span>
+    <dd itemprop="inventor">X <dd>Y</dd></dd><div class="abstract">not this</div><template>hidden</template>
+    <section itemprop="claims"><section><div class="claim" num="00001"><div class="claim-text">1. A <div>deep</div> thing</div></div></section>
+    <div class="claim-dependent"><div class="claim" num="00002"><div class="claim-text">2. As claim 1</div></div></div></section><div class="claim" num="9">outside</div>"""
+    r = records(spark, page)[0]
+    assert (r.title, r.abstract, r.inventors) == ("A B C", "Inner € α outer é…", ["X Y"])
+    assert [(c.number, c.text, c.depends_on) for c in r.claims] == [(1, "A deep thing", []), (2, "As claim 1", [1])]
+    open_ = records(spark, '<section itemprop="abstract"><p>one<p>two <b>three', '</div></p><span itemprop="title">T</i></span>')
+    assert (open_[0].abstract, open_[1].title) == ("one two three", "T")
+
+
 def test_pages_without_marks(spark):
     got = records(spark, None, "", "<p>no</p>", "<h2>Claims</h2>\n<p>1. One</p><p>2. As in claims 1 or 3</p><p>1. Other</p>", "x " * 30_000 + "SUMMARY " + "y" * 30_000)
     for i in range(3):
@@ -36,7 +49,7 @@ def test_flat_entries(spark):
 
 def test_declared_tables_that_wait_for_each_other(spark):
     with pytest.raises(ValueError, match="a"):
-        landed.materialised(spark, landed.scratch(spark), {"a": lambda b: b, "b": lambda a: a})
+        landed.materialised(spark, new_folder(spark), {"a": lambda b: b, "b": lambda a: a})
 
 
 def test_protein_links_without_publications(spark):
