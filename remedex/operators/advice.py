@@ -130,3 +130,65 @@ def carried(targets: DataFrame, stages: dict[str, DataFrame], top: int = 3) -> D
     best = targets.orderBy(F.col("score").desc(), "id").limit(top).select("id")
     parts = [best.join(df.select("id", F.lit(True).alias("_f")).distinct(), "id", "left").select(F.lit(k).alias("stage"), "id", F.coalesce("_f", F.lit(False)).alias("found")) for k, df in stages.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def with_neighbours(edges: DataFrame, ids: DataFrame, kind) -> DataFrame:
+    """The ids (id) that an edge links to a node of a kind, as listed diseases need an edge in the graph."""
+    near = edges.where(kind(F.col("dst"))).select(F.col("src").alias("id"))
+    return ids.join(near, "id", "left_semi")
+
+
+def wire_rows(nodes: DataFrame, known: DataFrame, unnamed) -> DataFrame:
+    """nodeId, displayName, nodeType, indexed of nodes (id, name, kind) as they are sent: a node without a name shows what
+    ``unnamed`` makes of its id, and is indexed if ``known`` (id) holds it."""
+    held = known.select("id").distinct().withColumn("_k", F.lit(True))
+    name = F.coalesce(F.nullif(F.trim("name"), F.lit("")), unnamed(F.col("id")))
+    return nodes.join(held, "id", "left").select(F.col("id").alias("nodeId"), name.alias("displayName"), F.col("kind").alias("nodeType"), F.coalesce("_k", F.lit(False)).alias("indexed"))
+
+
+def followed_up(stored: DataFrame, asked: DataFrame) -> DataFrame:
+    """Questions (session, asked) about candidates, answered from the stored rows (session, id, name, category, score).
+
+    Ids agree whatever their case. ``status`` says whether it was answered, is not among the session's candidates, or has no such
+    session; nothing is computed again.
+    """
+    rows = stored.select("session", F.lower("id").alias("_k"), "id", "name", "category", "score")
+    sessions = stored.select("session").distinct().withColumn("_s", F.lit(True))
+    out = asked.withColumn("_k", F.lower("asked")).join(rows, ["session", "_k"], "left").join(sessions, "session", "left")
+    status = F.when(F.col("id").isNotNull(), "answered").when(F.col("_s"), "not among the candidates").otherwise("no such session")
+    why = F.when(F.col("category") == "known", ": a curated edge links them.").otherwise(": no curated edge links them, and its score clears the threshold.")
+    text = F.concat("name", F.lit(" ("), "id", F.lit(") is labelled "), "category", why)
+    return out.select("session", "asked", status.alias("status"), "id", "category", "score", text.alias("explanation"))
+
+
+def needs_full_run(sessions: DataFrame, asked: DataFrame) -> DataFrame:
+    """Requests (session, disease) with ``full``: whether they need all steps, as their session is new or was about another disease."""
+    last = sessions.select("session", F.lower(F.trim("disease")).alias("_d")).distinct()
+    out = asked.join(last, "session", "left")
+    return out.select("session", "disease", (~F.coalesce(F.col("_d") == F.lower(F.trim("disease")), F.lit(False))).alias("full"))
+
+
+def row_id(*parts) -> Column:
+    """A stable id of a row from the parts of its key."""
+    return F.sha1(F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]))
+
+
+def store_statistics(chunks: DataFrame, owner: str, cap: int) -> DataFrame:
+    """chunks, patents, cap of a store of chunks; one row."""
+    return chunks.agg(F.count("*").alias("chunks"), F.count_distinct(owner).alias("patents"), F.lit(cap).alias("cap"))
+
+
+def name_table(parts: Sequence[DataFrame]) -> DataFrame:
+    """id, name of several sources, each pair once; rows without a name are left out."""
+    return reduce(DataFrame.unionByName, [p.select("id", "name") for p in parts]).where("name IS NOT NULL").distinct()
+
+
+def approved_pairs(pairs: DataFrame, approved: DataFrame) -> DataFrame:
+    """Pairs (drug, protein) of approved drugs (drug), each once."""
+    return pairs.join(approved.select("drug"), "drug", "left_semi").select("drug", "protein").distinct()
+
+
+def recommendation_trail(steps: DataFrame) -> DataFrame:
+    """session, trail: the recommendations of a session's steps (session, step, recommendation) in order, blank ones left out."""
+    own = steps.where(F.coalesce("recommendation", F.lit("")) != "")
+    return own.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "recommendation"))), lambda x: x["recommendation"]).alias("trail"))

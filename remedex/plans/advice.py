@@ -19,8 +19,8 @@ def kg_expanded_node(spark, d):
 
 @query("kg_with_neighbours", f"WITH {base.EDGES} SELECT 'C' || c_custkey AS id FROM customer WHERE 'C' || c_custkey IN (SELECT src FROM e WHERE dst LIKE 'O%')")
 def kg_with_neighbours(spark, d):
-    e = base.edges(spark, d).where(F.col("dst").startswith("O")).select(F.col("src").alias("id"))
-    return table(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id")).join(e, "id", "left_semi")
+    ids = table(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"))
+    return a.with_neighbours(base.edges(spark, d), ids, lambda c: c.startswith("O"))
 
 
 @query("build_member_filter", "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
@@ -31,10 +31,11 @@ def build_member_filter(spark, d):
 
 @query("app_wire_rows", "SELECT p_partkey AS nodeId, coalesce(nullif(trim(p_name), ''), 'P' || p_partkey) AS displayName, CASE WHEN p_type LIKE '%STEEL%' THEN 'protein' WHEN p_type LIKE '%BRASS%' THEN 'drug' ELSE 'other' END AS nodeType, p_partkey IN (SELECT l_partkey FROM lineitem) AS indexed FROM part")
 def app_wire_rows(spark, d):
-    known = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.lit(True).alias("_k")).distinct()
+    known = table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("id"))
     kind = F.when(F.col("p_type").contains("STEEL"), "protein").when(F.col("p_type").contains("BRASS"), "drug").otherwise("other")
-    name = F.coalesce(F.nullif(F.trim("p_name"), F.lit("")), F.concat(F.lit("P"), F.col("p_partkey").cast("string")))
-    return table(spark, d, "part").join(known, "p_partkey", "left").select(F.col("p_partkey").alias("nodeId"), name.alias("displayName"), kind.alias("nodeType"), F.coalesce("_k", F.lit(False)).alias("indexed"))
+    nodes = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), kind.alias("kind"))
+    out = a.wire_rows(nodes, known, lambda i: F.concat(F.lit("P"), i))
+    return out.withColumn("nodeId", F.col("nodeId").cast("bigint"))
 
 
 @query("target_gold_rescale", "SELECT p_partkey AS id, round(100 * p_retailprice / (SELECT max(p_retailprice) FROM part), 2) AS score FROM part")
@@ -63,13 +64,6 @@ def target_recommendation(spark, d):
     return a.recommended(_candidates(spark, d)).withColumn("candidates", F.array_join("candidates", ","))
 
 
-@query("target_followup", "SELECT p_partkey AS id, p_brand AS brand FROM part WHERE lower(p_brand) IN ('brand#11', 'brand#12')")
-def target_followup(spark, d):
-    asked = spark.createDataFrame([("BRAND#11",), ("brand#12",)], "asked string").select(F.lower("asked").alias("key"))
-    found = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.lower("p_brand").alias("key"))
-    return found.join(F.broadcast(asked), "key", "left_semi").select("id", "brand")  # two stated ids
-
-
 @query("resolve_suggestions")
 def resolve_suggestions(spark, d):
     """Near misses: the five names that are most like each query from a ratio of 0.3; SQL has no such ratio."""
@@ -116,12 +110,12 @@ def profile_leaders(spark, d):
 
 @query("patent_row_ids", "SELECT doc_id, sha1(doc_id || ':' || lang) AS row_id FROM documents")
 def patent_row_ids(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha1(F.concat_ws(":", F.col("doc_id").cast("string"), "lang")).alias("row_id"))
+    return table(spark, d, "documents").select("doc_id", a.row_id("doc_id", "lang").alias("row_id"))
 
 
 @query("patent_store_statistics", "SELECT count(*) AS chunks, count(DISTINCT label) AS patents, 20 AS cap FROM embeddings")
 def patent_store_statistics(spark, d):
-    return table(spark, d, "embeddings").agg(F.count("*").alias("chunks"), F.count_distinct("label").alias("patents"), F.lit(20).alias("cap"))
+    return a.store_statistics(table(spark, d, "embeddings"), "label", 20)
 
 
 @query("patent_context", "WITH r AS (SELECT source AS patent, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) SELECT patent, count(*) AS used, string_agg(doc_id, ',' ORDER BY n) AS ids FROM r WHERE n <= 4 GROUP BY patent")
@@ -141,7 +135,7 @@ def patent_report_split(spark, d):
 def build_names(spark, d):
     parts = [("supplier", "S", "s_suppkey", "s_name"), ("customer", "C", "c_custkey", "c_name"), ("part", "P", "p_partkey", "p_name")]
     named = [table(spark, d, n).select(F.concat(F.lit(k), F.col(i).cast("string")).alias("id"), F.col(c).alias("name")) for n, k, i, c in parts]
-    return named[0].unionByName(named[1]).unionByName(named[2]).distinct()
+    return a.name_table(named)
 
 
 @query("build_name_pivot", "WITH s AS (SELECT l_partkey AS id, arg_min(l_suppkey, (l_orderkey, l_linenumber)) FILTER (l_returnflag = 'A') AS f, arg_min(l_suppkey, (l_orderkey, l_linenumber)) FILTER (l_returnflag = 'N') AS s, bool_or(l_returnflag = 'R') AS h FROM lineitem GROUP BY 1) SELECT 'P' || id AS id, CASE WHEN f IS NOT NULL THEN 'full ' || f WHEN s IS NOT NULL THEN 's' || s ELSE 'P' || id END AS display FROM s WHERE h")
@@ -163,14 +157,13 @@ def build_graph_counts(spark, d):
 @query("build_approved_pairs", "SELECT DISTINCT l_partkey AS drug, l_suppkey AS protein FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size >= 40)")
 def build_approved_pairs(spark, d):
     approved = table(spark, d, "part").where("p_size >= 40").select(F.col("p_partkey").alias("drug"))
-    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("drug"), F.col("l_suppkey").alias("protein")).join(approved, "drug", "left_semi").distinct()
+    return a.approved_pairs(table(spark, d, "lineitem").select(F.col("l_partkey").alias("drug"), F.col("l_suppkey").alias("protein")), approved)
 
 
 @query("app_recommendation_trail", "SELECT conv_id, count(*) AS n, md5(string_agg(text, '|' ORDER BY turn, text)) AS digest FROM conversations WHERE role = 'assistant' AND coalesce(text, '') <> '' GROUP BY conv_id")
 def app_recommendation_trail(spark, d):
-    c = table(spark, d, "conversations").where((F.col("role") == "assistant") & (F.coalesce("text", F.lit("")) != ""))
-    trail = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])  # of one conversation
-    return c.groupBy("conv_id").agg(F.count("*").alias("n"), F.md5(F.array_join(trail, "|")).alias("digest"))
+    steps = table(spark, d, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("session"), F.col("turn").alias("step"), F.col("text").alias("recommendation"))
+    return a.recommendation_trail(steps).select(F.col("session").alias("conv_id"), F.size("trail").cast("bigint").alias("n"), F.md5(F.array_join("trail", "|")).alias("digest"))
 
 
 @query("app_carried_targets", "WITH b AS (SELECT p_partkey AS id FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 3) SELECT 'screen' AS stage, id, id IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AS found FROM b UNION ALL SELECT 'novelty', id, id IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 0) FROM b")
