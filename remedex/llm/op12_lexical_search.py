@@ -8,12 +8,13 @@ themselves: their ids and sizes.  A join on (term, part) reads the buckets as th
 Search.  Item terms join the postings; a match scores w * ((10^9 tf) div (1000 tf + 12 m)); matches are summed by item
 and document; a window ranks them.  A word of half of all documents would make a row for each of them and each item, so:
 
-1. The rarest terms of each item, up to ``OPEN`` postings, are summed.  The k-th highest sum is a floor of the k-th highest score.
+1. The rarest terms of each item, up to ``OPEN`` postings, are summed. The best ``TRIED`` documents by these sums get their whole scores; the
+   k-th highest of them is a floor of the k-th highest score of all.
 2. A term adds at most q * w * (its highest quotient in any document).  The terms of least bound whose bounds add up to
    less than the floor cannot bring a document to the head without another term of the item.  All other terms are summed.
-3. Documents whose sum and those bounds reach the floor (taken anew) get what the terms left out add, by a join on
-   (term, document).
+3. Documents whose sum and those bounds reach the floor get what the terms left out add.
 
+What is added later is looked up by (term, chunk): the asked places of a chunk meet the term's row there once.
 Steps 2 and 3 leave out only what cannot rank, so the result is that of the full sums at every size.
 
 Defined cases: null text has no terms; every row is a document, repeated rows rank apart; an item without terms, or whose
@@ -38,7 +39,8 @@ NAME = "op12_lexical_search"
 TOP = 20
 CHUNK = 24 << 20  # bytes of text in a chunk
 PART = 50_000  # documents in a part, about
-OPEN = 20_000  # postings of an item that make its first floor
+OPEN, TRIED = 20_000, 100  # postings of an item that are summed first, and documents scored whole for its floor
+SHARE = 0.5  # of the floor, that the terms left out may add up to; 1 would be right too, but leaves more documents near
 ROWS = 10_000  # rows of an Arrow batch
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -122,22 +124,42 @@ def index(docs: DataFrame, scratch: Scratch) -> tuple[str, int]:
 
 
 def item_terms(items: DataFrame) -> DataFrame:
-    """item, item_id, term and q (its occurrences in the item); the number of the item is made by the hash of its row."""
+    """item, item_id and terms; the number of an item is made when the rows are written."""
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER)
-    rows = items.select("item_id", F.sha2(F.to_json(F.struct("item_id", "text")), 256).alias("item"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("terms")).dropDuplicates(["item"])
-    return rows.select("item", "item_id", F.explode("terms").alias("term")).groupBy("item", "item_id", "term").agg(F.count("*").alias("q"))
+    rows = items.select("item_id", F.col("text").cast("string").alias("text")).distinct()
+    return rows.select(F.monotonically_increasing_id().alias("item"), "item_id", F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("terms"))
 
 
 def _sums(hits: DataFrame, asked: DataFrame) -> DataFrame:
-    """item, chunk, place and the summed score of the asked terms."""
+    """item, chunk, place and the summed score of the asked terms (item, term, weight)."""
     rows = hits.join(asked.select("item", "term", "weight"), "term")
-    return _matches(rows, "item", "chunk", "weight").groupBy("item", "chunk", "place").agg(F.sum(F.col("weight") * F.col("part_score")).alias("score"))
+    rows = rows.select("item", "chunk", "weight", F.inline(F.arrays_zip("places", "scores")).alias("place", "part_score"))
+    return rows.groupBy("item", "chunk", "place").agg(F.sum(F.col("weight") * F.col("part_score")).alias("score"))
 
 
-def _matches(rows: DataFrame, *keep: str) -> DataFrame:
-    """A row for each posting: its place and ``part_score``, which depends on the posting alone."""
-    zipped = F.inline(F.arrays_zip("places", "scores"))
-    return rows.select(*keep, zipped.alias("place", "part_score"))
+def _completed(found: DataFrame, terms: DataFrame, hits: DataFrame) -> DataFrame:
+    """item, chunk, place, score: found documents with what further terms (item, term, weight) add to their scores."""
+    asked = found.join(terms.select("item", "term", "weight"), "item").groupBy("term", "chunk").agg(F.collect_list(F.struct("item", "place", "weight")).alias("asked"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, places, scores, wanted in zip(*b.columns, strict=True):
+                at, wanted = places.values.to_numpy(), wanted.values
+                item, place, weight = (wanted.field(k).to_numpy() for k in ("item", "place", "weight"))
+                k = np.minimum(np.searchsorted(at, place), len(at) - 1)
+                hit = at[k] == place
+                if hit.any():
+                    score = weight[hit] * scores.values.to_numpy()[k[hit]].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(item[hit]), pa.array(np.full(len(score), chunk.as_py(), np.int64)), pa.array(place[hit]), pa.array(score)], ["item", "chunk", "place", "score"])
+
+    met = hits.join(asked, ["term", "chunk"]).select("chunk", "places", "scores", "asked")  # one row of each side
+    more = met.mapInArrow(add, "item long, chunk long, place int, score long")
+    return found.select("item", "chunk", "place", "score").unionByName(more).groupBy("item", "chunk", "place").agg(F.sum("score").alias("score"))
+
+
+def _head(sums: DataFrame, n: int) -> DataFrame:
+    """The n highest sums of each item, with their place ``r``."""
+    return sums.withColumn("r", F.row_number().over(W.partitionBy("item").orderBy(F.desc("score")))).where(F.col("r") <= n)
 
 
 def search(spark: SparkSession, index_name: str, parts: int, items: DataFrame, scratch: Scratch, top: int = TOP) -> DataFrame:
@@ -146,43 +168,33 @@ def search(spark: SparkSession, index_name: str, parts: int, items: DataFrame, s
     own = postings_.where("term = ''")
     whole = own.select(F.sum(F.size("tfs")).alias("n"), F.sum(F.expr("aggregate(tfs, 0L, (a, x) -> a + x)")).alias("l")).first()
     n, length = int(whole["n"] or 0), int(whole["l"] or 0)
-    asked = scratch.put(item_terms(items), "asked")
     if not n:
         return spark.createDataFrame([], _result(items))
+    named = scratch.put(item_terms(items), "items")
+    asked = named.select("item", F.explode("terms").alias("term")).groupBy("item", "term").agg(F.count("*").alias("q"))
     # The rows of the terms that are asked for, with the score of each posting before its term's weight.
     slots = asked.select("term").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    score = f"transform(arrays_zip(tfs, sizes), x -> (1000000000L * x.tfs) div (1000L * x.tfs + 12L * (75L + (25L * x.sizes * {n}L) div {length}L)))"
+    score = f"transform(arrays_zip(tfs, sizes), x -> int((1000000000L * x.tfs) div (1000L * x.tfs + 12L * (75L + (25L * x.sizes * {n}L) div {length}L))))"
     hits = scratch.put(postings_.join(slots, ["term", "part"]).select("term", "chunk", "places", F.expr(score).alias("scores")), "hits")
     facts = hits.groupBy("term").agg(F.sum(F.size("places")).alias("df"), F.max(F.array_max("scores")).alias("peak"))
     weight = F.floor(1000 * F.log((F.lit(2.0) * n + 2) / (F.lit(2.0) * F.col("df") + 1))).cast("long") * F.col("q")
     asked = asked.join(facts, "term").withColumn("weight", weight).where("weight > 0").withColumn("bound", F.col("weight") * F.col("peak"))
     by_df, by_bound = (W.partitionBy("item").orderBy(c, "term").rowsBetween(W.unboundedPreceding, 0) for c in ("df", "bound"))
-    asked = scratch.put(asked.withColumns({"opened": F.sum("df").over(by_df), "rarest": F.count("*").over(by_df) == 1, "below": F.sum("bound").over(by_bound)}), "weighted")
-
-    def floor(sums: DataFrame) -> DataFrame:
-        """item and the top-th highest sum; none for items with fewer sums."""
-        by = W.partitionBy("item").orderBy(F.desc("score"))
-        return sums.withColumn("r", F.row_number().over(by)).where(F.col("r") <= top).groupBy("item").agg(F.min("score").alias("floor"), F.count("*").alias("c")).where(F.col("c") == top).drop("c")
-
-    opened = asked.where((F.col("opened") <= OPEN) | F.col("rarest"))
-    split = asked.join(floor(_sums(hits, opened)), "item", "left").withColumn("rest", F.col("below") < F.coalesce("floor", F.lit(0)))
-    split = scratch.put(split.select("item", "term", "weight", "below", "rest", "floor"), "split")
-    sums = scratch.put(_sums(hits, split.where("not rest")), "sums")
-    left_out = split.groupBy("item").agg(F.max(F.when(F.col("rest"), F.col("below"))).alias("most"), F.max("floor").alias("first_floor"))
-    bar = left_out.join(floor(sums), "item", "left").select("item", F.coalesce("most", F.lit(0)).alias("most"), F.greatest(F.coalesce("floor", F.lit(0)), F.coalesce("first_floor", F.lit(0))).alias("bar"))
-    near = scratch.put(sums.join(bar, "item").where("score + most >= bar").select("item", "chunk", "place", "score"), "near")
-    # What the terms left out add to the documents that can still rank.
-    rest = split.where("rest").select("item", "term", "weight")
-    more = _matches(hits.join(rest.select("term").distinct(), "term", "left_semi"), "term", "chunk").join(near.join(rest, "item").drop("score"), ["term", "chunk", "place"])
-    more = more.select("item", "chunk", "place", (F.col("weight") * F.col("part_score")).alias("score"))
-    total = near.unionByName(more).groupBy("item", "chunk", "place").agg(F.sum("score").alias("score"))
+    opened = (F.sum("df").over(by_df) <= OPEN) | (F.count("*").over(by_df) == 1)
+    asked = scratch.put(asked.select("item", "term", "weight", opened.alias("opened"), F.sum("bound").over(by_bound).alias("below")), "asked")
+    tried = scratch.put(_head(_sums(hits, asked.where("opened")), max(TRIED, top)), "tried")
+    floor = _head(_completed(tried, asked.where("NOT opened"), hits), top).where(F.col("r") == top).select("item", F.col("score").alias("floor"))
+    split = asked.join(floor, "item", "left").na.fill(0, ["floor"])
+    split = scratch.put(split.select("item", "term", "weight", "below", "floor", (F.col("below") < SHARE * F.col("floor")).alias("rest")), "split")
+    bar = split.groupBy("item").agg((F.max("floor") - F.coalesce(F.max(F.when(F.col("rest"), F.col("below"))), F.lit(0))).alias("least"))
+    near = scratch.put(_sums(hits, split.where("NOT rest")).join(bar, "item").where("score >= least").drop("least"), "near")
+    total = _completed(near, split.where("rest"), hits).where("score > 0")
     # Ties at the end are settled by doc_id, which only documents that reach the head need.
-    head = total.where("score > 0").withColumn("r", F.rank().over(W.partitionBy("item").orderBy(F.desc("score")))).where(F.col("r") <= top)
+    head = total.withColumn("r", F.rank().over(W.partitionBy("item").orderBy(F.desc("score")))).where(F.col("r") <= top)
     ids = own.select("chunk", F.inline(F.arrays_zip("places", "ids")).alias("place", "doc_id"))
     by = W.partitionBy("item").orderBy(F.desc("score"), "doc_id", "chunk", "place")
     ranked = head.join(ids, ["chunk", "place"]).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
-    names = asked.select("item", "item_id").distinct()
-    return ranked.join(names, "item").select("item_id", "rank", "doc_id", "score")
+    return ranked.join(named.select("item", "item_id"), "item").select("item_id", "rank", "doc_id", "score")
 
 
 def _result(items: DataFrame) -> str:

@@ -55,6 +55,7 @@ def test_equals_brute_force(spark, monkeypatch, opened, chunk, part):
     monkeypatch.setattr(op, "CHUNK", chunk)
     monkeypatch.setattr(op, "PART", part)
     monkeypatch.setattr(op, "ROWS", 5)
+    monkeypatch.setattr(op, "TRIED", 25)
     docs, items = corpus(400, 3)
     docs += docs[:5]  # repeated rows rank apart
     items += items[:1] + [(items[0][0], "w1 w2", ""), (None, "w3", ""), (77, None, ""), (78, "nowhere", ""), (79, ",;", "")]
@@ -79,7 +80,7 @@ def test_postings_are_read_as_they_lie(spark):
     scratch = Scratch(spark)
     docs, items = corpus(200, 5)
     name, parts = op.index(spark.createDataFrame(docs, DOCS), scratch)
-    asked = op.item_terms(spark.createDataFrame(items, ITEMS)).select("term").distinct().selectExpr("term", "explode(sequence(0, 0)) part")
+    asked = op.item_terms(spark.createDataFrame(items, ITEMS)).selectExpr("explode(terms) term").distinct().selectExpr("term", "explode(sequence(0, 0)) part")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         df = spark.table(name).join(asked, ["term", "part"])
