@@ -4,21 +4,26 @@ The k-mers of a text are its runs of five words, each labelled with its occurren
 the two k-mers of least hash are kept in their text order; two texts agree in such an entry only if they share both
 k-mers in the same order, so agreement falls with edits and with moved parts.
 
-1. Rows of equal text are one class.
+1. Rows of equal text are one text with a number of its own; all further steps work on texts.
 2. The first entries are keys.  Texts that share a key compare whole sketches in blocks; those that agree in enough
    entries are joined to candidate groups.  Groups that share a passage only do not agree in enough entries.
 3. The texts of a candidate group meet in blocks.  The size of the common k-mers of all pairs of a block comes from a
-   matrix product; pairs that can reach the threshold and are not yet joined are aligned: the longest common chain of
-   labelled k-mers within the band that the threshold allows, m of n1 and n2, must have m / (n1 + n2 - m) >= 0.8.
+   matrix product; pairs whose k-mers resemble each other by ``RESEMBLE`` and are not yet joined are aligned word by word: with
+   m words in the longest common subsequence of n1 and n2 words, m / (n1 + n2 - m) must reach 0.8.  Words further apart than
+   the band that the threshold allows cannot be in it.  The chain of common k-mers gives most of it at once; only where that
+   is not enough, the words between are aligned exactly, by bit vectors.
 
 A group is split into blocks by bytes and by rows and every pair of blocks is a task's group of its own, so no task
 holds more than two blocks and nothing is capped; only a spanning forest of the links leaves a block.
 
-A pair at similarity 0.8 agrees in an entry with probability 0.64: it misses all ``KEYS`` keys in about 4 of 100,000
-cases and falls below ``AGREE`` of ``ENTRIES`` entries in about 3 of 10,000.
+An entry of two texts agrees with the square of their k-mers' resemblance.  At a resemblance of 0.5 a pair misses all ``KEYS``
+keys in about 1 of 100 cases and falls below ``AGREE`` of ``ENTRIES`` entries in about 3; with one word in twenty replaced
+(0.63) both are below 1 in 1,000.
 
 Defined cases: a null text counts as empty; texts of fewer than five words have one k-mer of all their words; texts
-without words are joined by equality only; rows of one doc_id are one document; other columns are ignored.
+without words are joined by equality only; rows of equal doc_id and text are one document, rows of one doc_id with different
+texts are documents of their own; a null doc_id is a document like others, comes last where the least id stands for a
+class, and is the class_id only of classes without another; other columns are ignored by ``classes`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -28,28 +33,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remedex.llm.common import STEP, ByteHash, Scratch, concat, gather, groups, mix, powers, small_batches, table, word_bounds
+from remedex.llm.common import STEP, ByteHash, Scratch, concat, gather, groups, mix, powers, small_batches, table, texts_of, word_bounds
 from remedex.llm.components import components
 
 NAME = "op10_order_minhash"
-K, ENTRIES, KEYS, AGREE, SIMILARITY = 5, 64, 10, 28, 0.8
+K, ENTRIES, KEYS, AGREE, SIMILARITY = 5, 64, 16, 10, 0.8
+RESEMBLE = 0.5  # of the k-mers, for texts that may reach the similarity
 BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 _ODD = np.random.default_rng(10).integers(1 << 31, 1 << 32, ENTRIES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = np.random.default_rng(11).integers(0, 1 << 32, ENTRIES, dtype=np.uint64).astype(np.uint32)
 
 
-def kmers(texts: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the occurrence-labelled k-mers of the texts one after the other, and the bounds of each text."""
+def kmers(texts: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the occurrence-labelled k-mers of the texts one after the other, the bounds of each text, and both for words."""
     buf, bounds = concat(texts)
     starts, ends, n = word_bounds(buf, bounds)
     at = np.concatenate([[0], np.cumsum(n)])
     size = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     out_at = np.concatenate([[0], np.cumsum(size)])
     if not len(starts):
-        return np.zeros(0, np.uint64), out_at
+        return np.zeros(0, np.uint64), out_at, np.zeros(0, np.uint64), at
     words = ByteHash(buf).of(starts, ends)
     with np.errstate(over="ignore"):
         # A run's hash is a polynomial of its word hashes; short texts use the words that they have.
@@ -70,7 +77,7 @@ def kmers(texts: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray]:
             label = np.zeros(len(h), dtype=np.uint64)
             label[order] = run.astype(np.uint64)
             h = np.where(label > 0, mix(h + label * STEP), h)
-    return h, out_at
+    return h, out_at, words, at
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
@@ -89,27 +96,63 @@ def sketch(h: np.ndarray) -> np.ndarray:
         return mix(h[np.minimum(a, b)] * STEP + h[np.maximum(a, b)])
 
 
-def chain(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Length of the longest common chain of labelled k-mers whose places differ by at most ``band``."""
+def chain(a: np.ndarray, b: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the longest common chain of labelled k-mers whose places differ by at most ``band``."""
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     near = np.abs(i - j) <= band
     i, j = i[near], j[near]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
     tails: list[int] = []
-    for x in j[np.argsort(i)].tolist():
+    last: list[int] = []  # number of the k-mer that ends the best chain of each length
+    back = np.full(len(j), -1)
+    for k, x in enumerate(j.tolist()):
         at = bisect_left(tails, x)
         if at == len(tails):
             tails.append(x)
+            last.append(k)
         else:
-            tails[at] = x
-    return len(tails)
-
-
-def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    """Whether m / (len(a) + len(b) - m) reaches the similarity. No chain outside the band can."""
-    need = similarity / (1 + similarity) * (len(a) + len(b))
-    band = int(max(len(a), len(b)) - np.ceil(need - 1e-9))
-    m = chain(a, b, band) if band >= 0 else 0
-    return m > 0 and m >= similarity * (len(a) + len(b) - m) - 1e-9
+            tails[at], last[at] = x, k
+        back[k] = last[at - 1] if at else -1
+    k, got = last[-1] if last else -1, []
+    while k >= 0:
+        got.append(k)
+        k = back[k]
+    return i[got[::-1]], j[got[::-1]]
+
+
+def common_words(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence, by bit vectors."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    head = int(differ[0]) if len(differ) else n
+    a, b, n = a[head:], b[head:], n - head
+    differ = np.flatnonzero(a[::-1][:n] != b[::-1][:n])
+    tail = int(differ[0]) if len(differ) else n
+    a, b = a[: len(a) - tail].tolist(), b[: len(b) - tail].tolist()
+    if not a or not b:
+        return head + tail
+    where: dict[int, int] = {}
+    for k, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << k
+    whole = state = (1 << len(a)) - 1
+    for w in b:
+        if hit := state & where.get(w, 0):
+            state = (state + hit | state - hit) & whole
+    return head + tail + len(a) - state.bit_count()
+
+
+def aligned(a: np.ndarray, b: np.ndarray, words_a: np.ndarray, words_b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether m / (n1 + n2 - m) reaches the similarity, for texts with k-mers a and b. No word outside the band can be matched."""
+    n1, n2 = len(words_a), len(words_b)
+    need = int(np.ceil(similarity / (1 + similarity) * (n1 + n2) - 1e-9))
+    band = max(n1, n2) - need
+    if need > min(n1, n2) or not need:
+        return False
+    i, j = chain(a, b, band)
+    # Each k-mer of the chain matches its words up to the next one's.
+    m = int(np.minimum(np.minimum(np.diff(i), np.diff(j)), K).sum()) + min(K, n1, n2) if len(i) else 0
+    return m >= need or common_words(words_a, words_b) >= need
 
 
 class Forest:
@@ -141,17 +184,24 @@ def _edges(forest: Forest, ids: np.ndarray) -> list[tuple[int, int]]:
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, same (hash of the text), size, keys (array) and entries (binary) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.arange(KEYS, dtype=np.uint64)
         for b in batches:
-            h, at = kmers([t.encode(errors="surrogatepass") for t in b["text"]])
+            texts = texts_of(b.column(2))
+            h, at, _, _ = kmers(texts)
             made = [sketch(h[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
-            number = np.arange(KEYS, dtype=np.uint64)
             keys = [mix(s[:KEYS] + number).astype(np.int64) if len(s) else np.zeros(0, np.int64) for s in made]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "same": b["same"], "size": b["text"].str.len().astype(np.int64), "keys": keys, "entries": [s.astype(np.uint32).tobytes() for s in made]})
+            size = pa.array([len(t) for t in texts], pa.int64())
+            entries = pa.array([s.astype(np.uint32).tobytes() for s in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), size, pa.array(keys, pa.list_(pa.int64())), entries], ["doc_id", "same", "size", "keys", "entries"])
 
     small_batches(docs.sparkSession)
+    return _rows(docs).mapInArrow(run, "doc_id long, same string, size long, keys array<long>, entries binary")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.sha2(text, 256).alias("same"), text.alias("text")).mapInPandas(run, "doc_id long, same string, size long, keys array<long>, entries binary")
+    return docs.select(F.col("doc_id").cast("long"), F.sha2(text, 256).alias("same"), text.alias("text"))
 
 
 def candidate_edges(made: DataFrame, scratch: Scratch) -> DataFrame:
@@ -215,10 +265,10 @@ def links(texts: DataFrame) -> DataFrame:
         out: list[tuple[int, int]] = []
         for g in groups(batches, ["cluster", "lo", "hi"]):
             ids, block = g["doc_id"].to_numpy(), g["block"].to_numpy()
-            h, at = kmers([t.encode(errors="surrogatepass") for t in g["text"]])
+            h, at, words, word_at = kmers([t.encode(errors="surrogatepass") for t in g["text"]])
             size = np.diff(at).astype(np.float32)
             both = common_sizes(h, at)
-            near = (both > 0) & (both >= SIMILARITY * (size[:, None] + size - both) - 1e-3)
+            near = (both > 0) & (both >= RESEMBLE * (size[:, None] + size - both) - 1e-3)
             lo, hi = g["lo"].iloc[0], g["hi"].iloc[0]
             near &= (block == lo)[:, None] & (block == hi)
             if lo == hi:
@@ -227,7 +277,7 @@ def links(texts: DataFrame) -> DataFrame:
             best = np.argsort(-both[i, j], kind="stable")
             forest = Forest(len(g))
             for x, y in zip(i[best].tolist(), j[best].tolist(), strict=True):
-                if forest.root(x) != forest.root(y) and aligned(h[at[x] : at[x + 1]], h[at[y] : at[y + 1]]):
+                if forest.root(x) != forest.root(y) and aligned(*(v[t[k] : t[k + 1]] for v, t in ((h, at), (words, word_at)) for k in (x, y))):
                     forest.join(x, y)
             out += _edges(forest, ids)
             if len(out) > 10_000:
@@ -238,34 +288,47 @@ def links(texts: DataFrame) -> DataFrame:
     return gather(texts, ["cluster", "lo", "hi"]).mapInPandas(run, "a long, b long")
 
 
-def classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id and class_id (the least doc_id of its class) of every document."""
+def _classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, same, class_id, and ``kept``: whether the document stands for its class; one row for each document."""
     made = scratch.put(sketches(docs), "sketches")
-    same = made.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    own = made.select("doc_id", "same").join(same, "same").select("doc_id", "rep").distinct()
-    own = scratch.put(own, "own")
-    reps = made.join(own.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = scratch.put(reps, "reps")
-    scratch.drop("sketches")
-    clusters = components(scratch.put(candidate_edges(reps, scratch), "candidates"), scratch, "clusters").withColumnsRenamed({"node": "doc_id", "component": "cluster"})
-    sized = reps.select("doc_id", "size").join(clusters, "doc_id")
+    texts = made.groupBy("same").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("entries").alias("entries"))
+    texts = scratch.put(texts.withColumn("doc_id", F.monotonically_increasing_id()), "texts")
+    clusters = components(scratch.put(candidate_edges(texts, scratch), "candidates"), scratch, "clusters").withColumnsRenamed({"node": "doc_id", "component": "cluster"})
+    sized = texts.select("doc_id", "size").join(clusters, "doc_id")
     counts = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    # One row of each text; the document of least id is one of few that hold it.
+    whole = texts.join(clusters, "doc_id", "left_semi").select("same", "least", "doc_id")
+    whole = _texts(_rows(docs).withColumnRenamed("doc_id", "least"), whole)
     placed = blocks(clusters, counts, ["cluster"], "doc_id")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(placed, "doc_id")
-    found = scratch.put(links(texts.select("cluster", "lo", "hi", "block", "doc_id", "text")), "links")
-    edges = found.unionByName(own.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    named = components(edges, scratch, "classes").select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"))
-    return own.select("doc_id").distinct().join(named, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    found = scratch.put(links(whole.join(placed, "doc_id").select("cluster", "lo", "hi", "block", "doc_id", "text")), "links")
+    named = components(found, scratch, "classes").select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
+    facts = texts.select("doc_id", "same", "least").join(named, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
+    first = facts.groupBy("class").agg(F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull(), "least", "same")).alias("head"))
+    facts = facts.join(first, "class").select("same", "least", "class_id", (F.col("head.same") == F.col("same")).alias("first"))
+    own = made.select("doc_id", "same").distinct().join(facts, "same")
+    return own.select("doc_id", "same", "class_id", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("least"))).alias("kept"))
+
+
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id (the text's number) and text, from the documents that hold the wanted texts under their least id."""
+    w = wanted.select(F.col("same").alias("_same"), F.col("least").alias("_least"), "doc_id")
+    met = rows.join(w, (F.col("same") == F.col("_same")) & F.col("least").eqNullSafe(F.col("_least")))
+    return met.groupBy("doc_id").agg(F.first("text").alias("text"))
+
+
+def classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class) and kept, for every document."""
+    return _classes(docs, scratch).drop("same")
 
 
 def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The documents that are the least of their class, with their own columns; of rows of one doc_id one stays."""
-    names = docs.columns
-    first = scratch.put(classes(docs, scratch).where("doc_id = class_id").select("doc_id"), "first")
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*names)
+    """One document of each class, that of least doc_id, with its own columns."""
+    first = scratch.put(_classes(docs, scratch).where("kept").select("doc_id", "same"), "first")
+    # The document's columns are held in one, so their names do not matter.
+    rows = docs.select(F.col("doc_id").alias("_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("_same"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    one = rows.join(first, (F.col("_id").eqNullSafe(F.col("doc_id"))) & (F.col("_same") == F.col("same")), "left_semi")
+    return one.dropDuplicates(["_id", "_same"]).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
-    out = classes(table(spark, sf_dir, "documents"), scratch)
-    return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return classes(table(spark, sf_dir, "documents"), Scratch(spark))
