@@ -17,7 +17,7 @@ source that holds a third of all rows is dealt over many tasks.  The draws are m
 agree.
 
 Defined cases: a null text has size 0 and nothing taken; a null source is a source of its own; repeated rows are packed
-one after the other; an empty table gives no rows; other columns are ignored by ``mix`` and kept by ``mixed_documents``.
+one after the other; a null doc_id is an id like others; an empty table gives no rows; other columns are ignored by ``mix`` and kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from remedex.llm.common import Scratch, mix as scramble, table, words
+from remedex.llm.common import Scratch, mix as scramble, small_batches, table, words
 
 NAME = "op4_source_mixing"
 BLOCK, SHARD, MOST, SEED = 64, 4096, 3, 20240229
@@ -84,7 +86,7 @@ def draws(shard: int, slots: int, shares: np.ndarray) -> np.ndarray:
 def positions(docs: DataFrame, rows: int) -> DataFrame:
     """Adds ``first``: the number of the source's words before the document, by two prefix sums."""
     n = max(1, rows // ROWS_PER_BUCKET + 1)
-    out = docs.withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
+    out = docs.withColumn("_b", F.pmod(F.xxhash64(F.coalesce("doc_id", "tie")), F.lit(n)))
     sums = out.groupBy("source", "_b").agg(F.sum("size").alias("_n"))
     sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy("source").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     own = W.partitionBy("source", "_b").orderBy("doc_id", "tie").rowsBetween(W.unboundedPreceding, -1)
@@ -148,12 +150,12 @@ def block_counts(spark: SparkSession, plan: pd.DataFrame, block: int = BLOCK) ->
 
 
 def mix(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Per document (doc_id, source, size, source_size, target, number, first, tie), and the slots of the mix.
+    """Per document (row, doc_id, source, size, source_size, target, number, first, tie), and the slots of the mix.
 
     The sources are few and their table has one row each, so it is read by the driver to plan the quotas.
     """
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"), F.xxhash64("text").alias("tie"))
+    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
     sized = scratch.put(sized, "sizes")
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))).toPandas()
     plan = plan.sort_values("source", key=lambda s: s.map(lambda x: (x is None, (x or "").encode())), ignore_index=True)
@@ -181,9 +183,9 @@ def parts(placed: DataFrame, block: int = BLOCK) -> DataFrame:
 def taken(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     times = slots.groupBy("number", "block").agg(F.count("*").alias("times"))
-    got = parts(placed, block).select("doc_id", "tie", "first", "number", "block", "n").join(times, ["number", "block"])
-    got = got.groupBy("doc_id", "tie", "number", "first").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
-    out = placed.join(got, ["doc_id", "tie", "number", "first"], "left")
+    got = parts(placed, block).select("row", "number", "block", "n").join(times, ["number", "block"])
+    got = got.groupBy("row").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
+    out = placed.join(got, "row", "left")
     return out.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("taken"))
 
 
@@ -193,19 +195,23 @@ def mixed_documents(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> Da
     A document taken whole keeps its text as it is; adjacent parts stay joined by their own white space.
     """
     placed, slots = mix(docs, scratch, block)
-    runs = parts(placed, block).select("doc_id", "tie", "first", "number", "block", "at", "n").join(slots.drop("shard"), ["number", "block"])
-    runs = runs.groupBy("doc_id", "tie", "first", "turn").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("parts"))  # at most size / block + 2 parts
+    runs = parts(placed, block).select("row", "doc_id", "tie", "number", "block", "at", "n").join(slots.drop("shard"), ["number", "block"])
+    runs = runs.groupBy("row", "doc_id", "tie", "turn").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("_parts"))  # at most size / block + 2 parts
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b["text"] = [_pick(t, p) for t, p in zip(b["text"], b.pop("parts"), strict=True)]
-            b["n_chars"] = b["text"].str.len().astype("int64")
-            yield b
-
-    # Repeated rows have the same text, so any of them may stand for each of the places.
-    one = docs.withColumn("tie", F.xxhash64("text")).groupBy("doc_id", "tie").agg(*[F.first(c).alias(c) for c in docs.columns if c != "doc_id"])
-    out = one.join(runs.drop("first", "turn"), ["doc_id", "tie"]).select(*docs.columns, "parts")
-    return out.mapInPandas(cut, docs.schema)
+            texts = [_pick(t, p) for t, p in zip(b.column("_text").to_pylist(), b.column("_parts").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(texts, pa.string())], ["_row", "_text"])
+
+    small_batches(docs.sparkSession)
+    # The document's columns are held in one, so their names do not matter. Repeated rows have the same text, so any of them
+    # may stand for each of the places.
+    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tie"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    one = rows.groupBy("_id", "_tie").agg(F.first("_row").alias("_row"))
+    met = one.join(runs, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie"))).select("_row", F.col("_row.text").cast("string").alias("_text"), "_parts")
+    made = met.mapInArrow(cut, T.StructType([met.schema["_row"], T.StructField("_text", T.StringType())]))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("bigint")}
+    return made.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def _pick(text: str, spans) -> str:

@@ -92,3 +92,27 @@ def test_shards_hold_their_draws(spark):
     for shard in (0, 1):
         drawn = op.draws(shard, min(op.SHARD, 7900 - shard * op.SHARD), shares)
         assert all(got.get((shard, k), 0) <= drawn[k] for k in range(3))
+
+
+def test_null_and_large_ids_and_clashing_columns(spark):
+    big = 9007199254740993
+    rows = [(i, " ".join(f"w{k}_{j}" for j in range(40 + k)), f"s{k % 3}", k, None, "x", 7) for k, i in enumerate([big, big + 2, None, None, 5, 5, None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, tie int, parts int, row string, n_chars long")
+    got = op.taken(*op.mix(df, Scratch(spark), block=8), block=8).collect()
+    assert len(got) == 7 and all(r.taken > 0 for r in got if r.target >= r.source_size)
+    assert {r.doc_id for r in got} == {big, big + 2, None, 5}
+    target = {r.source_size: r.target for r in got}
+    sums: dict = {}
+    for r in got:
+        sums[r.source_size] = sums.get(r.source_size, 0) + r.taken
+    assert all(abs(sums[k] - target[k]) <= 16 for k in target)
+    made = op.mixed_documents(df, Scratch(spark), block=8)
+    assert made.columns == df.columns
+    words: dict = {}
+    for r in made.collect():
+        assert (r.doc_id, r.tie) in {(x[0], x[3]) for x in rows} and (r.parts, r.row) == (None, "x")
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
+    want: dict = {}
+    for r in got:
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    assert words == {k: v for k, v in want.items() if v}
