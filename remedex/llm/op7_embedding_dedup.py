@@ -2,7 +2,7 @@
 
 Independent codebooks on the two halves of the unit vectors form a product grid.  Every vector visits its nearest cells
 in the order of the multi-sequence traversal; how many is set so that a pair at the very threshold shares a cell with
-the target recall, measured on sampled vectors and neighbours made at that cosine.  Vectors that share a cell are
+the target recall, measured on sampled vectors, with neighbours made at that cosine and with the links among them.  Vectors that share a cell are
 compared in double precision.  A pair that meets in several cells is counted in the first of its common cells, so all
 counts are exact for the pairs found, and the same from both sides.
 
@@ -10,12 +10,12 @@ Equal vectors are one class with a count from the start.  Cells above ``CELL`` m
 pair of blocks is a group of its own, so no task holds more than two blocks; nothing is capped.  Of the links within a
 group only counts and a spanning forest leave it.
 
-Codebooks are fitted on a bounded sample (``SAMPLE`` vectors by hash of the id) and have a fixed number of rows for a
+Codebooks are fitted on a bounded sample (``SAMPLE`` vectors by their hash) and have a fixed number of rows for a
 number of vectors; they alone go to all tasks.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing (n_links 0, own
-component, kept); vectors of different length do not link; equal ids are separate rows of one class by vector; other
-columns are ignored.
+component, kept); vectors of different length do not link; equal ids are separate rows of one class by vector; a null id
+links like others and names a component only if all its ids are null (its rows are then kept); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,11 +79,15 @@ def fit(sample: np.ndarray, vectors: int, cosine: float, recall: float) -> tuple
     noise -= (noise * x).sum(1)[:, None] * x
     norm = np.linalg.norm(noise, axis=1, keepdims=True)
     y = cosine * x + math.sqrt(1 - cosine**2) * noise / np.where(norm > 0, norm, 1)
+    # Pairs of the sample that are links, as vectors near one another need not differ in all directions alike.
+    i, j = np.nonzero(x @ sample.T >= cosine)
+    i, j = i[i != j], j[i != j]
+    some = rng.permutation(len(i))[:PROBES]
+    pairs = [(x, y), (x[i[some]], sample[j[some]])][: 2 if len(some) else 1]
     visits, most = 1, len(books[0]) * len(books[1])
     while visits < most:
-        a, b = traverse(x, books, visits), traverse(y, books, visits)
-        met = np.mean([bool(np.intersect1d(p, q, assume_unique=True).size) for p, q in zip(a, b, strict=True)])
-        if met >= recall:
+        met = [np.mean([bool(np.intersect1d(p, q, assume_unique=True).size) for p, q in zip(traverse(a, books, visits), traverse(b, books, visits), strict=True)]) for a, b in pairs]
+        if min(met) >= recall:
             break
         visits = min(most, max(visits + 1, visits * 5 // 4))
     return books, visits
@@ -111,7 +115,7 @@ def place(classes: DataFrame, books, visits: int, dim: int, kind: str) -> DataFr
             out["cell"] = cells.ravel()
             yield out
 
-    return classes.mapInPandas(run, "rep long, n long, vec binary, visits binary, cell int")
+    return classes.select("rep", "n", "vec").mapInPandas(run, "rep long, n long, vec binary, visits binary, cell int")
 
 
 def links(placed: DataFrame, dim: int, kind: str, cosine: float) -> DataFrame:
@@ -162,17 +166,18 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE
     good = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("embedding", lambda v: v != 0)
     rows = vectors.select("vec_id", F.when(good & finite, F.transform("embedding", lambda v: v + F.lit(0).cast("float" if kind == "<f4" else "double"))).alias("v"))
-    classes = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    classes = scratch.put(classes, "classes")
+    # Classes of equal vectors have numbers of their own, as ids may be null.
+    classes = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    classes = scratch.put(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"rep": b["rep"], "n": b["n"], "vec": [np.asarray(v, dtype=kind).tobytes() for v in b["v"]]})
+            yield pd.DataFrame({"rep": b["rep"], "n": b["n"], "least": b["least"], "vec": [np.asarray(v, dtype=kind).tobytes() for v in b["v"]]})
 
     found = []
     for dim, count in classes.groupBy(F.size("v").alias("d")).count().orderBy("d").collect():  # one row for each length of vector
-        own = classes.where(F.size("v") == dim).mapInPandas(pack, "rep long, n long, vec binary")
-        sample = own.select("vec", "rep").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toPandas()  # a bounded sample for the codebooks
+        own = classes.where(F.size("v") == dim).select("rep", "n", F.coalesce("least", F.lit(-1 << 63)).alias("least"), "v").mapInPandas(pack, "rep long, n long, least long, vec binary")
+        sample = own.select("vec", "least").orderBy(F.xxhash64("least"), "least", "vec").limit(SAMPLE).toPandas()  # a bounded sample for the codebooks
         unit = _unit(sample["vec"], dim, kind)
         if dim == 1:
             unit, own = np.hstack([unit, np.zeros_like(unit)]), own.withColumn("vec", F.expr(f"concat(vec, cast(repeat(chr(0), {int(kind[2])}) as binary))"))
@@ -185,14 +190,16 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE
         classes = classes.join(sums, "rep", "left").join(named, "rep", "left")
     else:
         classes = classes.withColumns({"sum": F.lit(0), "component": F.col("rep")})
-    facts = classes.select("v", (F.coalesce("sum", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    classes = classes.withColumn("component", F.coalesce("component", "rep"))
+    ids = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    facts = classes.join(ids, "component").select("v", (F.coalesce("sum", F.lit(0)) + F.col("n") - 1).alias("links"), F.col("component_id").alias("component"), F.lit(True).alias("linked"))
     # Rows of a class that holds a third of the table are dealt over salts, and its one fact row is repeated for each.
     salts = 16
     left = rows.withColumn("salt", F.when(F.col("v").isNotNull(), F.pmod(F.xxhash64("vec_id"), F.lit(salts))))
     right = facts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     out = left.join(right, ["v", "salt"], "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    component = F.when(F.col("linked"), F.col("component")).otherwise(F.col("vec_id"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

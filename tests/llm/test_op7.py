@@ -62,3 +62,13 @@ def test_recall_against_brute_force(spark):
     assert set(got) == set(want)
     assert sum(v[0] for v in got.values()) >= 0.95 * sum(v[0] for v in want.values())
     assert all(got[i][0] <= want[i][0] for i in got)
+
+
+def test_null_and_repeated_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.0, 0.1], [0.0, 1.0, 0.01, 0.1]
+    big = 9007199254740993
+    rows = [(None, a), (None, [1.0, 0.0, 0.01, 0.1]), (None, b), (big, c), (big + 2, b), (None, None), (7, None), (None, [0.0, 0.0, 1.0, 0.0]), (8, [0.0, -1.0, 0.0, 0.0]), (8, [0.0, -1.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, rep int")
+    got = sorted(map(tuple, op.near_duplicates(df, Scratch(spark)).collect()), key=repr)
+    want = [(None, 1, None, True), (None, 1, None, True), (None, 2, big, False), (big, 2, big, True), (big + 2, 2, big, False), (None, 0, None, True), (7, 0, 7, True), (None, 0, None, True), (8, 1, 8, True), (8, 1, 8, True)]
+    assert got == sorted(want, key=repr)

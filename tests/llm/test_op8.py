@@ -50,3 +50,11 @@ def test_query(spark):
     for r in source:
         want.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
     assert {c: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for c, r in rows.items()} == {c: brute(v) for c, v in want.items()}
+
+
+def test_null_and_large_ids(spark):
+    big = 9007199254740993
+    rows = [(big, 0, "user", "a"), (big, 1, "assistant", "b"), (None, 0, "user", "c"), (None, 1, "assistant", "d"), (big + 2, 0, "assistant", "e")]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, loss string, first_fresh int")
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in op.digests(op.windows(df)).collect()}
+    assert got == {c: brute([r[1:] for r in rows if r[0] == c]) for c in (big, None, big + 2)}
