@@ -5,9 +5,9 @@ throughout, and whether a class, id or role marks it as other matter, belong to
 length and the mean punctuation count of its blocks.  Both ratios are smoothed over the blocks in page order and fused to
 one score, which counts little for link paths and marked paths.  A heading has the score of the text that it heads.
 
-The scores choose the region: the article with the largest sum (else ``main``, else the smallest element that holds most
-of the page's sum).  Within it, paths whose score reaches a share of the region's mean are content, whatever their
-blocks' lengths.  Elements that never hold main text (menus, forms, scripts, footers ...), headers outside an article and
+The scores choose the region: the article with the largest sum and those that hold a fair share of its scored text (else ``main``, else the
+smallest element that holds most of the page's sum).  Within it, paths whose score reaches a share of the region's mean are content, whatever their
+blocks' lengths; a heading goes with the text that it heads.  Elements that never hold main text (menus, forms, scripts, footers ...), headers outside an article and
 articles within an article (reader comments) hold no blocks.
 
 Pages are independent: one map over batches, no shuffle; a page costs time and memory in proportion to its length, and
@@ -34,7 +34,7 @@ NAME = "op3_html_extraction"
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|iframe|noembed|noframes|textarea|title|xmp"
-NEVER = frozenset("head nav footer aside form dialog menu label fieldset object canvas audio video noscript template svg math select button datalist".split())
+NEVER = frozenset("head nav footer aside form dialog menu fieldset object canvas audio video noscript template svg select button datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td "
@@ -47,12 +47,12 @@ CLOSES = {"p": ({"p"}, BLOCK - {"p"}), "li": ({"li"}, {"ul", "ol", "menu"}), "dt
 # Whole names of classes, ids and roles that mark other matter than main text, and parts that may follow them.
 OTHER = re.compile(
     r"(?:ad|ads|advert|advertisement|adverts|banner|breadcrumb|breadcrumbs|comment|comments|cookie|cookies|consent|disqus|footer|login|masthead|menu|modal|nav|navbar|"
-    r"navigation|newsletter|notice|pagination|popup|promo|related|replies|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|toolbar|widget)"
+    r"navigation|newsletter|notice|pagination|popup|promo|promoted|promotion|related|replies|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|toolbar|widget)"
     r"(?:[_-](?:ad|ads|area|banner|bar|block|box|buttons|container|content|form|icons|inner|item|links|list|menu|notice|panel|posts|section|slot|text|thread|unit|widget|wrap|wrapper))*",
     re.I,
 )
-RULE, MOST = 0.05, 0.75  # share of the region's mean that a path must reach; share of the sum that the smallest element must hold
-LINKS, MARKED = 0.02, 0.02  # what link text, and marked elements, count for
+RULE, MOST = 0.02, 0.75  # share of the region's mean that a path must reach; share of the sum that the smallest element must hold
+LINKS, MARKED, PEER = 0.01, 0.01, 0.2  # what link text, and marked elements, count for; share of the best article's text, weighted by score, that another one must reach
 KERNEL = np.array([0.25, 0.5, 0.25])
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)", re.S | re.I)
@@ -175,22 +175,24 @@ def scores(found: list[Block]) -> tuple[np.ndarray, np.ndarray]:
     marks = np.array([len(_PUNCTUATION.findall(b.text)) for b in found], dtype=float)
     ratio = lambda x: np.convolve(np.pad((np.bincount(path, x, len(kinds)) / count)[path], 1, "edge"), KERNEL, "valid")
     fused = np.log1p(ratio(size)) * (1 + np.log1p(ratio(marks)))
+    fused *= np.where(linked, LINKS, 1.0) * np.where([b.at.marked for b in found], MARKED, 1.0)
     below = 0.0
-    for i in range(len(found) - 1, -1, -1):  # a heading has the score of what it heads
-        if found[i].heading:
+    for i in range(len(found) - 1, -1, -1):  # a heading has the score of what it heads, if that is more
+        if found[i].heading and not found[i].at.marked:
             fused[i] = max(fused[i], below)
         below = fused[i]
-    fused *= np.where(linked, LINKS, 1.0) * np.where([b.at.marked for b in found], MARKED, 1.0)
     return path, (np.bincount(path, fused, len(kinds)) / count)[path]
 
 
 def region(found: list[Block], score: np.ndarray, parent: list[int], tags: list[str]) -> np.ndarray:
-    """Which blocks lie in the region of the main text."""
+    """Which blocks lie in the region of the main text: the best article, or main, and those like it."""
+    size = np.array([len(b.text) for b in found], dtype=float)
     for of in ([b.at.article for b in found], [b.at.main for b in found]):
         which = np.array(of)
         if (which >= 0).any():
-            sums = np.bincount(which[which >= 0], score[which >= 0])
-            return which == int(sums.argmax())
+            held = which[which >= 0]
+            sums, mass = np.bincount(held, score[which >= 0]), np.bincount(held, (score * size)[which >= 0])
+            return np.isin(which, np.flatnonzero((mass >= PEER * mass[sums.argmax()]) & (mass > 0)))
     own = np.array([b.at.own for b in found])
     sums = np.bincount(own, score, len(parent))
     for i in range(len(parent) - 1, 0, -1):  # children come after their parents
@@ -215,8 +217,27 @@ def extract(page: str | None, rule: float = RULE) -> str:
     inside = region(found, score, parent, tags)
     size = np.array([len(b.text) for b in found], dtype=float) * inside
     least = rule * float((score * size).sum() / size.sum())
-    content = np.unique(path[inside & (score >= least)])
-    return "\n".join(found[i].text for i in np.flatnonzero(inside & np.isin(path, content)))
+    kept = inside & np.isin(path, np.unique(path[inside & (score >= least)]))
+    return "\n".join(found[i].text for i in np.flatnonzero(headed(found, tags, inside, kept)))
+
+
+def headed(found: list[Block], tags: list[str], inside: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """What is kept, without headings of whose text, up to the next heading of their rank, nothing is."""
+    out = kept.copy()
+    some, any_ = [False] * 8, [False] * 8  # whether text, and kept text, was met since the last heading of each rank, from the end
+    for i in range(len(found) - 1, -1, -1):
+        if not inside[i]:
+            continue
+        if found[i].heading:
+            rank = int(tags[found[i].at.own][1])
+            if some[rank] and not any_[rank]:
+                out[i] = False
+            for r in range(rank, 8):
+                some[r] = any_[r] = False
+        else:
+            some = [True] * 8
+            any_ = [x or bool(kept[i]) for x in any_]
+    return out
 
 
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:

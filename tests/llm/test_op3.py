@@ -93,3 +93,19 @@ def test_null_ids(spark):
     big = (1 << 60) + 1
     df = spark.createDataFrame([(None, "u", "<p>a</p>"), (big, None, None)], "page_id long, url string, html string")
     assert sorted(map(tuple, op.extract_pages(df).collect()), key=str) == [(big, None, "", 0), (None, "u", "a", 1)]
+
+
+def test_ratios_choose_what_stays():
+    p = "A long paragraph of the main text, with commas, and a full stop at its end. " * 3
+    page = lambda body: f"<html><body><nav><a href='/'>Home</a></nav><article><h1>Title</h1><p>{p}</p>{body}</article><footer>foot</footer></body></html>"
+    lines = lambda body: op.extract(page(body)).split("\n")[2:]
+    text = p.strip()
+    assert op.extract(page("")).split("\n") == ["Title", text]
+    assert lines("<dl><dt>term</dt><dd>v</dd></dl>") == ["term", "v"]
+    assert lines("<p>Give the <label>name</label> of <math><mi>x</mi></math>.</p>") == ["Give the name of x."]
+    assert lines("<div class='promoted-unit'>Buy it now, it is cheap.</div>") == []
+    assert lines("<h3>Links</h3><ul><li><a href='1'>One more page of ours</a></li><li><a href='2'>Another page of ours</a></li></ul>") == []
+    assert lines(f"<h2>Part</h2><h3>Sub</h3><p>{p}</p><h3>Links</h3><ul><li><a href='1'>One more page</a></li></ul>") == ["Part", "Sub", text]
+    assert lines("<h2>Left open</h2>") == ["Left open"]
+    two = f"<body><article><h2>One</h2><p>{p}{p}</p></article><article><h2>Two</h2><p>{p}</p></article><article><a href='x'>Read more of it</a></article></body>"
+    assert op.extract(two).split("\n") == ["One", f"{text} {text}", "Two", text]
