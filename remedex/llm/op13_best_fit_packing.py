@@ -26,6 +26,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -124,6 +125,40 @@ def chunk_encoder(path: str):
     return encode
 
 
+class _Numbers(dict):
+    """Numbers of chunks; one that is looked up for the first time gets the next, and is noted as new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
+
+
+class Chunks(Lexicon):
+    """The chunks that a Python worker knows. Each chunk of a text is looked up once, new ones are encoded after."""
+
+    def clear(self) -> None:
+        super().clear()
+        self.number = _Numbers()
+
+    def numbers(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the chunks of the split texts one after the other, and how many each text has."""
+        if len(self.number) > self.most:
+            self.clear()
+        sizes = np.array([len(x) for x in split], dtype=np.int64)
+        out = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(sizes.sum()))
+        if self.number.new:
+            flat, n = self.encode(self.number.new)
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(n)])
+            self.flat = np.concatenate([self.flat, flat])
+            self.number.new.clear()
+        return out, sizes
+
+
 def encoded(docs: DataFrame, path: str, end: int = END, tokens: int = TOKENS, ids: bool = False) -> DataFrame:
     """doc_id, row (a number of its own), first (tokens of a first piece below a full one), full (the number of full pieces)
     and the unsigned crc32 of each piece's ids; with ``ids`` the ids themselves."""
@@ -131,15 +166,13 @@ def encoded(docs: DataFrame, path: str, end: int = END, tokens: int = TOKENS, id
     names = ["doc_id", "row", "first", "full", "crcs", *(["ids"] if ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = kept(("chunks", path), lambda: Lexicon(chunk_encoder(path), KNOWN))
+        known = kept(("chunks", path), lambda: Chunks(chunk_encoder(path), KNOWN))
         for b in batches:
             texts = texts_of(b.column(2))
             for lo, hi in slices([len(t) for t in texts], 4 << 20):
                 split = chunks(texts[lo:hi])
-                known.add(set().union(*split))
-                sizes = np.array([len(x) for x in split])
-                number = known.number
-                flat, n = known.ids(np.fromiter((number[w] for x in split for w in x), dtype=np.int64, count=int(sizes.sum())))
+                numbers, sizes = known.numbers(split)
+                flat, n = known.ids(numbers)
                 at = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])]
                 flat = np.insert(flat, at[1:], end).astype("<u4")
                 at = at + np.arange(len(at))
