@@ -13,10 +13,10 @@ from remedex.functions import labels
 from remedex.functions import text as t
 
 # Words of an instruction that name no compound.
-NOT_A_COMPOUND = tuple(
-    "against between binding affinity library this that these those using via from into onto out over please also then next some any all both "
-    "dock docking screen screening find show with for and the targets target".split()
-)
+NOT_A_COMPOUND = (
+    "against", "between", "binding", "affinity", "library", "this", "that", "these", "those", "using", "via", "from", "into", "onto", "out", "over", "please", "also", "then",
+    "next", "some", "any", "all", "both", "dock", "docking", "screen", "screening", "find", "show", "with", "for", "and", "the", "targets", "target",
+)
 
 
 def expanded(triples: DataFrame, node: str, limit: int = 60) -> DataFrame:
@@ -66,8 +66,12 @@ def evidence(articles: DataFrame, candidates: DataFrame, context: Sequence[str])
     """
     text = F.coalesce("text", F.lit(""))
     near = reduce(lambda a, b: a | b, [mentions(text, F.lit(c)) for c in context], F.lit(not context))
-    seen = articles.select(text.alias("text"), near.alias("near"))
-    hits = seen.join(F.broadcast(candidates.select("name")), mentions(F.col("text"), F.col("name")))  # a stated list against all rows
+    # A name and a text meet by the first letters of the name's first word; only then the whole name is looked for.
+    names = candidates.select("name").distinct().withColumn("start", F.substring(F.regexp_extract(F.lower("name"), r"^\w*", 0), 1, 3))
+    words = F.array_distinct(F.concat(F.regexp_extract_all(F.lower(text), F.lit(r"\w+"), 0), F.array(F.lit(""))))
+    starts = F.array_distinct(F.flatten(F.array(*[F.transform(words, lambda w, n=n: F.substring(w, 1, n)) for n in (1, 2, 3)])))
+    seen = articles.select(text.alias("text"), near.alias("near"), F.explode(starts).alias("start"))
+    hits = seen.join(names, "start").where(mentions(F.col("text"), F.col("name")))
     n = hits.groupBy("name").agg(F.count("*").alias("articles"), F.count_if("near").alias("validated"))
     out = candidates.select("name").join(n, "name", "left").na.fill(0)
     return out.withColumn("strength", F.when(F.col("validated") > 0, "evidence-backed").otherwise("score-only"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from remedex.operators.walks import converged
 from remedex.sources.settle import settled
 
 
@@ -40,11 +41,6 @@ def layered_weights(edges: DataFrame, kind, jump: float = 0.5) -> DataFrame:
     return e.select("src", "dst", "kd").join(layer.select("src", "kd", w.alias("w")), ["src", "kd"]).select("src", "dst", "w")
 
 
-def by_source(weights: DataFrame) -> DataFrame:
-    """Weights dealt and sorted by source once and kept so, for a walk's steps to join without moving or sorting them again."""
-    return settled(weights).repartition("src").sortWithinPartitions("src").persist()
-
-
 def walk(weights: DataFrame, seeds: DataFrame, steps: int, restart: float = 0.3, normalise: bool = True) -> DataFrame:
     """id, p after some steps of the walk from the seeds (id, p). ``seed`` as a further column walks many at once."""
     by = [c for c in seeds.columns if c not in ("id", "p")]
@@ -59,26 +55,6 @@ def walk(weights: DataFrame, seeds: DataFrame, steps: int, restart: float = 0.3,
     return p
 
 
-def converged(weights: DataFrame, seeds: DataFrame, restart: float = 0.3, tolerance: float = 1e-10, most: int = 100, every: int = 8) -> DataFrame:
-    """id, p of the walk from the seeds (as for ``walk``) when the L1 change of a step is below the tolerance for every
-    seed, or after ``most`` steps. The frame is written, and the change tested, every few steps."""
-    by = [c for c in seeds.columns if c not in ("id", "p")]
-    start = seeds.select(*by, "id", (F.col("p") * restart).alias("p"))
-    p, done, change = seeds, 0, math.inf
-    while done < most and change >= tolerance:
-        n = min(every, most - done)
-        for i in range(n):
-            last = p
-            moved = p.withColumnRenamed("id", "src").join(weights, "src").select(*by, F.col("dst").alias("id"), (F.col("p") * F.col("w") * (1 - restart)).alias("p"))
-            p = moved.unionByName(start).groupBy(*by, "id").agg(F.sum("p").alias("p"))
-            if i == n - 2:
-                p = settled(p)  # both sides of the change read it
-        p, done = settled(p), done + n
-        moves = p.unionByName(last.withColumn("p", -F.col("p"))).groupBy(*by, "id").agg(F.abs(F.sum("p")).alias("d"))
-        change = moves.groupBy(*by).agg(F.sum("d").alias("d")).agg(F.max("d")).first()[0] or 0.0
-    return p
-
-
 def degree_matched(degrees: DataFrame, n_samples: int = 100) -> DataFrame:
     """Nodes (id) drawn by hash, a fourth of the number from each quartile of the degree, or all that it has."""
     x = F.log1p(F.col("degree"))

@@ -84,7 +84,7 @@ def drivers(norms: DataFrame, top: int = 3) -> DataFrame:
 def weights_by_alias(given: DataFrame, aliases: DataFrame) -> DataFrame:
     """criterion, weight and problem of a table of weights whose names are matched by letters and digits only."""
     key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    known = aliases.select(key("alias").alias("_k"), "criterion").dropDuplicates(["_k"])
+    known = aliases.groupBy(key("alias").alias("_k")).agg(F.min("criterion").alias("criterion"))
     out = given.withColumn("_k", key("name")).join(known, "_k", "left")
     problem = F.when(F.col("criterion").isNull(), "unknown").when(F.col("weight") < 0, "negative")
     return out.select("name", "criterion", "weight", problem.alias("problem"))
@@ -119,8 +119,10 @@ def best_potency(rows: DataFrame, molecule: str, value: str, units: str) -> Data
 
 
 def universe(molecules: DataFrame, phase: str, id_: str, least: float, limit: int) -> DataFrame:
-    """The furthest developed molecules of a phase or more."""
-    return molecules.where(F.col(phase) >= least).dropDuplicates([id_]).orderBy(F.col(phase).desc(), id_).limit(limit)
+    """The furthest developed molecules of a phase or more; of a molecule's rows the furthest, and of equal ones the least."""
+    order = W.partitionBy(id_).orderBy(F.col(phase).desc(), *[c for c in molecules.columns if c not in (id_, phase)])
+    first = molecules.where(F.col(phase) >= least).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return first.orderBy(F.col(phase).desc(), id_).limit(limit)
 
 
 def descendants(parents: DataFrame, roots: DataFrame, depth: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from remedex.operators import graph as g
 from remedex.operators.paths import best_paths
+from remedex.operators.walks import converged
 from remedex.plans import query
 from remedex.sources.settle import settled
 from remedex.sources.tables import table
@@ -88,7 +89,7 @@ pw AS (SELECT id, p FROM walk WHERE step = 100)"""
 def scores(spark, d, e=None) -> DataFrame:
     """id, p of the walk from the seed when a step changes less than 1e-10, or after 100 steps."""
     seeds = spark.createDataFrame([(SEED, 1.0)], "id string, p double")
-    return g.converged(g.by_source(g.layered_weights(edges(spark, d) if e is None else e, KIND)), seeds)
+    return converged(g.layered_weights(edges(spark, d) if e is None else e, KIND), seeds)
 
 
 @query("kg_random_walk_topk", f"WITH RECURSIVE {EDGES}, {WEIGHTS}, {WALK} SELECT id, round(p, 10) AS p FROM pw WHERE id LIKE 'P%' ORDER BY round(p, 10) DESC, id LIMIT 50")
@@ -246,5 +247,5 @@ def kg_two_hop_metapaths(spark, d):
 def kg_null_model_zscore(spark, d):
     """Mean and deviation of the scores over degree-matched seeds, walked together, and z of the seed's own scores."""
     e = edges(spark, d)
-    w = g.by_source(g.layered_weights(e, KIND))
+    w = settled(g.layered_weights(e, KIND))
     return g.null_zscore(w, SEED, g.degree_matched(g.degree(e).where(KIND(F.col("id")) == "N")))

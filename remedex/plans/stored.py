@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from remedex.operators import graph as g
 from remedex.operators import advice
+from remedex.operators.walks import converged
 from remedex.plans import graph as base
 from remedex.plans import query
 from remedex.sources import flat, nested
@@ -30,13 +31,8 @@ def kg_cached_scores(spark, d):
     """A request for two seeds, then one for three: the second walks only from the third (``number`` is the request)."""
     e = settled(base.edges(spark, d))
     cache, version = ScoreCache(spark, new_folder(spark)), graph_version(e, restart=0.3, jump=0.5)
-    weights = []
-
-    def compute(seeds):
-        if not weights:
-            weights.append(g.by_source(g.layered_weights(e, base.KIND)))
-        return g.converged(weights[0], seeds)
-
+    weights = settled(g.layered_weights(e, base.KIND))
+    compute = lambda seeds: converged(weights, seeds)
     cache.scores(version, _FIRST, compute)
     found = cache.scores(version, _SECOND, compute).where(base.KIND(F.col("id")) == "P").withColumn("p", F.round("p", 9))
     rank = F.row_number().over(W.partitionBy("seed").orderBy(F.col("p").desc(), "id"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from remedex.sources.settle import settled
+
 MANIFEST = "run_id string, status string, combinations long, proteins array<struct<protein_name: string>>, _broken string"
 
 
@@ -28,9 +31,18 @@ def append_json(df: DataFrame, path: str) -> None:
 
 
 def overwrite_rows(df: DataFrame, path: str, placeholder: DataFrame | None = None) -> None:
-    """Write a table anew; if there are no rows, the placeholder's."""
-    out = placeholder if placeholder is not None and df.isEmpty() else df
-    out.write.mode("overwrite").option("mergeSchema", "true").parquet(path)
+    """Write a table anew; if there are no rows, the placeholder's. The rows are computed once, before the old ones go."""
+    out = settled(df)
+    (placeholder if placeholder is not None and out.isEmpty() else out).write.mode("overwrite").parquet(path)
+
+
+def update_json(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Replace the rows of the same keys in a folder of JSON lines, and add the others."""
+    try:
+        old = settled(df.sparkSession.read.schema(df.schema).json(path).join(df.select(*keys), keys, "left_anti"))
+    except AnalysisException:  # nothing was written yet
+        old = df.limit(0)
+    old.unionByName(df).write.mode("overwrite").json(path)
 
 
 def flattened(df: DataFrame, sep: str = "_") -> DataFrame:
@@ -60,7 +72,13 @@ def flat_entries(df: DataFrame, sep: str = "_") -> DataFrame:
         return F.array(F.struct(path.alias("key"), value.cast("string").alias("value")))
 
     every = [entries(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name)) for f in df.schema.fields]
-    return df.withColumn("flat", F.map_from_entries(F.concat(*every)))
+    return df.withColumn("flat", F.map_from_entries(_first_of_key(F.concat(*every))))
+
+
+def _first_of_key(entries: Column) -> Column:
+    """Entries of which ``a.b`` and ``a_b`` may have the same key: the first stays."""
+    keys = F.transform(entries, lambda e: e["key"])
+    return F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
 
 
 def materialised(spark: SparkSession, path: str, tables: dict[str, Callable[..., DataFrame]]) -> dict[str, DataFrame]:

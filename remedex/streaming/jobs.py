@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from remedex.operators.app import STATES
+from remedex.sources.settle import delete, settled
 
 
 def read_events(spark: SparkSession, path: str, schema, files: int = 100) -> DataFrame:
@@ -39,14 +40,38 @@ def to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
     return df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_to(df: DataFrame, keys: list[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the rows of an ``update`` stream as a table of one row a key: every batch writes the next version of the
-    table, so a batch that is run again gives the same version."""
+def upsert_to(df: DataFrame, keys: list[str], path: str, checkpoint: str, folders: int = 32) -> StreamingQuery:
+    """Keep the rows of an ``update`` stream as a table of one row a key, read by ``read_upserted``.
+
+    Rows lie in folders by the hash of their keys. A batch writes anew the folders that its keys touch, then the list of the current
+    version of every folder, and drops folders that neither this list nor the one before names; so a batch that is run again
+    gives the same table, and its cost grows with the folders touched.
+    """
 
     def merge(batch: DataFrame, n: int) -> None:
-        if n:
-            old = batch.sparkSession.read.parquet(f"{path}/v{n - 1}")
-            batch = batch.unionByName(old.join(batch, keys, "left_anti"))
-        batch.write.mode("overwrite").parquet(f"{path}/v{n}")
+        spark = batch.sparkSession
+        versions = _versions(spark, path, n - 1) if n else {}
+        placed = settled(batch.withColumn("_folder", F.pmod(F.xxhash64(*keys), F.lit(folders)).cast("int")))
+        touched = [r["_folder"] for r in placed.select("_folder").distinct().collect()]  # at most one for each folder
+        old = [f"{path}/data/v{versions[f]}/_folder={f}" for f in touched if f in versions]
+        if old:
+            kept = spark.read.schema(batch.schema).parquet(*old)
+            kept = kept.withColumn("_folder", F.pmod(F.xxhash64(*keys), F.lit(folders)).cast("int"))
+            placed = placed.unionByName(kept.join(placed.select(*keys), keys, "left_anti"))
+        placed.repartition("_folder").write.mode("overwrite").partitionBy("_folder").parquet(f"{path}/data/v{n}")
+        now = versions | dict.fromkeys(touched, n)
+        spark.createDataFrame(sorted(now.items()), "folder int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/state/v{n}")
+        for f, v in (_versions(spark, path, n - 2) if n > 1 else {}).items():
+            if versions.get(f) != v:  # the batch before this one has replaced it, and cannot run again
+                delete(spark, f"{path}/data/v{v}/_folder={f}")
 
     return df.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _versions(spark: SparkSession, path: str, n: int) -> dict[int, int]:
+    return {r["folder"]: r["version"] for r in spark.read.parquet(f"{path}/state/v{n}").collect()}  # one row for each folder
+
+
+def read_upserted(spark: SparkSession, path: str, batch: int) -> DataFrame:
+    """The table of ``upsert_to`` after a batch."""
+    return spark.read.parquet(*[f"{path}/data/v{v}/_folder={f}" for f, v in sorted(_versions(spark, path, batch).items())])

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from remedex.operators import graph
+from remedex.operators.walks import converged
 
 
 def brute(edges, seed, restart):
@@ -35,6 +36,17 @@ def test_zscores_equal_brute_force(spark):
         assert got[i].z == pytest.approx((p - at.mean()) / max(at.std(), 1e-15), rel=1e-5)
 
 
+def test_hubs_are_split_and_walks_kept_apart(spark):
+    edges = [x for i in range(40) for x in (("hub", f"l{i}"), (f"l{i}", "hub"))] + [x for i in range(39) for x in ((f"l{i}", f"l{i + 1}"), (f"l{i + 1}", f"l{i}"))]
+    w = spark.createDataFrame([(a, b, 1 / sum(x == a for x, _ in edges)) for a, b in edges], "src string, dst string, w double")
+    seeds = spark.createDataFrame([("one", "hub", 1.0), ("two", "l7", 1.0), ("lost", "nowhere", 1.0)], "walk string, id string, p double")
+    for hub in (7, 1 << 20):
+        got = {(r.walk, r.id): r.p for r in converged(w, seeds, hub=hub).collect()}
+        want = {("one", i): p for i, p in brute(edges, "hub", 0.3).items()} | {("two", i): p for i, p in brute(edges, "l7", 0.3).items()}
+        assert set(got) == {*want, ("lost", "nowhere")} and got["lost", "nowhere"] == pytest.approx(0.3)
+        assert all(got[k] == pytest.approx(p, abs=1e-9) for k, p in want.items())
+
+
 def test_seeds_are_drawn_from_every_degree_quartile(spark):
     df = spark.createDataFrame([(f"d{i}", i) for i in range(200)], "id string, degree long")
     got = [int(r.id[1:]) for r in graph.degree_matched(df).collect()]

@@ -33,5 +33,23 @@ def test_latest_states_as_a_table(spark, write_table, tmp_path):
     status = F.when(F.col("event_type") == "purchase", "completed").otherwise("running")
     q = jobs.upsert_to(jobs.latest_states(stream, "user_id", status), ["user_id"], f"{tmp_path}/t", f"{tmp_path}/ck")
     q.awaitTermination(120)
-    got = {r["user_id"]: r["status"] for r in spark.read.parquet(f"{tmp_path}/t/v0").collect()}
+    got = {r["user_id"]: r["status"] for r in jobs.read_upserted(spark, f"{tmp_path}/t", 0).collect()}
     assert got == {0: "completed", 1: "running", 2: "completed"}
+
+
+def test_later_batches_write_the_folders_they_touch(spark, tmp_path):
+    """Batches of one file each: the last row of every key, untouched folders keep their version, replaced ones go."""
+    import os
+
+    want = {}
+    for n, keys in enumerate((range(60), range(3), range(1, 5), range(60, 63))):
+        spark.createDataFrame([(k, f"{n}-{k}") for k in keys], "k long, v string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        want |= {k: f"{n}-{k}" for k in keys}
+        stream = spark.readStream.schema("k long, v string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        jobs.upsert_to(stream, ["k"], f"{tmp_path}/t", f"{tmp_path}/ck", folders=8).awaitTermination(120)
+        assert {r.k: r.v for r in jobs.read_upserted(spark, f"{tmp_path}/t", n).collect()} == want
+    versions = jobs._versions(spark, f"{tmp_path}/t", 3)
+    assert 0 in versions.values() and len(set(versions.values())) > 1
+    kept = {(int(v[1:]), int(f.split("=")[1])) for v in os.listdir(f"{tmp_path}/t/data") if v[0] == "v" for f in os.listdir(f"{tmp_path}/t/data/{v}") if "=" in f}
+    now, before = ({(v, f) for f, v in jobs._versions(spark, f"{tmp_path}/t", n).items()} for n in (3, 2))
+    assert now <= kept <= now | before
