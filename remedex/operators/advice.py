@@ -69,7 +69,8 @@ def evidence(articles: DataFrame, candidates: DataFrame, context: Sequence[str])
     # A name and a text meet by the first letters of the name's first word; only then the whole name is looked for.
     names = candidates.select("name").distinct().withColumn("start", F.substring(F.regexp_extract(F.lower("name"), r"^\w*", 0), 1, 3))
     words = F.array_distinct(F.concat(F.regexp_extract_all(F.lower(text), F.lit(r"\w+"), 0), F.array(F.lit(""))))
-    starts = F.array_distinct(F.flatten(F.array(*[F.transform(words, lambda w, n=n: F.substring(w, 1, n)) for n in (1, 2, 3)])))
+    short = lambda n: F.transform(words, lambda w: F.substring(w, 1, n))
+    starts = F.array_distinct(F.concat(short(1), short(2), short(3)))
     seen = articles.select(text.alias("text"), near.alias("near"), F.explode(starts).alias("start"))
     hits = seen.join(names, "start").where(mentions(F.col("text"), F.col("name")))
     n = hits.groupBy("name").agg(F.count("*").alias("articles"), F.count_if("near").alias("validated"))
