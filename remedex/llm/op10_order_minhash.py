@@ -10,15 +10,15 @@ k-mers in the same order, so agreement falls with edits and with moved parts.
 3. The texts of a candidate group meet in blocks.  The size of the common k-mers of all pairs of a block comes from a
    matrix product; pairs whose k-mers resemble each other by ``RESEMBLE`` and are not yet joined are aligned word by word: with
    m words in the longest common subsequence of n1 and n2 words, m / (n1 + n2 - m) must reach 0.8.  Words further apart than
-   the band that the threshold allows cannot be in it.  The chain of common k-mers gives most of it at once; only where that
+   the band that the threshold allows cannot be in it, and pairs without enough words in common, in any order, are not aligned.  The chain of common k-mers gives most of it at once; only where that
    is not enough, the words between are aligned exactly, by bit vectors.
 
 A group is split into blocks by bytes and by rows and every pair of blocks is a task's group of its own, so no task
 holds more than two blocks and nothing is capped; only a spanning forest of the links leaves a block.
 
 An entry of two texts agrees with the square of their k-mers' resemblance.  At a resemblance of 0.5 a pair misses all ``KEYS``
-keys in about 1 of 100 cases and falls below ``AGREE`` of ``ENTRIES`` entries in about 3; with one word in twenty replaced
-(0.63) both are below 1 in 1,000.
+keys in about 1 of 100 cases and falls below ``AGREE`` of ``ENTRIES`` entries in about 19; with one word in twenty replaced
+(0.63) the first is below 1 in 1,000 and the second about 1 in 1,000.
 
 Defined cases: a null text counts as empty; texts of fewer than five words have one k-mer of all their words; texts
 without words are joined by equality only; rows of equal doc_id and text are one document, rows of one doc_id with different
@@ -41,7 +41,7 @@ from remedex.llm.common import STEP, ByteHash, Scratch, concat, gather, groups,
 from remedex.llm.components import components
 
 NAME = "op10_order_minhash"
-K, ENTRIES, KEYS, AGREE, SIMILARITY = 5, 64, 16, 10, 0.8
+K, ENTRIES, KEYS, AGREE, SIMILARITY = 5, 64, 16, 13, 0.8
 RESEMBLE = 0.5  # of the k-mers, for texts that may reach the similarity
 BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 _ODD = np.random.default_rng(10).integers(1 << 31, 1 << 32, ENTRIES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -258,19 +258,32 @@ def common_sizes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def links(texts: DataFrame) -> DataFrame:
+def _enough_words(near: np.ndarray, texts: list[bytes], n: np.ndarray) -> np.ndarray:
+    """Which pairs have as many words in common, whatever their order, as the similarity needs. Texts that share a long
+    passage only do not, so they are not aligned."""
+    some = np.flatnonzero(near.any(axis=0) | near.any(axis=1))
+    out = np.zeros_like(near)
+    if len(some):
+        h, at, _, _ = kmers([texts[i] for i in some], 1)
+        out[np.ix_(some, some)] = common_sizes(h, at) >= SIMILARITY / (1 + SIMILARITY) * (n[some][:, None] + n[some]) - 1e-3
+    return out
+
+
+def links(rows: DataFrame) -> DataFrame:
     """a, b: a spanning forest of the pairs that reach the similarity, from rows (cluster, lo, hi, block, doc_id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple[int, int]] = []
         for g in groups(batches, ["cluster", "lo", "hi"]):
             ids, block = g["doc_id"].to_numpy(), g["block"].to_numpy()
-            h, at, words, word_at = kmers([t.encode(errors="surrogatepass") for t in g["text"]])
+            texts = [t.encode(errors="surrogatepass") for t in g["text"]]
+            h, at, words, word_at = kmers(texts)
             size = np.diff(at).astype(np.float32)
             both = common_sizes(h, at)
             near = (both > 0) & (both >= RESEMBLE * (size[:, None] + size - both) - 1e-3)
             lo, hi = g["lo"].iloc[0], g["hi"].iloc[0]
             near &= (block == lo)[:, None] & (block == hi)
+            near &= _enough_words(near, texts, np.diff(word_at))
             if lo == hi:
                 near = np.triu(near, 1)
             i, j = np.nonzero(near)
@@ -285,7 +298,7 @@ def links(texts: DataFrame) -> DataFrame:
                 out = []
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return gather(texts, ["cluster", "lo", "hi"]).mapInPandas(run, "a long, b long")
+    return gather(rows, ["cluster", "lo", "hi"]).mapInPandas(run, "a long, b long")
 
 
 def _classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
