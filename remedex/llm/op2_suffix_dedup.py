@@ -18,7 +18,8 @@ the rows costs one row for each task.  A gram with more than ``HOT`` classes is
 dealt by their own hash and the equal ones are met in order, as a stream.  What a task sorts at once is bounded by
 ``STRINGS``.
 
-Order is by (doc_id, start).  Hashes of grams and of ranges are two independent 64-bit values that must both agree.
+Order is by (doc_id, start).  Hashes of grams and of ranges are 64-bit values that must both agree.  Both are polynomials modulo
+2 ** 64 behind a finaliser; the strings that such polynomials are known to confuse have 1,024 bytes and more, ranges below 230.
 
 Defined cases: a null text is empty; texts below ``LENGTH`` bytes stay whole; rows of one doc_id are copies of one
 document, which do not remove each other, and all lose the ranges found for it, as far as they reach (if their texts
