@@ -1,6 +1,10 @@
 """From raw documents to token digests in five stages; each reads what the stage before it wrote.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+
+Defined cases: a null text has no words and goes with the quality rules; documents of null, equal or very large ids are kept like
+others, equal ones in id and text once; further columns stay, whatever their names, up to the last stage; ties go by the rules of
+each operator; an empty table gives no rows.
 """
 
 from __future__ import annotations
