@@ -58,3 +58,29 @@ def test_mix_and_digests(stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert Counter(corpus_pipeline.run(spark, D).collect()) == Counter(stages["byte_bpe"])
+
+
+def test_null_ids_and_clashing_columns_pass_all_stages(spark, tmp_path):
+    """Clean documents stay through the filters, whatever their ids and further columns; an empty table gives no rows."""
+    good = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    kept = {r.doc_id for r in op5_quality_rules.query(spark, "/root/testdata/sf0.01").where("kept").collect()}
+    texts = [r for r in good if r.doc_id in kept][:12]
+    big = 9007199254740993
+    ids = [big, big + 2, None, None, 5, 5, *range(100, 106)]
+    rows = [(i, r.text, r.lang, r.source, r.n_chars, k, "x", None) for k, (i, r) in enumerate(zip(ids, texts, strict=True))]
+    rows.append((7, None, "en", None, 0, 12, "x", None))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, tie int, same string, parts int"
+    for n, given in enumerate((rows, [])):
+        docs = spark.createDataFrame(given, schema)
+        for name, f in corpus_pipeline.STAGES:
+            made = f(spark, docs, "")
+            assert name == "byte_bpe" or made.columns == docs.columns
+            made.write.parquet(f"{tmp_path}/{n}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{n}-{name}")
+            if name in ("quality_rules", "near_dedup", "suffix_dedup"):
+                found = {(r.doc_id, r.tie) for r in docs.collect()}
+                whole = {(r[0], r[5]) for r in given if r[1] is not None}
+                # Near copies among the chosen documents leave one of each class.
+                assert found == whole if name == "quality_rules" else found <= whole and {i for i, _ in found} >= {big, big + 2, None, 5} & {i for i, _ in whole}
+        if not given:
+            assert docs.count() == 0
