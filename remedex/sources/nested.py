@@ -10,7 +10,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remedex.functions.labels import effect_key
 from remedex.operators.compile import code_levels, interaction_effects
 
 _POLY = "polypeptide: struct<_source: string, _id: string, `external-identifiers`: struct<`external-identifier`: array<struct<resource: string, identifier: string>>>>"
