@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from remedex.sources.settle import shared_folder
+
 #: White space that separates words: space, tab, newline, vertical tab, form feed, carriage return.
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Odd multipliers of the polynomial hashes, and the constants of a 64-bit finaliser.
@@ -22,17 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a local session may go without and gets its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="remedex-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 class Scratch:
     """Tables written below the shared folder, to cut lineage and to be read more than once.
 
@@ -43,7 +32,7 @@ class Scratch:
     made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.path = spark, f"{scratch_root(spark)}/t-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
         if not Scratch.made:
             atexit.register(Scratch.clear)
         Scratch.made.append(self)
