@@ -68,11 +68,12 @@ def evidence(articles: DataFrame, candidates: DataFrame, context: Sequence[str])
     near = reduce(lambda a, b: a | b, [mentions(text, F.lit(c)) for c in context], F.lit(not context))
     # A name and a text meet by the first letters of the name's first word; only then the whole name is looked for.
     names = candidates.select("name").distinct().withColumn("start", F.substring(F.regexp_extract(F.lower("name"), r"^\w*", 0), 1, 3))
-    words = F.array_distinct(F.concat(F.regexp_extract_all(F.lower(text), F.lit(r"\w+"), 0), F.array(F.lit(""))))
-    short = lambda n: F.transform(words, lambda w: F.substring(w, 1, n))
-    starts = F.array_distinct(F.concat(short(1), short(2), short(3)))
-    seen = articles.select(text.alias("text"), near.alias("near"), F.explode(starts).alias("start"))
-    hits = seen.join(names, "start").where(mentions(F.col("text"), F.col("name")))
+    first = F.array_distinct(F.concat(F.regexp_extract_all(F.lower(text), F.lit(r"(?<!\w)\w{1,3}"), 0), F.array(F.lit(""))))
+    short = lambda n: F.transform("first", lambda w: F.substring(w, 1, n))
+    starts = F.array_distinct(F.concat("first", short(1), short(2)))
+    seen = articles.select(text.alias("text"), near.alias("near"), first.alias("first")).select("text", "near", F.explode(starts).alias("start"))
+    # The list is short, so it goes to the texts; dealt by start, each text would be written once for every start it has.
+    hits = seen.join(F.broadcast(names), "start").where(mentions(F.col("text"), F.col("name")))
     n = hits.groupBy("name").agg(F.count("*").alias("articles"), F.count_if("near").alias("validated"))
     out = candidates.select("name").join(n, "name", "left").na.fill(0)
     return out.withColumn("strength", F.when(F.col("validated") > 0, "evidence-backed").otherwise("score-only"))
