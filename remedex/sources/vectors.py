@@ -3,7 +3,7 @@
 Upserts and evictions write anew the cells that they touch and no others; the manifest names the current batch of each cell, its
 size, and the widest angle of its rows from the codeword.  A search probes the cells nearest to the query first.  By the angles, no row of
 a cell can be nearer than a bound; cells whose bound reaches the k-th score found are probed after, so the result is exact
-however few cells were probed at first.
+however few cells were probed at first.  Cells and queries are dealt to blocks of bounded size; a pair of blocks is one product of matrices.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from remedex.sources.batches import Batches
 
 SAMPLE = 20_000  # vectors that a codebook is fitted on, by hash of the id
+ROWS, QUERIES = 1 << 19, 1 << 17  # numbers of a block of rows, and of one of queries; each holds about so many
 
 
 def codebook(vectors: DataFrame, cells: int, seed: int = 1) -> np.ndarray:
@@ -142,21 +143,64 @@ class VectorStore:
             pairs = asked.crossJoin(F.broadcast(book)).select("query", "q", "cell", off.alias("off"), bound.alias("bound"))  # a stated query set against the codebook
             order = F.row_number().over(W.partitionBy("query").orderBy("off", "cell"))
             pairs = steps.put(pairs.withColumn("n", order))
-            first = steps.put(self._scored(pairs.where(F.col("n") <= probes), top, weight, where))
+            n = asked.count()
+            first = steps.put(self._scored(pairs.where(F.col("n") <= probes).withColumn("floor", F.lit(None).cast("double")), top, weight, where, n))
             floor = first.where(F.col("rank") == top).select("query", F.col("score").alias("floor"))
             rest = pairs.where(F.col("n") > probes).join(floor, "query", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor")))
-            more = self._scored(rest, top, weight, where)
-            return settled(_best(first.drop("rank").unionByName(more.drop("rank")), top))
+            more = self._scored(rest, top, weight, where, n)
+            found = steps.put(_best(first.drop("rank").unionByName(more.drop("rank")), top))
+            rows = self.rows().select("id", "owner", "section", "payload")
+            return settled(found.join(rows, "id").select("query", "id", "owner", "section", "payload", "score", "rank"))
 
-    def _scored(self, pairs: DataFrame, top: int, weight: Column | None, where: Column | None) -> DataFrame:
+    def _scored(self, pairs: DataFrame, top: int, weight: Column | None, where: Column | None, asked: int) -> DataFrame:
+        """query, id, score, rank: the best rows of the cells that each query is paired with (query, q, cell, floor)."""
         cells = sorted(r["cell"] for r in pairs.select("cell").distinct().collect())  # at most one row for each cell
         rows = self.rows(cells)
         if where is not None:
             rows = rows.where(where)
-        rows = rows.withColumn("unit", _unit(F.col("vector")))
-        met = pairs.select("query", "q", "cell").join(rows, "cell")
-        score = _dot(F.col("q"), F.col("unit")) * (weight if weight is not None else F.lit(1.0))
-        return _best(met.select("query", "id", "owner", "section", "payload", score.alias("score")), top)
+        dims = self.words.shape[1]
+        sizes = [(r["cell"], -(-r["rows"] * dims // ROWS)) for r in self.cells().collect()]  # one row for each cell
+        blocks = F.broadcast(self.spark.createDataFrame(sizes, "cell int, blocks long"))
+        parts = max(1, -(-asked * dims // QUERIES))
+        part = lambda key, n: F.pmod(F.xxhash64(key), n)
+        weight = F.lit(1.0) if weight is None else weight
+        left = pairs.where(F.size("q") == dims).join(blocks, "cell").select("query", "q", "floor", "cell", part("query", F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        right = rows.join(blocks, "cell").select("id", _unit(F.col("vector")).alias("unit"), weight.cast("double").alias("weight"), "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), part("id", F.col("blocks")).alias("block"))
+        kind = pairs.schema["query"].dataType.simpleString()
+
+        def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+            found = [] if q.empty or r.empty else [best_of(i, f, x, r["id"].to_numpy(), rows, w, top) for i, f, x, rows, w in _blocks(q, r)]
+            return pd.concat(found) if found else pd.DataFrame({"query": q["query"].iloc[:0], "id": [], "score": []})
+
+        by = ["cell", "part", "block"]
+        return _best(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(best, f"query {kind}, id string, score double"), top)
+
+
+def _blocks(q: pd.DataFrame, r: pd.DataFrame) -> Iterator[tuple]:
+    """Runs of queries, each with all rows of the block."""
+    rows, weight = np.array(r["unit"].tolist(), dtype=float), r["weight"].to_numpy(float)
+    for at in range(0, len(q), 256):
+        some = q.iloc[at : at + 256]
+        yield some["query"], some["floor"].fillna(-np.inf).to_numpy(float), np.array(some["q"].tolist(), dtype=float), rows, weight
+
+
+def best_of(queries: pd.Series, floor: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, weight: np.ndarray, top: int) -> pd.DataFrame:
+    """query, id, score: the ``top`` rows of each query from its floor on, by score (NaN first) and then id.
+
+    The product of the matrices only says which rows may be among them. Their scores are then added up in the order of the components, so
+    equal vectors have equal scores in any block.
+    """
+    near = q @ rows.T * weight
+    near[np.isnan(near)] = np.inf
+    least = floor if len(ids) <= top else np.maximum(floor, np.partition(near, len(ids) - top, axis=1)[:, len(ids) - top])
+    found = []
+    for i in range(len(q)):
+        own = np.flatnonzero(near[i] >= least[i] - 1e-9 * max(1.0, abs(least[i]) if np.isfinite(least[i]) else 1.0))
+        score = np.add.accumulate(rows[own] * q[i], axis=1)[:, -1] * weight[own]
+        high = np.where(np.isnan(score), np.inf, score)
+        first = [k for k in np.lexsort((ids[own].astype(str), -high))[:top] if high[k] >= floor[i]]
+        found.append(pd.DataFrame({"query": [queries.iloc[i]] * len(first), "id": ids[own][first], "score": score[first]}))
+    return pd.concat(found)
 
 
 def _best(rows: DataFrame, top: int) -> DataFrame:

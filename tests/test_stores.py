@@ -119,3 +119,29 @@ def test_empty_store(spark, tmp_path):
     store = VectorStore(spark, f"file://{tmp_path}/v", np.eye(3))
     assert store.upsert(spark.createDataFrame([], SCHEMA)) == [] and store.evict(2) == []
     assert store.search(spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query int, vector array<double>"), 3).count() == 0
+
+
+def test_scores_of_a_block():
+    from remedex.sources.vectors import best_of
+    import pandas as pd
+
+    r = np.random.default_rng(3)
+    rows = r.standard_normal((300, 8))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    rows[[5, 77, 130, 299]] = rows[5]  # copies have one score and rank by id
+    ids, weight = np.array([f"v{i}" for i in range(300)], dtype=object), r.choice([0.5, 1.0], 300)
+    weight[[5, 77, 130, 299]] = 1.0
+    q = np.vstack([r.standard_normal((3, 8)), rows[5]])
+    floor = np.array([-np.inf, 1.0, np.inf, -np.inf])
+    got = best_of(pd.Series([1, 2, 3, 4]), floor, q, ids, rows, weight, 6)
+    for k, f, v in zip((1, 2, 3, 4), floor, q):
+        want = sorted(((-sum_of(v * x) * w, i) for i, x, w in zip(ids, rows, weight)))[:6]
+        assert [(-s, i) for s, i in zip(got[got["query"] == k]["score"], got[got["query"] == k]["id"])] == [(s, i) for s, i in want if -s >= f]
+    assert list(got[got["query"] == 4]["id"])[:4] == ["v130", "v299", "v5", "v77"]
+
+
+def sum_of(terms):
+    out = 0.0
+    for x in terms:
+        out += x
+    return out
