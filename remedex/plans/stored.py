@@ -16,7 +16,7 @@ from remedex.sources.caches import KeyedCache
 from remedex.sources.scores import ScoreCache, graph_version
 from remedex.sources.settle import new_folder, stored
 from remedex.sources.statements import StatementTable
-from remedex.sources.tables import table
+from remedex.sources.tables import spread, table
 from remedex.sources.vectors import VectorStore, codebook
 
 _FIRST, _SECOND = ["N3", "N5"], ["N3", "N5", "N7"]
@@ -111,7 +111,7 @@ UNION ALL SELECT 'facts', source, CASE p_partkey % 3 WHEN 0 THEN 'GO_BP' WHEN 1
 UNION ALL SELECT 'interactions', source, 'INTERACTS_WITH', 'Q2222' || p_partkey % 10 FROM p)
 SELECT kind, source, edge_type, target FROM x""")
 def build_protein_entries(spark, d):
-    texts = table(spark, d, "part").select(F.expr(_PROTEIN).alias("value"))
+    texts = spread(table(spark, d, "part"), "p_partkey").select(F.expr(_PROTEIN).alias("value"))
     return flat.protein_statements(texts, spark.createDataFrame([("I0", "Family"), ("I1", "Domain")], "family string, family_type string"))
 
 
@@ -141,5 +141,5 @@ UNION ALL SELECT 'mesh', id, 'MESH_CATEGORY', 'M' || p_size, NULL, NULL FROM p U
 UNION ALL SELECT 'pathway', 'W' || p_partkey % 7, 'PATHWAY_CATEGORY', 'c', NULL, NULL FROM p UNION ALL SELECT 'pathway', 'W' || p_partkey % 7, 'PATHWAY_ENZYME', 'P1', NULL, NULL FROM p)
 SELECT kind, source, edge_type, target, qualifier, "references" FROM x""")
 def build_drug_tables(spark, d):
-    entries = table(spark, d, "part").select(F.from_xml(F.expr(_DRUG), nested.DRUG, {"rowTag": "drug"}).alias("e")).select("e.*")
+    entries = spread(table(spark, d, "part"), "p_partkey").select(F.from_xml(F.expr(_DRUG), nested.DRUG, {"rowTag": "drug"}).alias("e")).select("e.*")
     return nested.drug_statements(entries)

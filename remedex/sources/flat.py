@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from remedex.functions.once import once
+
 # The taxa whose proteins are read.
 TAXA = ("3702", "224308", "9913", "6239", "9031", "7955", "44689", "7227", "83334", "83333", "9606", "10090", "83331", "83332", "39947", "9601", "10116", "284812", "8355", "559292", "9823")
 # Cross references that are read, and the predicates of their ids.
@@ -29,7 +31,7 @@ def read_texts(spark: SparkSession, path: str, end: str = "//\n") -> DataFrame:
 def folded(lines: Column, tag: str, width: int = 2) -> Column:
     """The values of a tag's lines in order, each behind a blank; null if the record has no such line."""
     own = F.filter(lines, lambda x: F.substring(x, 1, width) == tag)
-    return F.when(F.size(own) > 0, F.array_join(F.transform(own, lambda x: F.concat(F.lit(" "), F.ltrim(F.substring(x, width + 1, 1 << 30)))), ""))
+    return once(own, lambda o: F.when(F.size(o) > 0, F.array_join(F.transform(o, lambda x: F.concat(F.lit(" "), F.ltrim(F.substring(x, width + 1, 1 << 30)))), "")))
 
 
 def _lines(value: Column) -> Column:
@@ -51,9 +53,12 @@ def comments(text: Column) -> Column:
     """Topic to text of folded comments; of a topic that stands twice the last one counts."""
     parts = F.filter(F.transform(F.split(F.trim(text), "-!-"), lambda x: F.trim(x)), lambda x: (F.length(x) > 1) & F.contains(x, F.lit(":")))
     pairs = F.transform(parts, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
-    keys = F.transform(pairs, lambda p: p["key"])
-    later = lambda i: F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0)))
-    return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.array_contains(later(i), p["key"])))
+
+    def last(all_: Column) -> Column:
+        later = lambda keys, i: F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0)))
+        return once(all_["key"], lambda keys: F.filter(all_, lambda p, i: ~F.array_contains(later(keys, i), p["key"])))
+
+    return F.map_from_entries(once(pairs, last))
 
 
 def protein_statements(texts: DataFrame, families: DataFrame | None = None, taxa: Sequence[str] = TAXA) -> DataFrame:
@@ -62,20 +67,21 @@ def protein_statements(texts: DataFrame, families: DataFrame | None = None, taxa
     ``families`` (family, family_type) gives the predicates of protein family ids; those without one are left out.  The
     second accession of an entry is no OTHER_ID, as in the files that this must agree with.
     """
-    lines = _lines(F.col("value"))
-    tags = {t: folded(lines, t) for t in ("AC", "ID", "DE", "OX", "OC", "RX", "KW", "DR", "CC")}
-    rows = texts.select(*[c.alias(t) for t, c in tags.items()]).where("AC IS NOT NULL AND ID IS NOT NULL")
+    tags = lambda lines: F.struct(*[folded(lines, t).alias(t) for t in ("AC", "ID", "DE", "OX", "OC", "RX", "KW", "DR", "CC")])
+    # Both explodes deal out an array of one element, so that the optimizer copies neither the tags nor the statements into what reads them.
+    rows = texts.select(F.inline(F.array(once(_lines(F.col("value")), tags)))).where("AC IS NOT NULL AND ID IS NOT NULL")
     accessions = F.split(F.trim("AC"), r"\s+")
     names = F.split(F.split_part(F.trim("ID"), F.lit(" "), F.lit(1)), "_")
     taxon = F.split_part(F.regexp_replace(F.split_part(F.trim("OX"), F.lit("="), F.lit(2)), ";$", ""), F.lit(" "), F.lit(1))
     part = lambda key: F.transform(_found(F.col("DE"), f"{key}=([^;]+);", 1), lambda x: F.trim(x))
     links = F.transform(F.split(F.trim("DR"), r"\."), lambda x: F.trim(x))
-    of = lambda db: F.filter(links, lambda x: F.split_part(x, F.lit(";"), F.lit(1)) == db)
+    of = lambda db: F.filter("links", lambda x: F.split_part(x, F.lit(";"), F.lit(1)) == db)
     code = lambda x: F.trim(F.split_part(x, F.lit(";"), F.lit(2)))
     term = lambda x: F.when(F.contains(x, F.lit("; F:")), "GO_BP").when(F.contains(x, F.lit("; P:")), "GO_MF").otherwise("GO_CC")
     terms = F.transform(of("GO"), lambda x: F.struct(F.lit("facts").alias("kind"), term(x).alias("edge_type"), code(x).alias("target")))
     topics = comments(F.col("CC"))
-    topic = lambda k: F.try_element_at(topics, F.lit(k))
+    topic = lambda k: F.try_element_at("topics", F.lit(k))
+    rows = rows.where(taxon.isin(*taxa)).select("*", F.inline(F.array(F.struct(links.alias("links"), topics.alias("topics")))))
     parts = [
         _facts("metadata", "OTHER_ID", F.transform(F.slice(accessions, 3, 1 << 20), lambda x: F.substring(x, 1, F.length(x) - 1))),
         _facts("metadata", "NAME", F.array(F.get(names, 0))),
@@ -91,12 +97,15 @@ def protein_statements(texts: DataFrame, families: DataFrame | None = None, taxa
         _facts("interactions", "INTERACTS_WITH", _found(topic("INTERACTION"), PROTEIN_CODE)),
         _facts("facts", "RELATED_GENETIC_DISORDER", _found(topic("DISEASE"), DISORDER_CODE)),
     ]
-    own = rows.where(taxon.isin(*taxa)).select(F.split_part(F.trim("AC"), F.lit(";"), F.lit(1)).alias("source"), F.explode(F.concat(*parts)).alias("f")).select("f.kind", "source", "f.edge_type", "f.target")
-    named = own.where("kind <> 'family'")
+    own = rows.select(F.split_part(F.trim("AC"), F.lit(";"), F.lit(1)).alias("source"), F.explode(F.concat(*parts)).alias("f")).select("f.kind", "source", "f.edge_type", "f.target")
     if families is None:
-        return named
-    kinds = families.select(F.col("family").alias("target"), F.upper("family_type").alias("edge_type"))
-    return named.unionByName(own.where("kind = 'family'").drop("edge_type").join(kinds, "target").withColumn("kind", F.lit("facts")).select("kind", "source", "edge_type", "target"))
+        return own.where("kind <> 'family'")
+    # Other statements look for a text that no family has, so that a join by shuffle deals them by their source.
+    family = F.col("kind") == "family"
+    kinds = families.select(F.col("family").alias("_key"), F.upper("family_type").alias("_type")).where("_key IS NOT NULL")
+    kinds = kinds.withColumn("_key", F.struct(F.lit(True).alias("family"), F.col("_key").alias("of")))
+    named = own.withColumn("_key", F.struct(family.alias("family"), F.when(family, F.col("target")).otherwise(F.col("source")).alias("of"))).join(kinds.withColumn("_hit", F.lit(True)), "_key", "left")
+    return named.where(~family | F.col("_hit")).select(F.when(family, "facts").otherwise(F.col("kind")).alias("kind"), "source", F.when(family, F.col("_type")).otherwise(F.col("edge_type")).alias("edge_type"), "target")
 
 
 def family_members(lines: DataFrame) -> DataFrame:

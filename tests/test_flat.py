@@ -137,3 +137,14 @@ def test_expression_entries(spark, tmp_path):
         ("tissue", "P1", "liver", "detected", None), ("cell_line", "P1", "U_87", "NormRNA_EXP:3.5", "Brain#CVCL_1"), ("cell_line", "P1", "A549", "NormRNA_EXP:1", "Lung#NA"),
         ("antibody", "HPA1", "ANTIBODY", "P1", "MKV"), ("antibody", "HPA2", "ANTIBODY", "P1", "-"),
     }
+
+
+def test_protein_statements_share_their_tags(spark):
+    """The folded lines of an entry are worked out once, and statements are made once for facts and families."""
+    families = spark.createDataFrame([("I0", "Family")], "family string, family_type string")
+    texts = spark.createDataFrame([("ID   X_HUMAN\nAC   P1;\nOX   NCBI_TaxID=9606;\nDR   InterPro; I0; z.\nDR   InterPro; I9; z.",), (None,)], "value string")
+    out = flat.protein_statements(texts, families)
+    assert sorted(map(tuple, out.where("kind = 'facts'").collect())) == [("facts", "P1", "FAMILY", "I0")]
+    assert {r.kind for r in out.collect()} == {"facts", "metadata"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rtrim(") == 1 and "Union" not in plan
