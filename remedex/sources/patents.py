@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from remedex.functions.once import once
+
 # The headings of sections.
 SECTIONS = {
     "background": r"(?i)(?:BACKGROUND(?:\s+OF\s+THE\s+INVENTION)?|FIELD\s+OF\s+THE\s+INVENTION)",
@@ -150,21 +152,21 @@ def depends_on(text: Column) -> Column:
 
 def _listed(text: Column) -> Column:
     """Claims of plain text, after the first word that announces them."""
-    low = F.lower(text)
-    at = F.coalesce(*[F.nullif(F.instr(low, w), F.lit(0)) for w in CLAIM_WORDS])
+    at = once(F.lower(text), lambda low: F.coalesce(*[F.nullif(F.instr(low, w), F.lit(0)) for w in CLAIM_WORDS]))
     block = F.coalesce(F.substring(text, at, F.length(text)), F.lit(""))
     pattern = F.lit(r"(?s)(?:^|\n)\s*(\d+)\.\s+(.*?)(?=\n\s*\d+\.\s|$)")
-    both = F.arrays_zip(F.regexp_extract_all(block, pattern, 1).alias("n"), F.regexp_extract_all(block, pattern, 2).alias("t"))
+    both = once(block, lambda b: F.arrays_zip(F.regexp_extract_all(b, pattern, 1).alias("n"), F.regexp_extract_all(b, pattern, 2).alias("t")))
     clean = lambda t: F.regexp_replace(F.regexp_replace(t, r"\s+", " "), "^ | $", "")
     return F.transform(both, lambda x: F.struct(x["n"].try_cast("int").alias("number"), clean(x["t"]).alias("text")))
 
 
 def _claims(found: Column) -> Column:
     """number, text, dependent, depends_on by number: the first of each number, without its number, if a text is left."""
-    first = F.filter(found, lambda c, i: c["number"].isNotNull() & (F.array_position(found["number"], c["number"]) == i + 1))
+    firsts = lambda all_, n: F.filter(all_, lambda c, i: c["number"].isNotNull() & (F.array_position(n, c["number"]) == i + 1))
+    first = once(found, lambda all_: once(all_["number"], lambda n: firsts(all_, n)))
     cut = F.transform(first, lambda c: F.struct(c["number"].alias("number"), F.regexp_replace(c["text"], r"^\s*\d+[.)]\s*", "").alias("text")))
     full = F.array_sort(F.filter(cut, lambda c: c["text"] != ""))
-    return F.transform(full, lambda c: F.struct(c["number"].alias("number"), c["text"].alias("text"), (F.size(depends_on(c["text"])) > 0).alias("dependent"), depends_on(c["text"]).alias("depends_on")))
+    return F.transform(full, lambda c: once(depends_on(c["text"]), lambda d: F.struct(c["number"].alias("number"), c["text"].alias("text"), (F.size(d) > 0).alias("dependent"), d.alias("depends_on"))))
 
 
 def page_records(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -175,5 +177,7 @@ def page_records(pages: DataFrame, html: str = "html") -> DataFrame:
     out = pages.withColumn("_f", F.pandas_udf(_fields, PAGE)(F.col(html).cast("string")))
     own = ["title", "abstract", "assignee", "inventors", "filing_date", "publication_date", "_text", "_found"]
     out = out.withColumns({k: F.col("_f")[k] for k in own}).withColumn("abstract", F.regexp_replace("abstract", r"(?i)^Abstract\s*", ""))
-    out = out.withColumns({"sections": sections(F.col("_text")), "_claims": _claims(F.col("_found")), "_listed": _claims(_listed(F.col("_text")))})
-    return out.withColumn("claims", F.when(F.size("_claims") > 0, F.col("_claims")).otherwise(F.col("_listed"))).drop("_f", "_text", "_found", "_claims", "_listed", html)
+    # The explode of one element keeps sections and claims from being copied into all that reads them.
+    claims = once(_claims(F.col("_found")), lambda c: F.when(F.size(c) > 0, c).otherwise(_claims(_listed(F.col("_text")))))
+    out = out.select("*", F.inline(F.array(F.struct(sections(F.col("_text")).alias("sections"), claims.alias("claims")))))
+    return out.drop("_f", "_text", "_found", html)

@@ -63,3 +63,15 @@ def test_actions_both_ways(spark):
     ids = [spark.createDataFrame([(a, a.upper())], f"{n} string, {m} string") for a, n, m in (("c", "chemical", "drug"), ("g", "gene", "protein"))]
     got = sorted(tuple(r) for r in vendor.chemical_actions(rows, *ids).collect())
     assert got == [("C", "AFFECTS_x", "G", "1,2"), ("C", "DECREASES_y_z", "G", "3")]
+
+
+def test_costly_rows_are_dealt_to_all_tasks(spark, tmp_path):
+    """A small table in one row group is one task; the entries and pages made of it are dealt to as many as shuffles have."""
+    from remedex.plans import QUERIES, load_all
+
+    load_all()
+    part = spark.createDataFrame([(i, f"n{i}", "Brand#1", "T", 3) for i in range(1, 200)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("patent_page_records", "build_drug_tables", "build_protein_entries"):
+        out = QUERIES[name](spark, str(tmp_path))
+        assert out.rdd.getNumPartitions() == 4, name
