@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from remedex.functions.once import once
 from remedex.operators.compile import code_levels, interaction_effects
 
 _POLY = "polypeptide: struct<_source: string, _id: string, `external-identifiers`: struct<`external-identifier`: array<struct<resource: string, identifier: string>>>>"
@@ -71,10 +72,11 @@ def _targets(drug: Column, edge: str, links: Column) -> Column:
     def one(link: Column) -> Column:
         named = F.transform(link["actions"]["action"], key_text)
         named = F.transform(F.filter(named, lambda a: a.isNotNull()), lambda a: F.when(a.isin("other", "other_unknown"), "unknown").otherwise(a))
-        actions = F.when(F.size(F.coalesce(named, F.array().cast("array<string>"))) > 0, named).otherwise(F.array(F.lit("unknown")))
+        actions = once(named, lambda n: F.when(F.size(F.coalesce(n, F.array().cast("array<string>"))) > 0, n).otherwise(F.array(F.lit("unknown"))))
         papers = F.filter(F.transform(link["references"]["articles"]["article"], lambda x: key_text(x["pubmed-id"])), lambda x: x.isNotNull())
         refs = F.nullif(F.array_join(papers, ","), F.lit(""))
-        return _statements("target", drug, edge, actions, lambda a: _protein(link), lambda a: a, lambda a: refs)
+        facts = F.struct(_protein(link).alias("protein"), refs.alias("refs"))
+        return once(facts, lambda f: _statements("target", drug, edge, actions, lambda a: f["protein"], lambda a: a, lambda a: f["refs"]))
 
     return _every(F.transform(links, one))
 
@@ -96,7 +98,9 @@ def _pathways(drug: Column, pathways: Column) -> Column:
 def drug_statements(entries: DataFrame) -> DataFrame:
     """kind (of table), source, edge_type, target, qualifier, references of drug entries; each once for an entry."""
     c = F.col
-    drug = F.get(F.filter("`drugbank-id`", lambda x: x["_primary"]), 0)["_VALUE"]
+    primary = F.get(F.filter("`drugbank-id`", lambda x: x["_primary"]), 0)["_VALUE"]
+    entries = entries.select("*", F.inline(F.array(F.struct(primary.alias("_drug")))))  # not copied into each statement
+    drug = c("_drug")
     one = lambda x: F.array(x)
     whole = c("classification")
     ranks = [_statements("classification", drug, F.upper(F.lit(k.replace("-", "_"))), one(whole[k]), key_text) for k in ("kingdom", "superclass", "class", "subclass", "direct-parent")]
@@ -113,7 +117,7 @@ def drug_statements(entries: DataFrame) -> DataFrame:
         *ranks,
         *[_targets(drug, f"DRUG_{k.upper()}", c(f"{k}s.{k}")) for k in ("target", "carrier", "transporter", "enzyme")],
         _every(F.transform(F.filter(met, lambda x: said(x).isNull()), lambda x: _statements("interaction", drug, "DRUG_INTERACTION", one(x), lambda y: key_text(y["drugbank-id"])))),
-        _every(F.transform(F.filter(met, lambda x: said(x).isNotNull()), lambda x: _statements("interaction", drug, "DRUG_INTERACTION", interaction_effects(said(x)), lambda e: key_text(x["drugbank-id"]), lambda e: e))),
+        _every(F.transform(F.filter(met, lambda x: said(x).isNotNull()), lambda x: once(said(x), lambda s: once(key_text(x["drugbank-id"]), lambda k: _statements("interaction", drug, "DRUG_INTERACTION", interaction_effects(s), lambda e: k, lambda e: e))))),
         _every(F.transform(c("`atc-codes`.`atc-code`"), lambda x: _statements("atc", drug, "DRUG_ATC", code_levels(x["_code"]), lambda k: F.concat(F.lit("ATC:"), k)))),
         _statements("mesh", drug, "MESH_CATEGORY", c("categories.category"), lambda x: F.nullif(x["mesh-id"], F.lit(""))),
         _pathways(drug, c("pathways.pathway")),
