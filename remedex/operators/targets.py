@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from remedex.operators.graph import touching
+from remedex.sources.settle import stored
+
 
 def shared_context(edges: DataFrame, seed: str, targets: DataFrame, weight, cap: float = 40.0) -> DataFrame:
     """id, shared, context: neighbours that each target (id) shares with the seed, and their summed weights up to a cap.
 
     Only the seed's own neighbours enter the join, so the pairs made are at most the edges that touch them.
     """
-    near = edges.where(F.col("src") == seed).select(F.col("dst").alias("mid"))
-    own = edges.join(targets.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("mid"))
-    hit = own.join(near, "mid")
+    near = stored(edges.where(F.col("src") == seed).select(F.col("dst").alias("id")))
+    own = touching(edges, near, "dst").join(targets.select(F.col("id").alias("src")), "src", "left_semi")
+    hit = own.select(F.col("src").alias("id"), F.col("dst").alias("mid"))
     return hit.groupBy("id").agg(F.count("*").alias("shared"), F.least(F.lit(cap), F.sum(weight(F.col("mid")))).alias("context"))
 
 
@@ -59,6 +62,7 @@ def grown(tree: DataFrame, degree: DataFrame, targets: DataFrame, most: int = 10
 
 def path_summary(paths: DataFrame) -> DataFrame:
     """Paths (target, nodes, relations) counted: by hops, distinct nodes, links and targets; one row."""
+    paths = stored(paths.select("target", "nodes", "relations"))
     steps = paths.select("target", F.size("relations").alias("hops"), F.explode("nodes").alias("node"))
     links = paths.select(F.posexplode("relations").alias("i", "relation"), "nodes")
     n = paths.agg(F.count("*").alias("paths"), F.count_distinct("target").alias("targets"), F.count_if(F.size("relations") == 1).alias("hop_1"), F.count_if(F.size("relations") == 2).alias("hop_2"), F.count_if(F.size("relations") == 3).alias("hop_3"))

@@ -9,7 +9,7 @@ from remedex.operators import targets as tg
 from remedex.operators.centrality import importance
 from remedex.plans import graph as base
 from remedex.plans import query
-from remedex.sources.settle import settled
+from remedex.sources.settle import stored
 from remedex.sources.tables import table
 
 SEED, KIND, EDGES = base.SEED, base.KIND, base.EDGES
@@ -43,9 +43,9 @@ tt AS (SELECT id, hop FROM s3 WHERE id LIKE 'P%'),
 sc AS (SELECT tt.id, hop, coalesce(shared, 0) AS shared, coalesce(context, 0) AS context, least(100.0::DOUBLE, CASE hop WHEN 1 THEN 70 WHEN 2 THEN 40 WHEN 3 THEN 20 ELSE 3 END + CASE WHEN hop = 1 AND tt.id IN (SELECT dst FROM e WHERE src = '{SEED}') THEN 10 ELSE 0 END + coalesce(context, 0) + least(coalesce(shared, 0) * greatest(1, 4 - hop), 20)) AS score FROM tt LEFT JOIN sh ON tt.id = sh.id)"""
 
 
-def _scores(spark, d):
+def _scores(spark, d, tree=None):
     e = base.edges(spark, d)
-    near = base.kg_capped_bfs(spark, d).where(KIND(F.col("id")) == "P").select("id", "hop")
+    near = (base.kg_capped_bfs(spark, d) if tree is None else tree).where(KIND(F.col("id")) == "P").select("id", "hop")
     direct = e.where(F.col("src") == SEED).select(F.col("dst").alias("id"))
     return tg.hop_scores(near, _shared(spark, d, e), direct)
 
@@ -61,8 +61,8 @@ def target_relevance(spark, d):
 
 
 @query("target_ranked_table", f"WITH {EDGES}, {_SCORED}, h AS (SELECT id, round(score, 6) AS score, shared FROM sc ORDER BY round(score, 6) DESC, id LIMIT 50) SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank, id || CASE WHEN shared > 2 THEN ' (confirmed)' ELSE ' (unconfirmed)' END AS label FROM h")
-def target_ranked_table(spark, d):
-    s = _scores(spark, d).withColumn("score", F.round("score", 6))
+def target_ranked_table(spark, d, tree=None):
+    s = _scores(spark, d, tree).withColumn("score", F.round("score", 6))
     return tg.ranked_table(s, F.col("shared") > 2).select("id", "score", "rank", "label")
 
 
@@ -70,7 +70,8 @@ def target_ranked_table(spark, d):
 def target_custom(spark, d):
     e = base.edges(spark, d)
     custom = table(spark, d, "part").select(F.concat(F.lit("P"), (F.col("p_partkey") * 3).cast("string")).alias("id"))
-    return tg.custom_scores(custom, base.kg_capped_bfs(spark, d), e.select(F.col("src").alias("id")), _shared(spark, d, e))
+    ends = base.triples(spark, d).where("source <> target").select(F.explode(F.array("source", "target")).alias("id")).where(KIND(F.col("id")) == "P")  # all custom targets are parts
+    return tg.custom_scores(custom, base.kg_capped_bfs(spark, d), ends, _shared(spark, d, e))
 
 
 _HEAD = "h AS (SELECT id, round(score, 6) AS score, shared FROM sc ORDER BY round(score, 6) DESC, id LIMIT 50)"
@@ -79,7 +80,14 @@ _HEAD = "h AS (SELECT id, round(score, 6) AS score, shared FROM sc ORDER BY roun
 @query("target_grown_subgraph", f"WITH {EDGES}, {_SCORED}, {_HEAD}, dg AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src), r AS (SELECT s3.id, hop, degree, g.id IS NOT NULL AS t, row_number() OVER (PARTITION BY hop ORDER BY g.id IS NOT NULL DESC, degree DESC, s3.id) AS n FROM s3 JOIN dg ON s3.id = dg.id LEFT JOIN h g ON s3.id = g.id) SELECT id, hop, degree FROM r WHERE n <= 33 OR t")
 def target_grown_subgraph(spark, d):
     """The tree of the seed as it is shown: the best connected nodes of each hop, and the ranked targets."""
-    return tg.grown(base.kg_capped_bfs(spark, d).select("id", "hop"), g.degree(base.edges(spark, d)), target_ranked_table(spark, d))
+    return shown(spark, d)[0]
+
+
+def shown(spark, d):
+    """The shown tree, and the ranked table that its targets come from."""
+    tree = base.kg_capped_bfs(spark, d)
+    ranked = stored(target_ranked_table(spark, d, tree))
+    return tg.grown(tree.select("id", "hop"), g.degree(g.touching(base.edges(spark, d), stored(tree))), ranked), ranked
 
 
 @query("target_path_summary", f"WITH {EDGES}, {base._PATHS}, n AS (SELECT unnest(nodes) AS x FROM f), l AS (SELECT DISTINCT unnest(list_transform(range(1, len(nodes)), lambda i: [nodes[i], nodes[i + 1], rels[i]])) AS x FROM f) SELECT count(*) AS paths, count(DISTINCT target) AS targets, count(*) FILTER (hops = 1) AS hop_1, count(*) FILTER (hops = 2) AS hop_2, count(*) FILTER (hops = 3) AS hop_3, (SELECT count(DISTINCT x) FROM n) AS nodes, (SELECT count(*) FROM l) AS links FROM f")
@@ -90,9 +98,10 @@ def target_path_summary(spark, d):
 @query("target_importance")
 def target_importance(spark, d):
     """Centrality within the shown trees of all nations, one graph for each; betweenness has no SQL form."""
-    e = settled(base.edges(spark, d))
+    e = base.edges(spark, d)
     seeds = e.where(KIND(F.col("src")) == "N").select(F.col("src").alias("graph"), F.col("src").alias("id")).distinct()
     trees = g.capped_trees(e, seeds, base._CAPS, base.bfs_weight, KIND, 2)
-    shown = settled(tg.grown(trees.select("graph", "id", "hop"), g.degree(e), spark.createDataFrame([], "id string"), per=("graph",)).select("graph", "id"))
-    links = shown.withColumnRenamed("id", "src").join(e.select("src", "dst"), "src").join(shown.withColumnRenamed("id", "dst"), ["graph", "dst"])
+    shown = stored(tg.grown(trees.select("graph", "id", "hop"), g.degree(g.touching(e, stored(trees))), spark.createDataFrame([], "id string"), per=("graph",)).select("graph", "id"))
+    near = g.touching(g.touching(e, shown), shown, "dst").select("src", "dst")
+    links = shown.withColumnRenamed("id", "src").join(near, "src").join(shown.withColumnRenamed("id", "dst"), ["graph", "dst"])
     return importance(links.select("graph", "src", "dst"), weight).select("graph", "id", *[F.round(c, 9).alias(c) for c in ("degree", "closeness", "betweenness", "importance")])
