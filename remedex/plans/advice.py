@@ -9,6 +9,7 @@ from remedex.operators import graph as g
 from remedex.operators import resolve
 from remedex.plans import graph as base
 from remedex.plans import query
+from remedex.sources.settle import stored
 from remedex.sources.tables import table
 
 
@@ -68,7 +69,7 @@ def target_recommendation(spark, d):
 def resolve_suggestions(spark, d):
     """Near misses: the five names that are most like each query from a ratio of 0.3; SQL has no such ratio."""
     q = spark.createDataFrame([("smal ring",), ("blot",)], "query string")
-    names = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+    names = stored(table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id")))  # read at each step of the search
     return resolve.fuzzy(q, names, least=0.3, top=5).groupBy("query").agg(F.array_join(F.array_sort(F.collect_set("name")), "|").alias("names"))  # five names
 
 
