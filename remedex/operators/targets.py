@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from remedex.operators.graph import touching
+from remedex.operators.graph import kinds_of, touching
 from remedex.sources.settle import stored
 
 
-def shared_context(edges: DataFrame, seed: str, targets: DataFrame, weight, cap: float = 40.0) -> DataFrame:
+def shared_context(edges: DataFrame, seed: str, targets: DataFrame | None, weight, cap: float = 40.0, kind=None, kinds: Sequence[str] = ()) -> DataFrame:
     """id, shared, context: neighbours that each target (id) shares with the seed, and their summed weights up to a cap.
 
-    Only the seed's own neighbours enter the join, so the pairs made are at most the edges that touch them.
+    Only the seed's own neighbours enter the join, so the pairs made are at most the edges that touch them. With ``kind`` edges name
+    their kinds (``ks``, ``kd``), and only those between the targets' ``kinds`` and the neighbours' are read; all nodes of ``kinds``
+    are targets then if none are given.
     """
-    near = stored(edges.where(F.col("src") == seed).select(F.col("dst").alias("id")))
-    own = touching(edges, near, "dst").join(targets.select(F.col("id").alias("src")), "src", "left_semi")
+    own, out = edges, edges.where(F.col("src") == seed)
+    near = stored((out if kind is None else out.where(F.col("ks") == kind(F.lit(seed)))).select(F.col("dst").alias("id")))
+    if kind is not None:
+        own = own.where(F.col("ks").isin(list(kinds)) & F.col("kd").isin(kinds_of(near, kind)))
+    own = touching(own, near, "dst")
+    own = own if targets is None else touching(own, targets)
     hit = own.select(F.col("src").alias("id"), F.col("dst").alias("mid"))
     return hit.groupBy("id").agg(F.count("*").alias("shared"), F.least(F.lit(cap), F.sum(weight(F.col("mid")))).alias("context"))
 

@@ -25,17 +25,14 @@ def weight(c):
     return out
 
 
-def _parts(spark, d):
-    return table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"))
-
-
-def _shared(spark, d, e):
-    return tg.shared_context(e, SEED, _parts(spark, d), weight).withColumn("context", F.round("context", 6))
+def _shared(e, targets=None):
+    """Of the targets (id), or of all parts that have edges."""
+    return tg.shared_context(e, SEED, targets, weight, kind=KIND, kinds=["P"]).withColumn("context", F.round("context", 6))
 
 
 @query("target_shared_context", f"WITH {EDGES}, {_SHARED} SELECT * FROM sh")
 def target_shared_context(spark, d):
-    return _shared(spark, d, base.edges(spark, d))
+    return _shared(base.typed_edges(spark, d))
 
 
 _SCORED = f"""{base._bfs(3)}, {_SHARED},
@@ -44,10 +41,10 @@ sc AS (SELECT tt.id, hop, coalesce(shared, 0) AS shared, coalesce(context, 0) AS
 
 
 def _scores(spark, d, tree=None):
-    e = base.edges(spark, d)
-    near = (base.kg_capped_bfs(spark, d) if tree is None else tree).where(KIND(F.col("id")) == "P").select("id", "hop")
-    direct = e.where(F.col("src") == SEED).select(F.col("dst").alias("id"))
-    return tg.hop_scores(near, _shared(spark, d, e), direct)
+    e = base.typed_edges(spark, d)
+    near = stored((base.kg_capped_bfs(spark, d) if tree is None else tree).where(KIND(F.col("id")) == "P").select("id", "hop"))  # at most the product of the caps
+    direct = e.where((F.col("ks") == KIND(F.lit(SEED))) & (F.col("kd") == "P") & (F.col("src") == SEED)).select(F.col("dst").alias("id"))
+    return tg.hop_scores(near, _shared(e, near), direct)
 
 
 @query("target_hop_scores", f"WITH {EDGES}, {_SCORED} SELECT id, hop, shared, round(context, 6) AS context, round(score, 6) AS score FROM sc")
@@ -68,10 +65,9 @@ def target_ranked_table(spark, d, tree=None):
 
 @query("target_custom", f"WITH {EDGES}, {base._bfs(3)}, {_SHARED}, c AS (SELECT DISTINCT 'P' || (p_partkey * 3) AS id FROM part), k AS (SELECT DISTINCT src AS id FROM e) SELECT c.id, CASE WHEN k.id IS NOT NULL THEN least(20.0::DOUBLE * coalesce(shared, 0), 100.0::DOUBLE) ELSE 25.0::DOUBLE END AS score FROM c LEFT JOIN k ON c.id = k.id LEFT JOIN sh ON c.id = sh.id WHERE c.id NOT IN (SELECT id FROM s3)")
 def target_custom(spark, d):
-    e = base.edges(spark, d)
     custom = table(spark, d, "part").select(F.concat(F.lit("P"), (F.col("p_partkey") * 3).cast("string")).alias("id"))
     ends = base.triples(spark, d).where("source <> target").select(F.explode(F.array("source", "target")).alias("id")).where(KIND(F.col("id")) == "P")  # all custom targets are parts
-    return tg.custom_scores(custom, base.kg_capped_bfs(spark, d), ends, _shared(spark, d, e))
+    return tg.custom_scores(custom, base.kg_capped_bfs(spark, d), ends, _shared(base.typed_edges(spark, d)))
 
 
 _HEAD = "h AS (SELECT id, round(score, 6) AS score, shared FROM sc ORDER BY round(score, 6) DESC, id LIMIT 50)"
@@ -87,7 +83,7 @@ def shown(spark, d):
     """The shown tree, and the ranked table that its targets come from."""
     tree = base.kg_capped_bfs(spark, d)
     ranked = stored(target_ranked_table(spark, d, tree))
-    return tg.grown(tree.select("id", "hop"), g.degree(g.touching(base.edges(spark, d), stored(tree))), ranked), ranked
+    return tg.grown(tree.select("id", "hop"), g.degree(g.leaving(base.typed_edges(spark, d), stored(tree), KIND)), ranked), ranked
 
 
 @query("target_path_summary", f"WITH {EDGES}, {base._PATHS}, n AS (SELECT unnest(nodes) AS x FROM f), l AS (SELECT DISTINCT unnest(list_transform(range(1, len(nodes)), lambda i: [nodes[i], nodes[i + 1], rels[i]])) AS x FROM f) SELECT count(*) AS paths, count(DISTINCT target) AS targets, count(*) FILTER (hops = 1) AS hop_1, count(*) FILTER (hops = 2) AS hop_2, count(*) FILTER (hops = 3) AS hop_3, (SELECT count(DISTINCT x) FROM n) AS nodes, (SELECT count(*) FROM l) AS links FROM f")
@@ -98,10 +94,10 @@ def target_path_summary(spark, d):
 @query("target_importance")
 def target_importance(spark, d):
     """Centrality within the shown trees of all nations, one graph for each; betweenness has no SQL form."""
-    e = base.edges(spark, d)
-    seeds = e.where(KIND(F.col("src")) == "N").select(F.col("src").alias("graph"), F.col("src").alias("id")).distinct()
+    e = base.typed_edges(spark, d)
+    seeds = e.where(F.col("ks") == "N").select(F.col("src").alias("graph"), F.col("src").alias("id")).distinct()
     trees = g.capped_trees(e, seeds, base._CAPS, base.bfs_weight, KIND, 2)
-    shown = stored(tg.grown(trees.select("graph", "id", "hop"), g.degree(g.touching(e, stored(trees))), spark.createDataFrame([], "id string"), per=("graph",)).select("graph", "id"))
-    near = g.touching(g.touching(e, shown), shown, "dst").select("src", "dst")
+    shown = stored(tg.grown(trees.select("graph", "id", "hop"), g.degree(g.leaving(e, stored(trees), KIND)), spark.createDataFrame([], "id string"), per=("graph",)).select("graph", "id"))
+    near = g.touching(g.leaving(e, shown, KIND), shown, "dst").select("src", "dst")
     links = shown.withColumnRenamed("id", "src").join(near, "src").join(shown.withColumnRenamed("id", "dst"), ["graph", "dst"])
     return importance(links.select("graph", "src", "dst"), weight).select("graph", "id", *[F.round(c, 9).alias(c) for c in ("degree", "closeness", "betweenness", "importance")])

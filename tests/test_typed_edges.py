@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from remedex.operators import graph as g
+from remedex.plans import graph as base
 from remedex.sources.settle import stored
 
 SF = "/root/testdata/sf0.001"
@@ -21,3 +22,35 @@ def test_weights_are_counted_in_one_pass(spark):
     t = stored(spark.createDataFrame(ROWS, "source string, edge_type string, target string"))
     assert rows(g.weights_by_source(t, KIND)) == rows(g.layered_weights(g.symmetric(t), KIND))
     assert g.weights_by_source(t.limit(0), KIND).count() == 0
+
+
+def typed(triples):
+    return triples.withColumns({"source_kind": KIND(F.col("source")), "target_kind": KIND(F.col("target"))})
+
+
+def scans(plan):
+    """How often an optimized plan reads each table of the graph."""
+    first = {"customer": "c_custkey", "supplier": "s_suppkey", "nation": "n_nationkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "part": "p_partkey"}
+    return {t: n for t, c in first.items() if (n := plan.count(f"Relation [{c}"))}
+
+
+def test_kinds_leave_out_scans(spark):
+    e = base.typed_edges(spark, SF)
+    assert rows(e.select("src", "dst", "relation")) == rows(base.edges(spark, SF))
+    assert e.where("ks <> substr(src, 1, 1) OR kd <> substr(dst, 1, 1)").count() == 0
+    seeds = stored(spark.createDataFrame([("S1",), ("R1",)], "id string"))
+    plan = g.leaving(e, seeds, KIND)._jdf.queryExecution().optimizedPlan().toString()
+    assert scans(plan) == {"lineitem": 1, "supplier": 1, "nation": 1}  # before, all six sources once for each direction
+    t = stored(spark.createDataFrame(ROWS, "source string, edge_type string, target string"))
+    assert rows(g.symmetric(typed(t)).drop("ks", "kd")) == rows(g.symmetric(t))
+    tree = lambda e: rows(g.capped_bfs(e, "N3", {"N": 2, "S": 1}, lambda c: F.lit(1), KIND, 3))
+    assert tree(g.symmetric(typed(t))) == tree(g.symmetric(t)) and len(tree(g.symmetric(t))) > 3
+
+
+def test_all_parts_with_edges_share_context(spark, tmp_path):
+    """As the SQL has it, also parts that the table of parts does not have."""
+    for t in ("nation", "region", "customer", "supplier", "orders", "lineitem", "part"):
+        df = spark.read.parquet(f"{SF}/{t}.parquet")
+        (df.where("p_partkey % 2 = 0") if t == "part" else df).write.parquet(f"{tmp_path}/{t}.parquet")
+    q = entry.queries()["target_shared_context"]
+    assert rows(q(spark, f"{tmp_path}")) == rows(q(spark, SF)) != []
