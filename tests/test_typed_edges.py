@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from remedex.operators import graph as g
+from remedex.operators import search as s
 from remedex.plans import graph as base
 from remedex.sources.settle import stored
 
@@ -54,3 +55,11 @@ def test_all_parts_with_edges_share_context(spark, tmp_path):
         (df.where("p_partkey % 2 = 0") if t == "part" else df).write.parquet(f"{tmp_path}/{t}.parquet")
     q = entry.queries()["target_shared_context"]
     assert rows(q(spark, f"{tmp_path}")) == rows(q(spark, SF)) != []
+
+
+def test_capped_paths_by_kind(spark):
+    goal = spark.read.parquet(f"{SF}/part.parquet").select(F.concat(F.lit("P"), "p_partkey").alias("id"))
+    found = lambda e, goal, closed: rows(s.capped_paths(e, "S1", goal, {"S": 9, "P": 3}, base.bfs_weight, KIND, lambda c: ~KIND(c).isin(*closed)).select("target", "nodes", "relations", "rank"))
+    for closed in (("C", "O"), ("C",)):
+        assert found(base.typed_edges(spark, SF), goal, closed) == found(base.edges(spark, SF), goal, closed) != []
+    assert found(base.typed_edges(spark, SF), goal.limit(0), ("C",)) == []
