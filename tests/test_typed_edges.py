@@ -1,5 +1,7 @@
 """Weights with one pass over the edges; searches that leave out the scans of other layers."""
 
+import random
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -63,3 +65,25 @@ def test_capped_paths_by_kind(spark):
     for closed in (("C", "O"), ("C",)):
         assert found(base.typed_edges(spark, SF), goal, closed) == found(base.edges(spark, SF), goal, closed) != []
     assert found(base.typed_edges(spark, SF), goal.limit(0), ("C",)) == []
+
+
+def test_paths_by_kind(spark):
+    """Random graphs of four kinds, with edges within a kind, and goals that may be closed kinds themselves."""
+    rnd = random.Random(3)
+    names = [k + str(i) for k in "ABCD" for i in range(4)]
+    for pairs, goals, closed in ((("AB", "BC", "CD", "BB"), "D", "C"), (("AB", "BC", "CD", "BB"), "D", "A"), (("AA", "AB", "CB"), "BC", "B"), (("AB", "CD"), "D", "")):
+        edges = [(a, "r", b) for a in names for b in names if a[0] + b[0] in pairs and rnd.random() < 0.6]
+        t = stored(spark.createDataFrame(edges, "source string, edge_type string, target string"))
+        goal = stored(spark.createDataFrame([(n,) for n in names if n[0] in goals], "id string"))
+        allowed = lambda c: ~KIND(c).isin(list(closed))  # noqa: B023, E731
+        for hops in (1, 3):
+            steps = g.kind_steps(pairs, "A", goals, closed, hops)
+            got = g.paths(g.symmetric(typed(t)), "A1", goal, allowed, hops, steps, list(goals))
+            assert rows(got) == rows(g.paths(g.symmetric(t), "A1", goal, allowed, hops))
+
+
+def test_hops_that_cannot_meet_a_goal_are_left_out(spark):
+    assert g.kind_steps(base.PAIRS, "N", ["P"], base.CLOSED, 3) == [(["N"], ["S"]), (["S"], ["P"]), ([], [])]
+    for name in ("kg_sourcing_gate", "kg_subgraph_links"):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert scans(plan) == {"lineitem": 1, "part": 1}
