@@ -9,7 +9,7 @@ from remedex.operators import app, resolve
 from remedex.operators import screening as s
 from remedex.plans import query
 from remedex.sources.tables import table
-from remedex.sources.triples import upsert
+from remedex.sources.triples import merged_values, placed
 
 # ---------------------------------------------------------------- screening: suppliers as proteins, parts as ligands
 
@@ -144,8 +144,8 @@ def app_usage(spark, d):
 @query("app_upsert", "WITH s AS (SELECT l_partkey, arg_min(l_quantity, (l_orderkey, l_linenumber)) AS q FROM lineitem GROUP BY 1) SELECT p_partkey AS id, coalesce(q, p_size) AS v FROM part LEFT JOIN s ON p_partkey = l_partkey UNION ALL SELECT l_partkey, q FROM s WHERE l_partkey NOT IN (SELECT p_partkey FROM part)")
 def app_upsert(spark, d):
     target = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("v"))
-    source = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_quantity").alias("v"), F.struct("l_orderkey", "l_linenumber").alias("o"))
-    return upsert(target, source, ["id"], F.col("o")).select("id", "v")
+    source = placed(table(spark, d, "lineitem")).select(F.col("l_partkey").alias("id"), F.col("l_quantity").alias("v"), "l_orderkey", "l_linenumber", "place")
+    return merged_values(target, source, "id", "v", ["l_orderkey", "l_linenumber", "place"])
 
 
 # ---------------------------------------------------------------- names
