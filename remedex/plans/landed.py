@@ -19,7 +19,7 @@ _PAGE = """'<html><head><script>var claims = 1;</script></head><body><span itemp
 @query("patent_page_records", r"""SELECT p_partkey, p_name AS title, p_type || ' & co' AS abstract, p_brand || ';A Wu' AS inventors, '2020-01-02' AS filed, 'Old ' || p_name AS background, 'New ' || p_type AS summary,
 CASE WHEN p_partkey % 2 = 0 THEN '1:A ' || p_name || ':|2:One of claims 1 to ' || (3 + p_size) || ':1,' || (3 + p_size) ELSE '1:A ' || p_name || ':|2:As claim 1, of size ' || p_size || ':1' END AS claims FROM part""")
 def patent_page_records(spark, d):
-    r = patents.page_records(spread(table(spark, d, "part"), "p_partkey").select("p_partkey", F.expr(_PAGE).alias("html")))
+    r = patents.page_records(spread(table(spark, d, "part"), "p_partkey").select("p_partkey", F.expr(_PAGE).alias("html")), most=None)
     one = lambda c: F.concat_ws(":", c["number"].cast("string"), c["text"], F.array_join(F.transform(c["depends_on"], lambda n: n.cast("string")), ","))
     part = lambda k: F.try_element_at("sections", F.lit(k)).alias(k)
     return r.select("p_partkey", "title", "abstract", F.array_join("inventors", ";").alias("inventors"), F.col("filing_date").alias("filed"), part("background"), part("summary"), F.array_join(F.transform("claims", one), "|").alias("claims"))

@@ -21,7 +21,7 @@ SECTIONS = {
     "summary": r"(?i)(?:BRIEF\s+SUMMARY|SUMMARY(?:\s+OF\s+THE\s+INVENTION)?)",
     "description": r"(?i)(?:DETAILED\s+DESCRIPTION|DESCRIPTION\s+OF\s+THE\s+(?:PREFERRED\s+)?EMBODIMENTS?)",
 }
-MOST = 20_000  # code points of a section
+MOST = 20_000  # code points of a section, where pages are read for a preview
 CLAIM_WORDS = ("claims", "what is claimed", "the invention claimed")
 CLAIM = "array<struct<number: int, text: string>>"
 PAGE = f"title string, abstract string, assignee string, inventors array<string>, filing_date string, publication_date string, _text string, _found {CLAIM}"
@@ -126,8 +126,8 @@ def _fields(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([page_fields(x) for x in b], columns=names)
 
 
-def sections(text: Column) -> Column:
-    """Text by section name: each goes from its first heading to the next heading found, cut to ``MOST``."""
+def sections(text: Column, most: int | None = None) -> Column:
+    """Text by section name: each goes from its first heading to the next heading found, whole unless ``most`` bounds it."""
     found = [F.struct(F.regexp_instr(text, F.lit(p)).alias("at"), F.length(F.regexp_substr(text, F.lit(p))).alias("n"), F.lit(k).alias("name")) for k, p in SECTIONS.items()]
     heads = F.array_sort(F.filter(F.array(*found), lambda h: h["at"] > 0))
 
@@ -136,7 +136,8 @@ def sections(text: Column) -> Column:
             stop = F.coalesce(F.get(hs, i + 1)["at"], F.length(text) + 1)
             begin = h["at"] + h["n"]
             cut = F.regexp_replace(F.substring(text, begin, F.greatest(stop - begin, F.lit(0))), r"^[ :.—-]+|[ :.—-]+$", "")
-            return F.struct(h["name"].alias("key"), F.substring(F.regexp_replace(cut, r"^\s+|\s+$", ""), 1, MOST).alias("value"))
+            whole = F.regexp_replace(cut, r"^\s+|\s+$", "")
+            return F.struct(h["name"].alias("key"), (whole if most is None else F.substring(whole, 1, most)).alias("value"))
 
         return F.transform(hs, one)
 
@@ -169,15 +170,16 @@ def _claims(found: Column) -> Column:
     return F.transform(full, lambda c: once(depends_on(c["text"]), lambda d: F.struct(c["number"].alias("number"), c["text"].alias("text"), (F.size(d) > 0).alias("dependent"), d.alias("depends_on"))))
 
 
-def page_records(pages: DataFrame, html: str = "html") -> DataFrame:
+def page_records(pages: DataFrame, html: str = "html", most: int | None = MOST) -> DataFrame:
     """title, abstract, assignee, inventors, filing_date, publication_date, sections, claims of every page; other columns stay.
 
-    Fields that a page lacks are null, lists and maps are empty then; a null page is an empty one.
+    Fields that a page lacks are null, lists and maps are empty then; a null page is an empty one. ``most`` bounds the code points of a
+    section; with None sections are whole.
     """
     out = pages.withColumn("_f", F.pandas_udf(_fields, PAGE)(F.col(html).cast("string")))
     own = ["title", "abstract", "assignee", "inventors", "filing_date", "publication_date", "_text", "_found"]
     out = out.withColumns({k: F.col("_f")[k] for k in own}).withColumn("abstract", F.regexp_replace("abstract", r"(?i)^Abstract\s*", ""))
     # The explode of one element keeps sections and claims from being copied into all that reads them.
     claims = once(_claims(F.col("_found")), lambda c: F.when(F.size(c) > 0, c).otherwise(_claims(_listed(F.col("_text")))))
-    out = out.select("*", F.inline(F.array(F.struct(sections(F.col("_text")).alias("sections"), claims.alias("claims")))))
+    out = out.select("*", F.inline(F.array(F.struct(sections(F.col("_text"), most).alias("sections"), claims.alias("claims")))))
     return out.drop("_f", "_text", "_found", html)
