@@ -180,10 +180,15 @@ def parts(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.withColumns({"at": start, "n": F.least(F.col("size"), (F.col("block") + 1) * block - F.col("first")) - start})
 
 
+def _dealt(slots: DataFrame) -> DataFrame:
+    """The slots as a side that is never broadcast: their shuffled bytes compress to few, while the driver would hold a row for each of them."""
+    return slots.hint("merge")
+
+
 def taken(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     times = slots.groupBy("number", "block").agg(F.count("*").alias("times"))
-    got = parts(placed, block).select("row", "number", "block", "n").join(times, ["number", "block"])
+    got = parts(placed, block).select("row", "number", "block", "n").join(_dealt(times), ["number", "block"])
     got = got.groupBy("row").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
     out = placed.join(got, "row", "left")
     return out.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("taken"))
@@ -195,7 +200,7 @@ def mixed_documents(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> Da
     A document taken whole keeps its text as it is; adjacent parts stay joined by their own white space.
     """
     placed, slots = mix(docs, scratch, block)
-    runs = parts(placed, block).select("row", "doc_id", "tie", "number", "block", "at", "n").join(slots.drop("shard"), ["number", "block"])
+    runs = parts(placed, block).select("row", "doc_id", "tie", "number", "block", "at", "n").join(_dealt(slots.drop("shard")), ["number", "block"])
     runs = runs.groupBy("row", "doc_id", "tie", "turn").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("_parts"))  # at most size / block + 2 parts
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
